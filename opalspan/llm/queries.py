@@ -8,6 +8,8 @@ import importlib
 _NAMES = {
     "op2_suffix_dedup": "suffix_dedup",
     "op6_simhash": "simhash",
+    "op7_line_frequency": "line_quality",
+    "op8_html_tag_paths": "html_paths",
 }
 
 
