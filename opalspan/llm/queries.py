@@ -7,9 +7,11 @@ import importlib
 #: Query name -> (module, function).
 _NAMES = {
     "op2_suffix_dedup": "suffix_dedup",
+    "op5_disclosure": "pii_disclosure",
     "op6_simhash": "simhash",
     "op7_line_frequency": "line_quality",
     "op8_html_tag_paths": "html_paths",
+    "op10_attention_quality": "mil_quality",
 }
 
 
