@@ -7,6 +7,8 @@ import importlib
 #: Query name -> (module, function).
 _NAMES = {
     "op2_suffix_dedup": "suffix_dedup",
+    "op3_wavelet_output": "wavelet_output",
+    "op4_bm25_packing": "bm25_packing",
     "op5_disclosure": "pii_disclosure",
     "op6_simhash": "simhash",
     "op7_line_frequency": "line_quality",
