@@ -13,6 +13,7 @@ _NAMES = {
     "op6_simhash": "simhash",
     "op7_line_frequency": "line_quality",
     "op8_html_tag_paths": "html_paths",
+    "op9_recursive_bpe": "bpe_duckdb",
     "op10_attention_quality": "mil_quality",
 }
 
