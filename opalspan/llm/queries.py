@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module, function).
 _NAMES = {
+    "op1_cover_tree": "cover_tree",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_wavelet_output": "wavelet_output",
     "op4_bm25_packing": "bm25_packing",
