@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opalspan.functions.spans import SPANS, cut
+from opalspan.functions.spans import SPANS, cut, let
 
 #: Characters without width, and letters of other scripts that look like Latin ones.
 ZERO_WIDTH = "​‌‍⁠﻿­"
@@ -80,12 +80,12 @@ def _grams(tokens: Column, n: int) -> Column:
 
 def shingles(tokens: Column, n: int = 5) -> Column:
     """Different n-word strings; n words or fewer are one string."""
-    return F.when(F.size(tokens) > n, _grams(tokens, n)).otherwise(F.array(F.array_join(tokens, " ")))
+    return let(tokens, lambda t: F.when(F.size(t) > n, _grams(t, n)).otherwise(F.array(F.array_join(t, " "))))
 
 
 def word_ngrams(tokens: Column, n: int = 8) -> Column:
     """Different n-word strings; fewer than n words have none."""
-    return F.when(F.size(tokens) >= n, _grams(tokens, n)).otherwise(F.array().cast("array<string>"))
+    return let(tokens, lambda t: F.when(F.size(t) >= n, _grams(t, n)).otherwise(F.array().cast("array<string>")))
 
 
 def word_tokens(text: Column) -> Column:

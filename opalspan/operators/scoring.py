@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opalspan.functions.spans import IGNORE, deduped, positions
+from opalspan.functions.spans import IGNORE, deduped, let, positions
 
 COUNTS = ("gold_chars", "leaked_chars", "pred_chars", "over_chars", "leaks", "strict_tp", "n_gold", "n_pred", "partial_gold_hit", "partial_pred_hit")
 #: Fixed values of model selection: tie band and gains in points, shares that a sound run may drop or cut off.
@@ -48,23 +48,24 @@ def scored(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     touched = lambda spans, by: F.size(F.filter(F.col(spans), lambda s: F.arrays_overlap(positions(F.array(s)), F.col(by))))
     a = a.withColumn("_tp", F.array_intersect(key(F.col("_g")), key(F.col("_p"))))
     missed = lambda s: F.size(F.array_except(positions(F.array(s)), F.col("_pm")))
-    label = F.array_union(F.transform("_g", lambda s: s["label"]), F.transform("_p", lambda s: s["label"]))
-    count = lambda spans, test: F.size(F.filter(F.col(spans), test))
-
-    def piece(lab: Column) -> Column:
+    def piece(x: Column, lab: Column) -> Column:
         mine = lambda s: s["label"] == lab
-        total = lambda spans, value: F.aggregate(F.transform(F.filter(F.col(spans), mine), value), F.lit(0), lambda x, y: x + y)
+        n = lambda spans, test: F.size(F.filter(x[spans], test))
+        total = lambda value: F.aggregate(F.transform(F.filter(x["g"], mine), value), F.lit(0), lambda a, b: a + b)
+        at = lambda s: positions(F.array(s))
         return F.struct(
             lab.alias("label"),
-            count("_g", mine).alias("n_gold"),
-            total("_g", lambda s: s["end"] - s["start"]).alias("gold_chars"),
-            total("_g", missed).alias("leaked_chars"),
-            count("_g", lambda s: mine(s) & F.arrays_overlap(positions(F.array(s)), F.col("_pm"))).alias("partial_gold_hit"),
-            count("_tp", mine).alias("strict_tp"),
-            count("_p", mine).alias("n_pred"),
-            count("_p", lambda s: mine(s) & F.arrays_overlap(positions(F.array(s)), F.col("_gm"))).alias("partial_pred_hit"),
+            n("g", mine).alias("n_gold"),
+            total(lambda s: s["end"] - s["start"]).alias("gold_chars"),
+            total(lambda s: F.size(F.array_except(at(s), x["pm"]))).alias("leaked_chars"),
+            n("g", lambda s: mine(s) & F.arrays_overlap(at(s), x["pm"])).alias("partial_gold_hit"),
+            n("tp", mine).alias("strict_tp"),
+            n("p", mine).alias("n_pred"),
+            n("p", lambda s: mine(s) & F.arrays_overlap(at(s), x["gm"])).alias("partial_pred_hit"),
         )
 
+    sets = F.struct(F.col("_g").alias("g"), F.col("_p").alias("p"), F.col("_gm").alias("gm"), F.col("_pm").alias("pm"), F.col("_tp").alias("tp"))
+    labels = lambda x: F.array_union(F.transform(x["g"], lambda s: s["label"]), F.transform(x["p"], lambda s: s["label"]))
     values = {
         "gold_chars": F.size("_gm"),
         "leaked_chars": F.size(F.array_except("_gm", "_pm")),
@@ -77,7 +78,7 @@ def scored(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
         "partial_gold_hit": touched("_g", "_pm"),
         "partial_pred_hit": touched("_p", "_gm"),
     }
-    out = a.select(*df.columns, *[v.cast("long").alias(k) for k, v in values.items()], F.transform(label, piece).alias("by_label"))
+    out = a.select(*df.columns, *[v.cast("long").alias(k) for k, v in values.items()], let(sets, lambda x: F.transform(labels(x), lambda lab: piece(x, lab))).alias("by_label"))
     return out
 
 
