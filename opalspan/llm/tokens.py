@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 #: Pieces that a worker remembers in each of its two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 150_000, 80
+REMEMBERED, LONGEST = 200_000, 80
 
 
 class Pieces:
@@ -55,16 +54,52 @@ def library(path: str):
     return t
 
 
-def _ids(t, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a printable letter: itself where it is one, else the next free one."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Matches:
+    """Ids of a tokenizer's pre-tokens, each merged by the library's model, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, tokenizer, pattern: str) -> None:
+        import regex
+
+        self.whole, self.pattern, self.model, self.letters = tokenizer, regex.compile(pattern), tokenizer.model, _byte_letters()
+        self.odd = regex.compile("[\x1c-\x1f]")  # white space for one engine's \\s, not for the other's
+        self.words = Pieces(self._merge)
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        tokenize, letters = self.model.tokenize, self.letters
+        mapped = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in words]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lists = list(map(self.pattern.findall, texts))
+        known = self.words.prepare(lists)
+        out = [b"".join(map(known.__getitem__, x)) for x in lists]
+        self.words.done()
+        for i in [i for i, t in enumerate(texts) if self.odd.search(t)]:
+            out[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
+
+
+#: How the two vocabularies cut text before they merge.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class WordEncoder:
-    """For a tokenizer that drops white space and never joins across it: pieces between spaces are independent."""
+    """For a tokenizer that drops white space and never joins across it: pieces between spaces are independent. They
+    are normalised by the library; plain ASCII only needs lower case."""
 
     def __init__(self, path: str) -> None:
-        self.t = library(path)
-        self.pieces = Pieces(lambda x: _ids(self.t, x))
+        t = library(path)
+        self.matches = Matches(t, WORD_PATTERN)
+        normal = t.normalizer.normalize_str
+        self.pieces = Pieces(lambda x: self.matches.encode([k.lower() if k.isascii() else normal(k) for k in x]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -89,13 +124,12 @@ class ByteEncoder:
     def parts(self, texts: list[str]) -> list[list]:
         """What `encode` makes of the consecutive parts of each text."""
         lists = [[] if "  " in t or t.endswith(" ") else t.split(" ") for t in texts]
-        first = self.whole([x[0] if x else t for x, t in zip(lists, texts)])
-        known = self.pieces.prepare([x[1:] for x in lists])
-        out = [[f, *map(known.__getitem__, x[1:])] for f, x in zip(first, lists)]
+        first = self.whole([x.pop(0) if x else t for x, t in zip(lists, texts)])
+        known = self.pieces.prepare(lists)
+        out = [[f, *map(known.__getitem__, x)] for f, x in zip(first, lists)]
         self.pieces.done()
         return out
 
 
 def byte_encoder(path: str) -> ByteEncoder:
-    t = library(path)
-    return ByteEncoder(lambda x: _ids(t, x))
+    return ByteEncoder(Matches(library(path), BYTE_PATTERN).encode)
