@@ -14,7 +14,7 @@ MODEL_LABELS = tuple(
     "GIVENNAME SURNAME TITLE AGE SEX GENDER DATE EMAIL TELEPHONENUM STREET BUILDINGNUM CITY ZIPCODE IDCARDNUM PASSPORTNUM DRIVERLICENSENUM "
     "SOCIALNUM TAXNUM CREDITCARDNUMBER".split()
 )
-GATEWAY_LABELS = ("IBAN", "IPADDRESS")
+CHECKED_LABELS = ("IBAN", "IPADDRESS")
 BUCKETS = ("NAME", "OTHER")
 LABELS = MODEL_LABELS + BUCKETS
 IGNORE = "IGNORE"

@@ -26,9 +26,9 @@ def mapped(df: DataFrame, mapping: dict[str, str], default: str = IGNORE) -> Dat
     return df.where(in_range(F.col("text"), F.col("spans"))).withColumn("spans", mapped_labels(F.col("spans"), mapping, default))
 
 
-def gateway_scope(df: DataFrame, gateway: bool) -> DataFrame:
+def evaluation_scope(df: DataFrame, checked: bool) -> DataFrame:
     """Outside the service's scope, IBAN and IPADDRESS are not evaluated."""
-    return df if gateway else df.withColumn("spans", F.transform("spans", lambda s: s.withField("label", F.when(s["label"].isin("IBAN", "IPADDRESS"), F.lit(IGNORE)).otherwise(s["label"]))))
+    return df if checked else df.withColumn("spans", F.transform("spans", lambda s: s.withField("label", F.when(s["label"].isin("IBAN", "IPADDRESS"), F.lit(IGNORE)).otherwise(s["label"]))))
 
 
 def windows_between_spans(df: DataFrame, parts: DataFrame, key: str = "id") -> DataFrame:

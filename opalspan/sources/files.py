@@ -139,15 +139,15 @@ class Catalogue:
     def path(self, name: str) -> str:
         return self.sets.get(name, name)
 
-    def load(self, spark: SparkSession, name: str, limit: int | None = None, gateway: bool = False) -> DataFrame:
+    def load(self, spark: SparkSession, name: str, limit: int | None = None, checked: bool = False) -> DataFrame:
         """The set with unique ids, IBAN and IPADDRESS out of scope unless asked for."""
-        from opalspan.operators.prep import gateway_scope, repeated_ids
+        from opalspan.operators.prep import evaluation_scope, repeated_ids
 
         df = read_examples(spark, self.path(name), limit)
         twice = [r["id"] for r in repeated_ids(df).limit(5).collect()]
         if twice:
             raise ValueError(f"{name}: repeated ids {twice}")
-        return gateway_scope(df, gateway)
+        return evaluation_scope(df, checked)
 
 
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
