@@ -16,9 +16,10 @@ from opalspan.llm.common import discard, partitions, small_batches, written
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
 #: Bytes of text that are hashed at once, and context bytes that are refined at once.
-PIECE, CHUNK = 1 << 19, 3 << 20
-#: Distinct contexts of one initial bucket from which its windows are grouped by Spark instead of in one task.
-HOT = 8000
+PIECE, CHUNK = 1 << 19, 3 << 19
+#: Distinct contexts of one initial bucket from which its strings are told apart by hash, which takes less memory than
+#: refining; and from which Spark groups those hashes instead of one task.
+LARGE, HOT = 1500, 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -225,6 +226,31 @@ def repeated_starts(contexts: list[bytes], owner: list[int], lo: list[int], many
     return [hit[cuts[i] : cuts[i + 1]] - base[i] + lo[i] for i in range(len(contexts))]
 
 
+def hashed_starts(contexts: list[bytes], owner: list[int], lo: list[int], many: list[bool], length: int) -> list[np.ndarray]:
+    """The same as repeated_starts for one large bucket: a 64-bit hash of each string stands for its bucket."""
+    digest = xxhash.xxh3_64_intdigest
+    sizes = np.array([max(0, len(c) - length + 1) for c in contexts])
+    ends = np.cumsum(sizes)
+    key = np.empty(int(ends[-1]), dtype=np.uint64)
+    at = 0
+    for c in contexts:
+        view = memoryview(c)
+        for p in range(len(c) - length + 1):
+            key[at] = digest(view[p : p + length])
+            at += 1
+    which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    inside = (np.arange(at) - np.repeat(ends - sizes, sizes)).astype(np.int64)
+    place = (np.array(owner, dtype=np.int64)[which] << 32) + np.array(lo, dtype=np.int64)[which] + inside
+    order = np.argsort(key)
+    key, place = key[order], place[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)
+    several |= np.maximum.reduceat(np.array(many)[which[order]].astype(np.int8), edge) > 0
+    hit = np.zeros(at, dtype=bool)
+    hit[order] = np.repeat(several, np.diff(np.concatenate([edge, [at]])))
+    return [np.flatnonzero(hit[e - n : e]) + l for e, n, l in zip(ends.tolist(), sizes.tolist(), lo)]
+
+
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Union of [s, s + length) over sorted starts."""
     if not len(starts):
@@ -242,7 +268,8 @@ def _refine_rows(length: int):
         def out(rows: list[tuple]) -> pa.RecordBatch:
             names: dict = {}
             owner = [names.setdefault((r[0], r[1]), len(names)) for r in rows]
-            hits = repeated_starts([r[4] for r in rows], owner, [r[3] for r in rows], [r[5] for r in rows], length)
+            starts_of = hashed_starts if len(rows) > LARGE and rows[0][2] == rows[-1][2] else repeated_starts
+            hits = starts_of([r[4] for r in rows], owner, [r[3] for r in rows], [r[5] for r in rows], length)
             c: list[list] = [[], [], [], []]
             for r, starts in zip(rows, hits):
                 for s, e in _runs(starts, length):
@@ -251,15 +278,23 @@ def _refine_rows(length: int):
             return pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "tkey", "s", "e"])
 
         rows: list[tuple] = []
-        size, last = 0, None
+        first = size = 0  # of the current bucket; bytes of rows
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if r[2] != last and size >= CHUNK:
-                    yield out(rows)
-                    rows, size = [], 0
-                last = r[2]
+                if rows and r[2] != rows[-1][2]:
+                    if len(rows) - first > LARGE and first:
+                        yield out(rows[:first])
+                        rows = rows[first:]
+                        first = 0
+                    if size >= CHUNK or len(rows) - first > LARGE:
+                        yield out(rows)
+                        rows, size = [], 0
+                    first = len(rows)
                 rows.append(r)
                 size += len(r[4])
+        if first and len(rows) - first > LARGE:
+            yield out(rows[:first])
+            rows = rows[first:]
         if rows:
             yield out(rows)
 
