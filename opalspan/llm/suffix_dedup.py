@@ -16,10 +16,10 @@ from opalspan.llm.common import discard, partitions, small_batches, written
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
 #: Bytes of text that are hashed at once, and context bytes that are refined at once.
-PIECE, CHUNK = 1 << 19, 3 << 19
+PIECE, CHUNK = 1 << 19, 1 << 19
 #: Distinct contexts of one initial bucket from which its strings are told apart by hash, which takes less memory than
 #: refining; and from which Spark groups those hashes instead of one task.
-LARGE, HOT = 1500, 20_000
+LARGE, HOT = 600, 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -239,15 +239,20 @@ def hashed_starts(contexts: list[bytes], owner: list[int], lo: list[int], many:
             key[at] = digest(view[p : p + length])
             at += 1
     which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    inside = (np.arange(at) - np.repeat(ends - sizes, sizes)).astype(np.int64)
-    place = (np.array(owner, dtype=np.int64)[which] << 32) + np.array(lo, dtype=np.int64)[which] + inside
-    order = np.argsort(key)
-    key, place = key[order], place[order]
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    several = np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)
-    several |= np.maximum.reduceat(np.array(many)[which[order]].astype(np.int8), edge) > 0
+    base = (np.array(owner, dtype=np.int64) << 32) + np.array(lo, dtype=np.int64) - (ends - sizes)
+    copies = np.array(many)
     hit = np.zeros(at, dtype=bool)
-    hit[order] = np.repeat(several, np.diff(np.concatenate([edge, [at]])))
+    for part in range(8):  # equal hashes are in one part, and only a part is sorted at a time
+        mine = np.flatnonzero((key & np.uint64(7)) == part)
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(key[mine])]
+        own = key[mine]
+        place = base[which[mine]] + mine
+        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        several = np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)
+        several |= np.maximum.reduceat(copies[which[mine]].astype(np.int8), edge) > 0
+        hit[mine] = np.repeat(several, np.diff(np.concatenate([edge, [len(mine)]])))
     return [np.flatnonzero(hit[e - n : e]) + l for e, n, l in zip(ends.tolist(), sizes.tolist(), lo)]
 
 
