@@ -21,7 +21,7 @@ LONG_WORD = 400
 
 #: Rounds: neighbours that the merge table has, each word's pair of least rank, leftmost of equals, contracted. A word
 #: without a pair has no row in the next round, so its last round is its fixpoint.
-_ENCODE = """
+_ROUNDS = """
 with recursive state(round, word, pos, tok) as (
   select 0, word, pos, tok from tokens
   union all
@@ -36,10 +36,11 @@ with recursive state(round, word, pos, tok) as (
       ) group by word
     ) b on b.word = s.word
   ) where pos <> gone
-)
-select word, list(tok order by pos) as ids from (select word, pos, tok, round, max(round) over (partition by word) as final from state)
-where round = final group by word order by word
+), last as (select word, max(round) as round from state group by word)
 """
+_ENCODE = _ROUNDS + "select word, list(tok order by pos) from state join last using (word, round) group by word order by word"
+#: The same, with each word's ids in decimal, their number, and what they decode to, by ordered aggregation.
+_BOTH = _ROUNDS + "select word, string_agg(name, ',' order by pos), count(*), string_agg(hex, '' order by pos) from state join last using (word, round) join vocabulary on id = tok group by word order by word"
 _DECODE = "select t.word, string_agg(v.hex, '' order by t.pos) as hex from tokens t join vocabulary v on v.id = t.tok group by t.word order by t.word"
 
 
@@ -62,8 +63,8 @@ class Bpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
         self.db.execute("set temp_directory = ''")
         self._table("merges", pa.table({"a": a, "b": b, "id": i}))
-        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([b.hex() for b in ranks])}))
-        self.words = Pieces(self._words, 60_000)
+        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "name": pa.array([str(r) for r in ranks.values()]), "hex": pa.array([b.hex() for b in ranks])}))
+        self.words = Pieces(self._words)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -77,7 +78,7 @@ class Bpe:
         self.db.register("tokens", given)
         out = self.db.execute(sql).fetchall()
         self.db.unregister("tokens")
-        return [x[1] for x in out]
+        return [x[1:] for x in out]
 
     def _merge_long(self, raw: bytes) -> list[int]:
         """The same contractions for one long word: pairs wait in a heap by rank, then place."""
@@ -105,8 +106,8 @@ class Bpe:
                 offer(before[i])
         return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of non-empty words, each merged by itself."""
+    def _in_queries(self, sql: str, words: list[bytes]) -> list:
+        """Rows of one query for each part of the words, shortest first; null for words too long for rounds."""
         out: list = [None] * len(words)
         order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG_WORD), key=lambda i: len(words[i]))
         part: list[int] = []
@@ -114,8 +115,8 @@ class Bpe:
 
         def flush() -> None:
             if part:
-                for i, ids in zip(part, self._query(_ENCODE, [self.byte[np.frombuffer(words[k], np.uint8)] for k in part])):
-                    out[i] = ids
+                for i, row in zip(part, self._query(sql, [self.byte[np.frombuffer(words[k], np.uint8)] for k in part])):
+                    out[i] = row
 
         for i in order:
             if states + len(words[i]) ** 2 > QUERY_STATES and part:
@@ -124,27 +125,41 @@ class Bpe:
             part.append(i)
             states += len(words[i]) ** 2
         flush()
-        return [self._merge_long(w) if x is None else x for w, x in zip(words, out)]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of non-empty words, each merged by itself."""
+        return [self._merge_long(w) if x is None else x[0] for w, x in zip(words, self._in_queries(_ENCODE, words))]
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """Bytes of each non-empty sequence of ids, by one ordered aggregation."""
-        return [bytes.fromhex(x) for x in self._query(_DECODE, [np.array(s, dtype=np.int32) for s in sequences])] if sequences else []
+        return [bytes.fromhex(x[0]) for x in self._query(_DECODE, [np.array(s, dtype=np.int32) for s in sequences])] if sequences else []
 
     def _words(self, words: list[str]) -> list[tuple[str, int, bytes]]:
-        ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
-        return [(",".join(map(str, x)), len(x), d) for x, d in zip(ids, self.decode(ids))]
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        unhex = bytes.fromhex
+        out = [None if x is None else (x[0], x[1], unhex(x[2])) for x in self._in_queries(_BOTH, raw)]
+        long = [i for i, x in enumerate(out) if x is None]
+        for i, ids, decoded in zip(long, each := [self._merge_long(raw[i]) for i in long], self.decode(each)):
+            out[i] = ",".join(map(str, ids)), len(ids), decoded
+        return out
 
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """(ids joined by commas, their number, the bytes they decode to) of each text, cut by the pattern."""
-        lists = [self.pattern.findall(t) for t in texts]
+        lists = list(map(self.pattern.findall, texts))
         known = self.words.prepare(lists)
-        out = [joined([known[w] for w in x]) for x in lists]
+        out = [known[x[0]] if len(x) == 1 else joined([known[w] for w in x]) for x in lists]
         self.words.done()
         return out
 
 
 def joined(parts: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
-    return ",".join([p[0] for p in parts if p[1]]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+    if not all(p[1] for p in parts[:1]):
+        parts = parts[1:]  # only a text's first part can be empty
+    if not parts:
+        return "", 0, b""
+    ids, sizes, decoded = zip(*parts)
+    return ",".join(ids), sum(sizes), b"".join(decoded)
 
 
 def _run(path: str, pattern: str):
