@@ -191,10 +191,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs, with their columns, whose doc_id is the smallest of its group; an equal row stays once. Rows
-    with a null doc_id stay, as no group can be named by them."""
-    groups = near_duplicates(docs)
+    with a null doc_id stay, as no group can be named by them. Groups (doc_id, component_id) are those of
+    near_duplicates unless others are given."""
+    groups = near_duplicates(docs) if groups is None else groups
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
     return named.dropDuplicates().unionByName(docs.where(F.col("doc_id").isNull()))

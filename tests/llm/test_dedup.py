@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from opalspan.llm import cover_tree, simhash, suffix_dedup
+import corpus_pipeline
+from opalspan.llm import cover_tree, shingle_sets, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string, source string, label string"
 
@@ -63,6 +64,36 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("hot,hot_bytes", [(shingle_sets.HOT, shingle_sets.HOT_BYTES), (3, 10**9), (10**6, 2000)])
+def test_shingle_sets(spark, hot, hot_bytes):
+    rows = messy(4, 160)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    base = r.choices(words, k=150)
+    for k in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((1000 + k, " ".join(w).upper() if k % 2 else "\n ".join(w), "s", "c"))
+    df = spark.createDataFrame(rows, DOCS)
+    got = {x["doc_id"]: x["component_id"] for x in shingle_sets.near_duplicates(df, hot, hot_bytes).collect()}
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {d: grams(t) for d, t, *_ in rows}
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    want = components(sets, [(i, j) for i in sets for j in sets if i < j and near(sets[i], sets[j])])
+    assert got == want
+    # changed words that move more than 3 bits of the fingerprint, which the stage must not keep
+    fp = {d: simhash.fingerprint(t) for d, t, *_ in rows}
+    far = [d for d in want if want[d] != d and not any((fp[d] ^ fp[k]).bit_count() <= 3 for k in fp if k < d)]
+    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert far and kept == set(want.values())
+    assert shingle_sets.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def brute_removal(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = {}
