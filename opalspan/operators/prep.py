@@ -119,12 +119,18 @@ def near_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float = 0
 
 
 def near_duplicates_lsh(candidates: DataFrame, pool: DataFrame, threshold: float = 0.8, n: int = 5, tables: int = 16, key: str = "id") -> DataFrame:
-    """The same by MinHash: pairs that collide in one of the tables, their distance then computed."""
+    """The same by MinHash: pairs that collide in one of the tables, their shingles then compared. The distance over
+    hashed shingles only narrows them, with a margin, as hashes of different shingles may be equal."""
     tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 18, binary=True)
-    made = lambda df: tf.transform(_templates(df, key).select("id", shingles(words(F.col("text")), n).alias("grams")))
+    grams = lambda df: _templates(df, key).select("id", shingles(words(F.col("text")), n).alias("grams"))
+    made = lambda df: tf.transform(grams(df)).select("id", "features")
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=1).fit(made(pool))
-    pairs = model.approxSimilarityJoin(made(candidates), made(pool), 1 - threshold, distCol="d")
-    return pairs.select(F.col("datasetA.id").alias(key), F.col("datasetB.id").alias("other"), (1 - F.col("d")).alias("jaccard"))
+    near = model.approxSimilarityJoin(made(candidates), made(pool), 1 - threshold + 0.1, distCol="d")
+    near = near.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("other"))
+    both = near.join(grams(candidates).withColumnRenamed("grams", "a"), "id").join(grams(pool).select(F.col("id").alias("other"), F.col("grams").alias("b")), "other")
+    size = F.size(F.array_intersect("a", "b"))
+    pairs = both.select("id", "other", (size / (F.size("a") + F.size("b") - size)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return pairs.withColumnRenamed("id", key)
 
 
 def take_deduped(candidates: DataFrame, duplicates: DataFrame, k: int, order: str, key: str = "id") -> DataFrame:

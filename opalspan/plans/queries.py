@@ -164,8 +164,12 @@ def q_near_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_near_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all, whatever their language: each pair once, the later document first. Equal texts are
+    one class: its first document stands for it in the pairs, the others have a row that names the first."""
     docs, _ = _near(spark, sf_dir)
-    return prep.near_duplicates_lsh(docs.where("lang <> 'en'"), docs.where("lang = 'en'"), 0.8)
+    first = docs.groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
+    same = docs.join(first.select("text", F.col("id").alias("other")), "text").where("id <> other").select("id", "other", F.lit(1.0).alias("jaccard"))
+    return prep.near_duplicates_lsh(first, first, 0.8).where("other < id").unionByName(same)
 
 
 def _stratified(spark: SparkSession, sf_dir: str) -> DataFrame:

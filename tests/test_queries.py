@@ -49,3 +49,30 @@ def test_token_stream(spark, tmp_path):
 
 def test_redact_stream(spark):
     assert QUERIES["stream_redact"](spark, SF).where(F.col("redacted").contains("[EMAIL]")).count() > 0
+
+
+def test_near_lsh_all_pairs(spark, tmp_path):
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for k in range(12):
+        w = r.choices([f"w{i}" for i in range(500)], k=80)
+        rows.append((k, " ".join(w), "en"))
+        w[-1] = "x"
+        rows += [(100 + k, " ".join(w), r.choice(["en", None])), (200 + k, " ".join(w), "de"), (300 + k, " ".join(w[:40]), "en")]
+    w = [f"e{i}" for i in range(40)]
+    rows += [(400, None, None), (401, "", "en"), (402, " ".join(w), "en"), (403, " ".join([*w[:36], "f", "g", "h", "i"]), "en"), (404, " ".join(w[:30]), "en"), (405, " ".join([*w[:30], "h", "i"]), "en")]
+    rows += [(406, " ".join(w[:24]), "en"), (407, " ".join(w[:20]), "en")]  # 16 of 20 shingles: 0.8 exactly
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((x["id"], x["other"], round(x["jaccard"], 6)) for x in QUERIES["near_dup_lsh"](spark, str(tmp_path)).collect())
+    texts = {d: t or "" for d, t, _ in rows}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    first = {}
+    for d in sorted(texts):
+        first.setdefault(texts[d], d)
+    want = [(d, first[t], 1.0) for d, t in texts.items() if first[t] != d]
+    sets = {d: grams(t.split()) for t, d in first.items()}
+    want += [(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any(x[2] == 0.8 for x in want) and any(x[2] > 0.8 for x in want) and got == sorted(want)
