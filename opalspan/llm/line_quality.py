@@ -66,9 +66,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
-    """(_ol_host, _ol_key, line, words): lines above their host's limit, once for each different text that has them."""
-    lines = F.array_distinct(F.transform(_lines(F.col("_ol_text")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).alias("words"))))
-    own = _keyed(docs).select("_ol_host", "_ol_key", F.explode(lines).alias("x")).select("_ol_host", "_ol_key", "x.line", "x.words").distinct()
+    """(_ol_host, _ol_key, line, words): lines above their host's limit, once for each different text that has them, with
+    the words of all their occurrences there."""
+    places = F.transform(_lines(F.col("_ol_text")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).alias("words")))
+    keyed = _keyed(docs).select("_ol_host", "_ol_key", places.alias("p")).dropDuplicates(["_ol_host", "_ol_key"])
+    own = keyed.select("_ol_host", "_ol_key", F.explode("p").alias("x")).groupBy("_ol_host", "_ol_key", "x.line").agg(F.sum("x.words").alias("words"))
     texts = _keyed(docs).select("_ol_host", "_ol_key").distinct().groupBy("_ol_host").agg(F.greatest(F.lit(float(floor)), F.count(F.lit(1)) * F.lit(share)).alias("limit"))
     counted = own.groupBy("_ol_host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
     common = counted.join(texts, "_ol_host").where(F.col("n") > F.col("limit")).select("_ol_host", "line")
@@ -77,7 +79,7 @@ def common_lines(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_F
 
 def assess(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, depleted: float = DEPLETED_SHARE) -> DataFrame:
     """Every row of docs with all its columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_common_words (words on lines above the host's limit, a line once), kept.
+    base_failed, n_common_words (words on lines above the host's limit, every occurrence), kept.
 
     A line counts once for each different text of a host (source), so exact copies do not make their own lines
     common; its limit is `share` of the host's different texts, `floor` at least. kept: not base_failed, and neither

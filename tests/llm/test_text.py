@@ -78,6 +78,20 @@ def test_line_quality(spark):
     assert line_quality.assess(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_common_lines(spark):
+    own = lambda k, n: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}" for i in range(n))
+    line = "all rights are reserved here"
+    rows = [(k, f"{line}\n{own(k, 25)}", "site") for k in range(80)]
+    rows += [(100, "\n".join([line.title()] * 4 + [own(100, 12)]), "site"), (101, "\n".join([own(101, 25), line, line]), "site")]
+    rows += [(102, rows[-2][1], "site"), (102, rows[-2][1], "site")]
+    df = spark.createDataFrame([(*x, "", "", "") for x in rows], DOCS)
+    got = {x["doc_id"]: x for x in line_quality.assess(df).collect()}
+    left = {x["doc_id"]: x["text"] for x in line_quality.without_common_lines(df).collect()}
+    for d, x, _ in rows:
+        assert got[d]["n_words"] - got[d]["n_common_words"] == len(left[d].split())
+    assert got[100]["n_common_words"] == 20 and got[102]["n_common_words"] == 20 and got[101]["n_common_words"] == 10
+
+
 PAGE = """<html><head><title>T</title><script>if (a < b) { "<p>x</p>" }</script></head><body><header>Top</header><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies, ok.</div>{open}<h1>A &amp; B</h1><p>First para, with <b>bold</b>&nbsp;text
  and more, so it is long enough.<br>Next line.<p>Second.<ul><li>one<li>two</ul><form>Name: <input></form><div class="ad">Buy!</div>{close}
