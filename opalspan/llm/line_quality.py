@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Distinct documents of one host in which a line may stand. A share of the host's documents, and never fewer than the floor.
-LINE_SHARE, LINE_FLOOR = 0.05, 50
+#: A line is common above this share of its host's different texts, at every size; a line in LINE_FLOOR texts or fewer
+#: never is, as so few say nothing.
+LINE_SHARE, LINE_FLOOR = 0.05, 2
 #: A document whose lines above the limit hold more than this share of its words is rejected.
 DEPLETED_SHARE = 0.8
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
@@ -82,7 +83,7 @@ def assess(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR,
     base_failed, n_common_words (words on lines above the host's limit, every occurrence), kept.
 
     A line counts once for each different text of a host (source), so exact copies do not make their own lines
-    common; its limit is `share` of the host's different texts, `floor` at least. kept: not base_failed, and neither
+    common; its limit is `share` of the host's different texts, and more than `floor` must have it. kept: not base_failed, and neither
     over `depleted` of the words on such lines nor fewer than MIN_WORDS left without them. A null text has no words
     and fails; a null source is a host of its own; repeated rows get equal verdicts; columns named like the new ones
     are replaced. Only hashes and counts are shuffled, lines pre-aggregated; texts are shuffled only where kept.

@@ -92,6 +92,21 @@ def test_repeated_common_lines(spark):
     assert got[100]["n_common_words"] == 20 and got[102]["n_common_words"] == 20 and got[101]["n_common_words"] == 10
 
 
+def test_common_lines_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["source"], r["text"] or "") for r in docs.select("doc_id", "source", "text").collect()]
+    norm = lambda y: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", y.lower())).strip(" ")
+    lines = lambda x: [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
+    texts, count = collections.Counter(), collections.Counter()
+    for h, x in {(h, x) for _, h, x in rows}:
+        texts[h] += 1
+        count.update({(h, norm(y)) for y in lines(x)})
+    common = {k for k, n in count.items() if n >= 3 and n > 0.05 * texts[k[0]]}
+    want = {d: sum(len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in lines(x) if (h, norm(y)) in common) for d, h, x in rows}
+    assert sum(v > 0 for v in want.values()) > 100
+    assert {r["doc_id"]: r["n_common_words"] for r in line_quality.assess(docs).collect()} == want
+
+
 PAGE = """<html><head><title>T</title><script>if (a < b) { "<p>x</p>" }</script></head><body><header>Top</header><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies, ok.</div>{open}<h1>A &amp; B</h1><p>First para, with <b>bold</b>&nbsp;text
  and more, so it is long enough.<br>Next line.<p>Second.<ul><li>one<li>two</ul><form>Name: <input></form><div class="ad">Buy!</div>{close}
