@@ -52,6 +52,16 @@ def test_disclosure(spark):
     assert pii_disclosure.personal_spans(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_disclosure_copies(spark):
+    # copies of a text are one document of evidence for the word, too
+    r = random.Random(9)
+    noise = lambda: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(6))
+    texts = [f"{noise()} zanzibarian j.doe@example.com the {noise()}" for _ in range(4)] + [f"the {noise()} the" for _ in range(60)]
+    rows = [(k, x) for k, x in enumerate([texts[0]] * 200 + texts)]
+    got = pii_disclosure.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(":" in x["spans"] and "term:" in x["spans"] for x in got) == 204
+
+
 def measures(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
     lines = [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
