@@ -62,6 +62,18 @@ def test_disclosure_copies(spark):
     assert sum(":" in x["spans"] and "term:" in x["spans"] for x in got) == 204
 
 
+def test_disclosure_rare_entity(spark):
+    # an address met once, beside a word met once and words that stand in many texts
+    rows = [(0, "please write to zanzibarian j.doe@example.com about the matter", ""), (1, None, "")]
+    rows += [(10 + k, f"please write to us about the matter number{chr(97 + k % 26)}{k}", "") for k in range(2000)]
+    df = spark.createDataFrame([(d, x) for d, x, _ in rows], "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii_disclosure.personal_spans(df).collect()}
+    x = rows[0][1]
+    assert [x[int(s) : int(e)] for k, s, e in (y.split(":") for y in got[0].split(",")) if k == "term"] == ["zanzibarian"]
+    assert not any(v for d, v in got.items() if d)
+    assert {r["doc_id"]: r["text"] for r in pii_disclosure.sanitise(df).collect()}[0] == "please write to z* [EMAIL] about the matter"
+
+
 def measures(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
     lines = [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
