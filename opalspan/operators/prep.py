@@ -41,21 +41,37 @@ def windows_between_spans(df: DataFrame, parts: DataFrame, key: str = "id") -> D
     return both.where(~crossed).select(key, "offset", F.col("chunk").alias("text"), moved.cast(SPANS).alias("spans"))
 
 
+def ranked(df: DataFrame, group: list[str], value: Column, key: str, buckets: int = 1024) -> DataFrame:
+    """df with _rank, from 1, by (value, key) within each group, and _size of the group. value: 60 random bits.
+
+    Values are cut into ranges; a range's first rank is the sum of the counts before it, so a window holds one range of
+    one group. The counts are buckets times groups.
+    """
+    low = F.shiftright(value, 60 - (buckets - 1).bit_length()).cast("int")
+    marked = df.withColumns({"_value": value, "_bucket": low})
+    counts = marked.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(*group)
+    starts = counts.select(*group, "_bucket", (F.sum("_n").over(by.orderBy("_bucket")) - F.col("_n")).alias("_before"), F.sum("_n").over(by).alias("_size"))
+    same = [F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}")) for g in group] + [F.col("x._bucket") == F.col("y._bucket")]
+    both = marked.alias("x").join(starts.alias("y"), same).select(*[F.col(f"x.`{c}`") for c in marked.columns], "y._before", "y._size")
+    inner = Window.partitionBy(*group, "_bucket").orderBy("_value", key)
+    return both.withColumn("_rank", F.row_number().over(inner) + F.col("_before")).drop("_value", "_bucket", "_before")
+
+
 def stratified_order(df: DataFrame, seed: int, region: str = "region", key: str = "id") -> DataFrame:
     """df with stratum and place, ordered so that every prefix is nearly stratified.
 
     A stratum is the region and the rarest label present (ties by name; NONE without spans). Its documents, shuffled by
-    hash, get (k + u) / n; ordering by that spreads each stratum evenly. Row numbers are per stratum; the whole is
-    sorted once. The number of labels is fixed, so their counts are broadcast.
+    hash, get (k + u) / n; ordering by that spreads each stratum evenly. The whole is sorted once. The number of labels
+    is fixed, so their counts are broadcast.
     """
     counts = df.select(F.explode("spans").alias("s")).groupBy(F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     rarity = counts.agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_freq"))
     rarest = F.array_min(F.transform(F.array_distinct(F.transform("spans", lambda s: s["label"])), lambda lab: F.struct(F.try_element_at(F.col("_freq"), lab).alias("n"), lab.alias("label"))))["label"]
     marked = df.crossJoin(F.broadcast(rarity)).withColumn("stratum", F.concat_ws("|", F.coalesce(F.col(region), F.lit("?")), F.coalesce(rarest, F.lit("NONE")))).drop("_freq")
-    inner = Window.partitionBy("stratum").orderBy(draw(F.lit(seed), F.col(key)), key)
-    size = F.count(F.lit(1)).over(Window.partitionBy("stratum"))
     u = (draw(F.lit(seed), F.lit("u"), F.col(key)) % 1_000_000) / 1_000_000
-    return marked.withColumn("place", (F.row_number().over(inner) - 1 + u) / size).orderBy("place", key)
+    places = ranked(marked, ["stratum"], draw(F.lit(seed), F.col(key)), key).withColumn("place", (F.col("_rank") - 1 + u) / F.col("_size"))
+    return places.drop("_rank", "_size").orderBy("place", key)
 
 
 def sample(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -73,8 +89,8 @@ def equal_share_sample(df: DataFrame, n: int, group: str, seed: int, key: str =
     groups = df.select(group).distinct().withColumn("_r", F.row_number().over(Window.orderBy(group)) - 1)
     total = groups.agg(F.count(F.lit(1)).alias("_g"))
     share = groups.crossJoin(F.broadcast(total)).select(group, (F.floor(F.lit(n) / F.col("_g")) + (F.col("_r") < F.lit(n) % F.col("_g")).cast("int")).alias("_share"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(draw(F.lit(seed), F.col(key)), key))
-    return df.join(F.broadcast(share), group).withColumn("_rank", rank).where("_rank <= _share").drop("_rank", "_share")
+    places = ranked(df, [group], draw(F.lit(seed), F.col(key)), key)
+    return places.join(F.broadcast(share), group).where("_rank <= _share").drop("_rank", "_size", "_share").select(*df.columns)
 
 
 def halves_sample(df: DataFrame, flag: str, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -99,23 +115,51 @@ def _templates(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), text.alias("text"))
 
 
-def near_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "id") -> DataFrame:
-    """(key, other, jaccard): candidates whose masked text shares at least the threshold of n-word shingles with one of
-    the pool; exact.
+def _classes(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(members: id, c; classes: c, h) of documents by their sorted shingle hashes: equal sets are one class."""
+    hashes = F.array_sort(F.transform(shingles(words(F.col("text")), n), lambda g: F.xxhash64(g)))
+    sets = _templates(df, key).select("id", hashes.alias("h"))
+    named = sets.withColumn("c", F.md5(F.array_join(F.transform("h", lambda x: F.hex(x)), ",")))
+    return named.select("id", "c"), named.groupBy("c").agg(F.first("h").alias("h"))
+
 
-    Prefix filter: a pair at the threshold shares a shingle among the first |x| - ceil(t |x|) + 1 of either, in order
-    of hash, so only those are joined; then the sets are compared. Equal texts of the pool are one row.
+def class_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(c, d, jaccard) of classes (c, h) and (d, g) at or over the threshold; exact.
+
+    Prefix filter: a pair at the threshold shares a hash among the first |x| - ceil(t |x|) + 1 of either, so only those
+    are joined, with nothing but the sets' names and sizes; sets meet once for each pair that is left. All joins are
+    merge joins, whose sides are never gathered.
     """
-    prefix = lambda h: F.slice(h, 1, F.size(h) - F.ceil(F.size(h) * threshold).cast("int") + 1)
-    hashes = F.array_sort(F.transform(shingles(words(F.col("text")), n), lambda g: F.xxhash64(g)))
-    left = _templates(candidates, key).select("id", hashes.alias("h"))
-    right = _templates(pool, key).select(F.col("id").alias("other"), hashes.alias("g")).groupBy("g").agg(F.min("other").alias("other"))
-    a = left.select("id", "h", F.explode(prefix(F.col("h"))).alias("p"))
-    b = right.select("other", "g", F.explode(prefix(F.col("g"))).alias("p"))
+    least = lambda h: F.ceil(F.size(h) * threshold - 1e-9).cast("int")
+    prefix = lambda h: F.explode(F.slice(h, 1, F.size(h) - least(h) + 1))
+    left = a.select("c", F.size("h").alias("n"), prefix(F.col("h")).alias("p"))
+    right = b.select("d", F.size("g").alias("m"), prefix(F.col("g")).alias("p"))
+    fits = (F.col("m") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("m") * threshold - 1e-9)
+    some = left.hint("merge").join(right, "p").where(fits).select("c", "d").distinct()
+    both = some.hint("merge").join(a, "c").hint("merge").join(b, "d")
     size = F.size(F.array_intersect("h", "g"))
-    fits = (F.size("g") >= F.size("h") * threshold) & (F.size("h") >= F.size("g") * threshold)
-    pairs = a.join(b, "p").where(fits).select("id", "other", (size / (F.size("h") + F.size("g") - size)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return pairs.distinct().withColumnRenamed("id", key)
+    return both.select("c", "d", (size / (F.size("h") + F.size("g") - size)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "id") -> DataFrame:
+    """(key, other, jaccard): candidates whose masked text shares at least the threshold of n-word shingles with one of
+    the pool; exact. Equal texts are compared once; those of the pool are one row, named by the first."""
+    members, a = _classes(candidates, key, n)
+    others, b = _classes(pool, key, n)
+    named = others.groupBy(F.col("c").alias("d")).agg(F.min("id").alias("other"))
+    pairs = class_pairs(a, b.select(F.col("c").alias("d"), F.col("h").alias("g")), threshold)
+    return pairs.join(named, "d").join(members, "c").select(F.col("id").alias(key), "other", "jaccard")
+
+
+def near_duplicates_within(df: DataFrame, threshold: float = 0.8, n: int = 5, key: str = "id") -> DataFrame:
+    """(key, other, jaccard) of all documents with all: pairs of class representatives, the later first, and for every
+    other member of a class a row that names its representative."""
+    members, sets = _classes(df, key, n)
+    first = members.groupBy("c").agg(F.min("id").alias("other"))
+    pairs = class_pairs(sets, sets.select(F.col("c").alias("d"), F.col("h").alias("g")), threshold).where("c <> d")
+    named = pairs.join(first.withColumnRenamed("other", "id"), "c").join(first.withColumnRenamed("c", "d"), "d").where("other < id")
+    same = members.join(first, "c").where("id <> other").select("id", "other", F.lit(1.0).alias("jaccard"))
+    return named.select("id", "other", "jaccard").unionByName(same).withColumnRenamed("id", key)
 
 
 def near_duplicates_lsh(candidates: DataFrame, pool: DataFrame, threshold: float = 0.8, n: int = 5, tables: int = 16, key: str = "id") -> DataFrame:
@@ -142,17 +186,18 @@ def splits(train: DataFrame, validation: DataFrame, pool: int, nested: list[int]
     """(key, split): nested prefixes of a stratified pool, then dev, test_id and test_holdout_regions from validation,
     disjoint and free of near-duplicates of the pool."""
     away = F.coalesce(F.col(region).isin(holdout), F.lit(False)) if holdout else F.lit(False)
-    rank = lambda df, s: stratified_order(df, s, region, key).withColumn("rank", F.row_number().over(Window.orderBy("place", key)))
-    ranked = rank(train.where(~away), seed).where(F.col("rank") <= pool)
-    out = ranked.select(key, F.explode(F.filter(F.array(*[F.when(F.col("rank") <= n, F.lit(f"train_{n}")) for n in [pool, *nested]]), lambda x: x.isNotNull())).alias("split"))
-    near = near_duplicates(validation, ranked, threshold, key=key)
-    ordered = rank(validation, seed + 1).join(near.select(key).distinct(), key, "left_anti")
-    home = ordered.where(~away).withColumn("r", F.row_number().over(Window.orderBy("rank")))
+    # the first rows by place are as many as the parameters say, so numbering them in one window is bounded
+    numbered = lambda df, n: df.limit(n).withColumn("rank", F.row_number().over(Window.orderBy("place", key)))
+    most = numbered(stratified_order(train.where(~away), seed, region, key), pool)
+    out = most.select(key, F.explode(F.filter(F.array(*[F.when(F.col("rank") <= n, F.lit(f"train_{n}")) for n in [pool, *nested]]), lambda x: x.isNotNull())).alias("split"))
+    near = near_duplicates(validation, most, threshold, key=key)
+    placed = stratified_order(validation, seed + 1, region, key).join(near.select(key).distinct(), key, "left_anti")
     dev, test = sizes.get("dev", 0), sizes.get("test_id", 0)
-    out = out.unionByName(home.where(F.col("r") <= dev + test).select(key, F.when(F.col("r") <= dev, "dev").otherwise("test_id").alias("split")))
+    home = numbered(placed.where(~away).orderBy("place", key), dev + test)
+    out = out.unionByName(home.select(key, F.when(F.col("rank") <= dev, "dev").otherwise("test_id").alias("split")))
     if holdout:
-        far = ordered.where(away).withColumn("r", F.row_number().over(Window.orderBy("rank")))
-        out = out.unionByName(far.where(F.col("r") <= sizes.get("test_holdout_regions", 0)).select(key, F.lit("test_holdout_regions").alias("split")))
+        far = placed.where(away).orderBy("place", key).limit(sizes.get("test_holdout_regions", 0))
+        out = out.unionByName(far.select(key, F.lit("test_holdout_regions").alias("split")))
     return out
 
 
@@ -210,3 +255,13 @@ def disjoint(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     """Keys in both, prefixes such as train- and suffixes such as #3 apart; empty if the sets are disjoint."""
     bare = lambda df: df.select(F.regexp_replace(F.regexp_replace(F.col(key).cast("string"), r"^(train|validation|test)-", ""), r"#\d+$", "").alias(key)).distinct()
     return bare(a).join(bare(b), key, "left_semi")
+
+
+def numbered_spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, span_idx, label, text): spans by start, numbered from 0 in their document, as an audit sheet names them."""
+    return df.select(key, F.posexplode(by_start(F.col("spans"))).alias("span_idx", "s")).select(key, "span_idx", "s.label", "s.text")
+
+
+def audited(spans: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every span of the sheet with its verdict, ok where there is none; a verdict without a span is left out."""
+    return spans.join(verdicts, [key, "span_idx"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("ok")))

@@ -116,6 +116,21 @@ def occurrences(text: Column, value: Column, any_case: bool = False) -> Column:
     return F.aggregate(F.slice(pieces, 1, F.greatest(F.lit(0), F.size(pieces) - 1)), begin, step, lambda a: a["out"])
 
 
+def filled(text: Column, given: Column) -> Column:
+    """Values (label, text) without places, in order -> (place, label, text, start, end): each is the first whole-word
+    occurrence at or after the end of the one before it, else the first of all; start is null if there is none."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<place:int,label:string,text:string,start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        def chosen(places: Column) -> Column:
+            start = F.coalesce(F.get(F.filter(places, lambda p: p >= acc["at"]), F.lit(0)), F.get(places, F.lit(0)))
+            return let(start, lambda s: F.struct(F.coalesce(s + F.length(v["text"]), acc["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("place"), v["label"].alias("label"), v["text"].alias("text"), s.cast("int").alias("start"), (s + F.length(v["text"])).cast("int").alias("end")))).alias("out")))
+
+        return let(occurrences(text, v["text"]), chosen)
+
+    return F.aggregate(given, begin, step, lambda a: a["out"])
+
+
 LABELLED = "array<struct<start:int,end:int,label:string,text:string>>"
 
 

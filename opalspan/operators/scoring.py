@@ -271,3 +271,12 @@ def latency(df: DataFrame, *keys: str) -> DataFrame:
     """df(ms, chars) -> p50 and p95 milliseconds per 1,000 characters, and characters a second."""
     per = F.col("ms") / F.greatest(F.col("chars"), F.lit(1)) * 1000
     return df.groupBy(*keys).agg(F.round(F.percentile(per, F.lit(0.5)), 4).alias("p50_ms"), F.round(F.percentile(per, F.lit(0.95)), 4).alias("p95_ms"), F.round(F.sum("chars") / (F.sum("ms") / 1000), 4).alias("chars_per_s"))
+
+
+def delta_rows(df: DataFrame, model: str, whole: str, *keys: str) -> DataFrame:
+    """By the keys, leakage and over-redaction in percent of a model's predictions and of the whole's, and what the whole
+    changes. Both are counted in one pass over df(text, gold, ...)."""
+    both = scored(df, pred=model).select(*keys, F.lit("model").alias("system"), *COUNTS).unionByName(scored(df, pred=whole).select(*keys, F.lit("whole").alias("system"), *COUNTS))
+    of = lambda system, a, b: F.round(100 * ratio(F.sum(F.when(F.col("system") == system, F.col(a))), F.sum(F.when(F.col("system") == system, F.col(b)))), 6)
+    rows = both.groupBy(*keys).agg(of("model", "leaked_chars", "gold_chars").alias("model_leak"), of("whole", "leaked_chars", "gold_chars").alias("whole_leak"), of("model", "over_chars", "pred_chars").alias("model_over"), of("whole", "over_chars", "pred_chars").alias("whole_over"))
+    return rows.withColumn("leak_change", F.round(F.col("whole_leak") - F.col("model_leak"), 6))

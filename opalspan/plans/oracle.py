@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from opalspan.functions.detect import EMAIL
-from opalspan.plans.queries import DECISIONS, SEED
+from opalspan.functions.spans import MODEL_LABELS
+from opalspan.operators.model_output import TASK
+from opalspan.plans.queries import DECISIONS, KEY, SEED
 
 #: The patterns without look-around, which DuckDB's engine lacks; neighbours are checked with substr instead.
 _PATTERNS = {
@@ -46,6 +48,7 @@ _FOUND = f"""
 {_DOCS}, sure as ({_checked('EMAIL')} union all {_checked('CREDITCARDNUMBER')} union all {_checked('IPADDRESS')}), tel as ({_checked('TELEPHONENUM')}),
 found as (select * from sure union all select * from tel t where not exists (select 1 from sure s where s.doc_id = t.doc_id and s.start_at < t.end_at and t.start_at < s.end_at))
 """
+FOUND = _FOUND
 
 
 def _redacted(spans: str, replacement: str) -> str:
@@ -151,6 +154,64 @@ sh as (select doc_id, lang, list_distinct(case when len(w) > 5 then list_transfo
 """
 _TURNS = "select conv_id, turn, upper(role[1]) || lower(role[2:]) || ': ' || coalesce(text, '') as line from conversations where role <> 'action'"
 
+_FILLED = """
+with w as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]+') as w from (select doc_id, coalesce(text, '') as text from documents)),
+g as (select doc_id, text, [w[2], w[1], w[4]] as v from w where len(w) >= 4),
+p as (select doc_id, i, g.text, v[i + 1] as value, regexp_split_to_array(chr(1) || regexp_replace(g.text, '([^\\pL\\pN\\pM_])', chr(2) || '\\1' || chr(2), 'g') || chr(1), chr(2)) as parts from g, range(3) r(i)),
+t as (select doc_id, i, value, list_filter(list_transform(range(1, len(parts) + 1), lambda k: case when replace(parts[k], chr(1), '') = value then coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: len(replace(x, chr(1), '')))), 0) end), lambda x: x is not null) as places from p),
+a as (select doc_id, value, places, places[1] as s from t where i = 0),
+b as (select t.doc_id, t.value, coalesce(list_filter(t.places, lambda x: x >= coalesce(a.s + len(a.value), 0))[1], t.places[1]) as s, coalesce(a.s + len(a.value), 0) as at from t join a using (doc_id) where i = 1),
+c as (select t.doc_id, t.value, coalesce(list_filter(t.places, lambda x: x >= coalesce(b.s + len(b.value), b.at))[1], t.places[1]) as s from t join b using (doc_id) where i = 2)
+select doc_id, 0 as place, cast(s as bigint) as start_at, value from a union all select doc_id, 1, cast(s as bigint), value from b union all select doc_id, 2, cast(s as bigint), value from c
+"""
+_DELTAS = f"""
+with {_GOLD}, both_ as (select doc_id, start_at, end_at from pred union select doc_id, start_at, end_at from gold where label = 'EMAIL'), bp as (select distinct doc_id, unnest(range(start_at, end_at)) as p from both_),
+w as (select d.doc_id, d.source, d.lang, (select count(*) from gp where gp.doc_id = d.doc_id) as g, (select count(*) from gp where gp.doc_id = d.doc_id and not exists (select 1 from bp where bp.doc_id = gp.doc_id and bp.p = gp.p)) as l,
+  (select count(*) from bp where bp.doc_id = d.doc_id) as r, (select count(*) from bp where bp.doc_id = d.doc_id and not exists (select 1 from gp where gp.doc_id = bp.doc_id and gp.p = bp.p)) as o from docs d),
+m as (select source, lang, round(100 * {_ratio('sum(leaked_chars)', 'sum(gold_chars)')}, 6) as model_leak, round(100 * {_ratio('sum(over_chars)', 'sum(pred_chars)')}, 6) as model_over from full_scores group by all),
+x as (select source, lang, round(100 * {_ratio('sum(l)', 'sum(g)')}, 6) as whole_leak, round(100 * {_ratio('sum(o)', 'sum(r)')}, 6) as whole_over from w group by all)
+select m.source, m.lang, model_leak, whole_leak, model_over, whole_over, round(whole_leak - model_leak, 6) as leak_change from m join x on m.source is not distinct from x.source and m.lang is not distinct from x.lang
+"""
+
+
+def _blob(b: bytes) -> str:
+    return "'" + "".join(f"\\x{x:02X}" for x in b) + "'::blob"
+
+
+_KEY = KEY.ljust(64, b"\0")
+_MAC = f"sha256({_blob(bytes(x ^ 0x5C for x in _KEY))} || unhex(sha256({_blob(bytes(x ^ 0x36 for x in _KEY))} || encode('default' || chr(0) || label || chr(0) || value))))"
+_HASHED = f"'<' || label || ':' || substr({_MAC}, 1, 12) || '>'"
+#: Words of the conversations with their places: the character before a capitalised word must be none of a word.
+_WORD = r"[\pL\pN\pM_]"
+_TURN_WORDS = rf"""
+turns as (select conv_id, turn, coalesce(text, '') as text from conversations),
+cut as (select conv_id, turn, text, regexp_extract_all(text, '{_WORD}+') as m, regexp_split_to_array(text, '{_WORD}+') as a from turns),
+said as (select conv_id, turn, text, i, m[i] as value, list_sum(list_transform(a[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as s from cut, unnest(range(1, len(m) + 1)) as u(i))
+"""
+_TOKENS = rf"""
+with {_TURN_WORDS}, seen as (select conv_id, value, min((turn, -s)) as first from said where regexp_full_match(value, '\p{{Lu}}\p{{Ll}}{{3,}}') group by all),
+n as (select cast(conv_id as varchar) as conversation, row_number() over (partition by conv_id order by first) as n from seen)
+select conversation, 'GIVENNAME' as label, n, '<GIVENNAME_' || n || '>' as token from n
+"""
+_BIOES = rf"""
+with {_TURN_WORDS}, tags as (select *, s + len(value) as e from said where regexp_matches(value, '^\p{{Lu}}')),
+near as (select *, lag(e) over (partition by conv_id, turn order by s) as pe from tags),
+isl as (select *, sum(case when pe is not null and trim(translate(substr(text, cast(pe + 1 as bigint), cast(s - pe as bigint)), chr(10) || chr(9) || chr(13), '   ')) = '' then 0 else 1 end) over (partition by conv_id, turn order by s rows unbounded preceding) as island from near)
+select conv_id || ':' || turn as doc_id, cast(min(s) as bigint) as start_at, cast(max(e) as bigint) as end_at, 'NAME' as label from isl group by conv_id, turn, island
+"""
+#: Windows one after the other, 1,500 characters with 200 shared: where the next starts, and where this one ends.
+_CHUNKS = """
+with recursive docs as (select doc_id, coalesce(text, '') as text from documents),
+first as (select doc_id, text, 0 as b0 from docs),
+w(doc_id, text, b0, stop) as (
+  select doc_id, text, b0, case when len(text) <= 1500 then len(text) when strpos(reverse(substr(text, 202, 1299)), ' ') > 0 then 1500 - strpos(reverse(substr(text, 202, 1299)), ' ') when strpos(reverse(substr(text, 202, 1299)), chr(10)) > 0 then 1500 - strpos(reverse(substr(text, 202, 1299)), chr(10)) else 1500 end from first
+  union all
+  select doc_id, text, n, case when len(text) <= n + 1500 then len(text) when strpos(reverse(substr(text, n + 202, 1299)), ' ') > 0 then n + 1500 - strpos(reverse(substr(text, n + 202, 1299)), ' ') when strpos(reverse(substr(text, n + 202, 1299)), chr(10)) > 0 then n + 1500 - strpos(reverse(substr(text, n + 202, 1299)), chr(10)) else n + 1500 end
+  from (select doc_id, text, case when strpos(substr(text, stop - 199, 200), ' ') > 0 then stop - 200 + strpos(substr(text, stop - 199, 200), ' ') else stop - 200 end as n from w where stop < len(text))
+)
+select doc_id, count(*) as n_chunks, max(stop - b0) as longest from w group by doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "detect_emails": f"with {_DOCS} {_checked('EMAIL')}",
     "detect_cards_luhn": f"with {_DOCS} {_checked('CREDITCARDNUMBER')}",
@@ -190,10 +251,23 @@ ORACLE: dict[str, str] = {
     "normalize_offsets": "select doc_id, md5(coalesce(text, '')) as digest, case when regexp_matches(coalesce(text, ''), '^[\\x00-\\x7f]*$') then 0 else len(text) end as n_origin from documents",
     "metrics_by_label": f"with {_GOLD}, labels_ as (select label from gold union select label from pred), g as (select label, count(*) as n_gold, sum((select count(*) from gp where gp.doc_id = gold.doc_id and p >= start_at and p < end_at)) as chars, sum((select count(*) from gp where gp.doc_id = gold.doc_id and p >= start_at and p < end_at and not exists (select 1 from pp where pp.doc_id = gp.doc_id and pp.p = gp.p))) as leaked from gold group by label), q as (select label, count(*) as n_pred from pred group by label), t as (select label, count(*) as tp from gold join pred using (doc_id, start_at, end_at, label) group by label), m as (select l.label, coalesce(n_gold, 0) as n_gold, coalesce(n_pred, 0) as n_pred, coalesce(tp, 0) as tp, coalesce(chars, 0) as chars, coalesce(leaked, 0) as leaked from labels_ l left join g using (label) left join q using (label) left join t using (label)), pr as (select *, case when n_pred > 0 then tp / n_pred else 1.0 end as p, case when n_gold > 0 then tp / n_gold else 1.0 end as r from m) select label, n_gold, n_pred, round(case when chars > 0 then leaked / chars else 0 end, 6) as leakage_chars, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from pr",
     "extract_stats": f"with {_FOUND} select 'rows' as measure, '' as name, count(*)::double as value from docs union all select 'chars', '', sum(len(text)) from docs union all select 'length', 'p50', floor(quantile_cont(len(text), 0.5)) from docs union all select 'length', 'p95', floor(quantile_cont(len(text), 0.95)) from docs union all select 'length', 'max', max(len(text)) from docs union all select 'rows_per_language', lang, count(*) from docs group by lang union all select 'spans_per_label', label, count(*) from found group by label",
-    "spoken_digits": "select * from (values ('four one five triple five oh one', '41555501'), ('plus four four double seven', '+4477'), ('two hundred', '200'), ('nothing here', ''), ('', '')) v(said, digits)",
-    "split_name": "select * from (values ('Dr. Patel', 'Dr.', null, 'Patel'), ('Nancy', null, 'Nancy', null), ('Ann Lee', null, 'Ann', 'Lee'), ('Ms Maria de la Cruz', 'Ms', 'Maria', 'de la Cruz'), ('van Gogh', null, 'van', 'Gogh'), ('Partner A', null, null, null), ('Mr', null, null, null), ('J R R Tolkien', null, 'J R R', 'Tolkien'), ('user_17', null, null, null), ('Prof. Ada van Dyke', 'Prof.', 'Ada', 'van Dyke')) v(name, title, given, surname)",
-    "parse_llm_json": """select * from (values ('whole', true, 'GIVENNAME', 'Ann'), ('whole', true, 'SURNAME', 'Lee'), ('fenced', true, 'EMAIL', 'a@b.co'), ('broken', false, 'GIVENNAME', 'Ann'), ('prose', false, 'CITY', 'Leeds "x"'), ('empty', true, null, null)) v(name, valid_json, label, text)""",
-    "vault_ttl_purge": "select user_id as conversation, min(ts) as created from events group by user_id",
     "detect_chunked": f"with {_DOCS} select doc_id, start_at, end_at, label from ({_checked('EMAIL')})",
-    "restore_roundtrip": "select cast(conv_id as varchar) as conversation, turn, true as same from conversations",
+    "spoken_digits": "select c_custkey, concat(c_custkey, lpad(cast(c_nationkey as varchar), 2, '0'), '0055', replace(cast(cast(round(c_acctbal) as bigint) as varchar), '-', ''), '41', c_nationkey, '455500') as digits from customer",
+    "split_name": "with p as (select c_custkey as k, ['Dr.', 'Ms', null, 'Prof.'][c_custkey % 4 + 1] as title, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as given, [null, 'van ', 'de la '][c_custkey % 3 + 1] as particle, upper(r_name[1]) || lower(replace(r_name, ' ', '')[2:]) as place from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) select k as c_custkey, case when k % 7 <> 0 then title end as title, case when k % 7 = 0 then null when k % 5 <> 0 then given when title is null then place end as given, case when k % 7 = 0 then null when k % 5 <> 0 then coalesce(particle, '') || place when title is not null then place end as surname from p",
+    "parse_llm_json": "with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents), d as (select doc_id, w[1] as a, w[2] as b from w where len(w) >= 2) select doc_id, doc_id % 4 < 2 as valid_json, 'GIVENNAME' as label, a as text from d union all select doc_id, true, 'CITY', b || ' \"x\"' from d where doc_id % 4 < 2",
+    "vault_ttl_purge": "select user_id as conversation, min(ts) as created from events group by user_id having floor(epoch(min(ts))) < (select floor(epoch(min(ts))) + 3600 from events)",
+    "restore_roundtrip": "select cast(conv_id as varchar) as conversation, turn, md5(coalesce(text, '')) as digest from conversations",
+    "normalize_look_alikes": "select doc_id, md5(text) as digest, len(text) as n_origin, len(text) + len(regexp_replace(text, '[^e]', '', 'g')) - 1 - case when text[-1] = 'e' then 1 else 0 end as last from documents where text <> '' and regexp_matches(text, '[aoe]|[^\\x00-\\x7f]') union all select doc_id, md5(text), null, null from documents where text <> '' and not regexp_matches(text, '[aoe]|[^\\x00-\\x7f]')",
+    "iban_seeded": "with c as (select c_custkey as doc_id, lpad(cast(c_custkey as varchar), 18, '0') as b from customer) select doc_id, 7 as start_at, 29 as end_at, 'IBAN' as label, 'DE' || lpad(cast(98 - cast(b || '131400' as hugeint) % 97 as varchar), 2, '0') || b as value from c where doc_id % 3 <> 0",
+    "ipv6_seeded": "with c as (select c_custkey as doc_id, case c_custkey % 4 when 0 then '2001:db8::' else '1:2:3:4:5:6:7:' end || lower(to_hex(c_custkey % 65536)) as value from customer where c_custkey % 4 < 2) select doc_id, 5 as start_at, 5 + len(value) as end_at, 'IPADDRESS' as label, value from c",
+    "near_dup_exact_classes": f"with {_SHINGLES}, named as (select doc_id, list_sort(s) as s from sh), cls as (select min(doc_id) as rep, s from named group by s), ex as (select rep, len(s) as n, unnest(s) as g from cls), hit as (select a.rep as id, b.rep as other, a.n as n, b.n as m, count(*) as k from ex a join ex b using (g) where b.rep < a.rep group by all) select id, other, round(k / (n + m - k), 6) as jaccard from hit where k / (n + m - k) >= 0.8 union all select doc_id, rep, 1.0 from named join cls using (s) where doc_id <> rep",
+    "fill_offsets": _FILLED,
+    "prompt_messages": "select doc_id, 1 as n, 'user' as role, md5('" + TASK + "' || chr(10) || 'Labels: " + ", ".join(MODEL_LABELS) + ".' || chr(10) || chr(10) || '<text>' || chr(10) || coalesce(text, '') || chr(10) || '</text>') as digest from documents",
+    "gateway_deltas": _DELTAS,
+    "audit_verdicts": f"with {_FOUND}, n as (select doc_id, label, row_number() over (partition by doc_id order by start_at, end_at, label) - 1 as i from found) select label, case when quality = 0 and i = 0 then 'not_pii' else 'ok' end as verdict, count(*) as n from n left join labels using (doc_id) group by all",
+    "span_validation_errors": f"with {_FOUND} select case when end_at + 1 > len(text) then 'end past text: ' else 'text differs: ' end || label as error, count(*) as n from found join docs using (doc_id) where doc_id % 2 = 0 group by 1",
+    "redact_hash": _replace(_HASHED, "redacted"),
+    "token_numbering": _TOKENS,
+    "bioes_decode": _BIOES,
+    "chunk_text": _CHUNKS,
 }

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
 from opalspan.functions import text as tx
-from opalspan.functions.policy import Policy, entities, redacted
+from opalspan.functions.policy import Policy, entities, policy, redacted
 from opalspan.operators import generate, merge, model_output, prep, rules, scoring, vault
 from opalspan.plans import redaction
+from opalspan.sources.shared import scratch
 
 KEY = bytes(range(32))
 SEED = 13
@@ -61,26 +62,25 @@ def counts(df: DataFrame, by: str = "lang") -> DataFrame:
 
 
 def q_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = redaction.redact(documents(spark, sf_dir).select("doc_id", "text"), Policy.load("support"))
+    df = redaction.redact(documents(spark, sf_dir).select("doc_id", "text"), policy("support"), limit=None)
     return df.select("doc_id", "redacted", F.size("entities").alias("n_entities"))
 
 
-def q_redact(policy: str) -> Callable:
+def q_redact(name: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = documents(spark, sf_dir).withColumn("spans", merge.recall_first_union(F.col("text"), d.validators(F.col("text"))))
-        return df.select("doc_id", redacted(F.col("text"), F.col("spans"), Policy.load(policy)).alias("redacted"), F.size("spans").cast("long").alias("n_entities"))
+        return df.select("doc_id", redacted(F.col("text"), F.col("spans"), policy(name)).alias("redacted"), F.size("spans").cast("long").alias("n_entities"))
 
     return run
 
 
 def q_redact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = Policy("hashed", "hash")
     df = found(spark, sf_dir)
-    return df.select("doc_id", redacted(F.col("text"), F.col("spans"), policy, F.lit("default"), KEY).alias("redacted"))
+    return df.select("doc_id", redacted(F.col("text"), F.col("spans"), Policy("hash"), F.lit("default"), KEY).alias("redacted"))
 
 
 def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = found(spark, sf_dir).select("lang", F.explode(entities(F.col("spans"), Policy.load("analytics"))).alias("e"))
+    e = found(spark, sf_dir).select("lang", F.explode(entities(F.col("spans"), policy("analytics"))).alias("e"))
     return e.groupBy("lang", F.col("e.label").alias("label"), F.col("e.action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -289,18 +289,17 @@ def q_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.latency(table(spark, sf_dir, "events").select("event_type", F.col("value").alias("ms"), (F.length("props") + 1).alias("chars")), "event_type")
 
 
-ANSWERS = {
-    "whole": '[{"label": "GIVENNAME", "text": "Ann"}, {"label": "SURNAME", "text": "Lee"}]',
-    "fenced": '```json\n[{"label": "EMAIL", "text": "a@b.co"}]\n```',
-    "broken": '[{"label": "GIVENNAME", "text": "Ann"}, {"label": "SURNAME", "te',
-    "prose": 'Sure. {"label": "CITY", "text": "Leeds \\"x\\""} and more',
-    "empty": "[]",
-}
-
-
 def q_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(ANSWERS.items()), "name string, raw string").withColumn("p", model_output.parsed(F.col("raw")))
-    return rows.select("name", F.col("p.valid_json").alias("valid_json"), F.explode_outer("p.items").alias("i")).select("name", "valid_json", "i.label", "i.text")
+    """Answers made of each document's first two words: whole, in a fence, cut off inside the second item, or as prose
+    with one item; in turn by id."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    docs = documents(spark, sf_dir).select("doc_id", F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b")).where("b is not null")
+    item = lambda lab, v: F.concat(F.lit('{"label": "' + lab + '", "text": "'), v, F.lit('"}'))
+    first, both = item("GIVENNAME", F.col("a")), F.concat(F.lit("["), item("GIVENNAME", F.col("a")), F.lit(", "), item("CITY", F.concat("b", F.lit(' \\"x\\"'))), F.lit("]"))
+    turn = F.col("doc_id") % 4
+    raw = F.when(turn == 0, both).when(turn == 1, F.concat(F.lit("```json\n"), both, F.lit("\n```"))).when(turn == 2, F.concat(F.lit("["), first, F.lit(', {"label": "CITY", "te'))).otherwise(F.concat(F.lit("Sure. "), first, F.lit(" and more")))
+    parsed = docs.select("doc_id", model_output.parsed(raw).alias("p"))
+    return parsed.select("doc_id", F.col("p.valid_json").alias("valid_json"), F.explode_outer("p.items").alias("i")).select("doc_id", "valid_json", "i.label", "i.text")
 
 
 def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,9 +328,73 @@ def q_bioes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_split_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Dr. Patel", "Nancy", "Ann Lee", "Ms Maria de la Cruz", "van Gogh", "Partner A", "Mr", "J R R Tolkien", "user_17", "Prof. Ada van Dyke"]
-    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("p", tx.split_name(F.col("name")))
-    return df.select("name", "p.title", "p.given", "p.surname")
+    """Names put together from customers: title, segment as given name, particle and region as surname; some are a
+    title and a surname, a surname alone, or the customer's placeholder."""
+    where = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    k, proper = F.col("c_custkey"), lambda x: F.initcap(F.lower(F.replace(F.col(x), F.lit(" "), F.lit(""))))
+    pick = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (k % n + 1).cast("int"))
+    title, particle = pick(4, "Dr.", "Ms", None, "Prof."), pick(3, None, "van", "de la")
+    name = F.when(k % 7 == 0, F.col("c_name")).when(k % 5 == 0, F.concat_ws(" ", title, proper("r_name"))).otherwise(F.concat_ws("  ", title, proper("c_mktsegment"), particle, proper("r_name")))
+    return c.select("c_custkey", tx.split_name(name).alias("p")).select("c_custkey", "p.title", "p.given", "p.surname")
+
+
+def q_normalise_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written with Cyrillic a and o and a zero-width space after each e come back as they were; last: the
+    place of the last character in what was written."""
+    docs = documents(spark, sf_dir).where(F.col("text") != "").select("doc_id", F.replace(F.translate("text", "ao", "ао"), F.lit("e"), F.lit("e\u200b")).alias("text"))
+    n = docs.select("doc_id", tx.normalised(F.col("text")).alias("n"))
+    return n.select("doc_id", F.md5("n.text").alias("digest"), F.size("n.origin").cast("long").alias("n_origin"), F.element_at("n.origin", -1).cast("long").alias("last"))
+
+
+def q_iban_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account number for each customer, with wrong check digits for every third one."""
+    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
+    check = 98 - F.concat(bban, F.lit("131400")).cast("decimal(38,0)") % 97 + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)
+    text = F.concat(F.lit("Pay to DE"), F.lpad(check.cast("int").cast("string"), 2, "0"), bban, F.lit(" now"))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), d.ibans(text).alias("spans"))
+    return _relation(df)
+
+
+def q_ipv6_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with a gap, whole ones, and two kinds of broken ones, in turn by customer."""
+    k = F.lower(F.hex(F.col("c_custkey") % 65536))
+    address = F.element_at(F.array(F.concat(F.lit("2001:db8::"), k), F.concat(F.lit("1:2:3:4:5:6:7:"), k), F.concat(F.lit("1:2:3:4:5:6:7:8:"), k), F.concat(F.lit("fe80::1::"), k)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), d.ipv6(F.concat(F.lit("from "), address, F.lit(" to"))).alias("spans"))
+    return _relation(df)
+
+
+def q_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all: pairs of classes of equal shingle sets, and the members of each class."""
+    docs, _ = _near(spark, sf_dir)
+    return prep.near_duplicates_within(docs, 0.8).select("id", "other", F.round("jaccard", 6).alias("jaccard"))
+
+
+def q_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's second, first and fourth word, given without places, are placed."""
+    w = F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0))
+    docs = documents(spark, sf_dir).where(F.size(w) >= 4)
+    given = F.transform(F.array(F.lit(1), F.lit(0), F.lit(3)), lambda i: F.struct(F.lit("CITY").alias("label"), F.get(w, i).alias("text")))
+    f = docs.select("doc_id", F.explode(rules.filled(F.col("text"), given)).alias("s"))
+    return f.select("doc_id", F.col("s.place").cast("long").alias("place"), F.col("s.start").cast("long").alias("start_at"), F.col("s.text").alias("value"))
+
+
+def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = documents(spark, sf_dir).select("doc_id", model_output.messages(F.col("text")).alias("m"))
+    return m.select("doc_id", F.size("m").cast("long").alias("n"), F.get(F.col("m"), F.lit(0))["role"].alias("role"), F.md5(F.get(F.col("m"), F.lit(0))["content"]).alias("digest"))
+
+
+def q_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions alone against predictions with the detectors beside them, by source and language."""
+    df = predicted(spark, sf_dir).withColumn("both", merge.recall_first_union(F.col("text"), F.col("pred"), F.filter("gold", lambda s: s["label"] == "EMAIL")))
+    return scoring.delta_rows(df, "pred", "both", "source", "lang")
+
+
+def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents with the verdicts that there are; the others are ok. Rules that fire, by verdict."""
+    spans = prep.numbered_spans(found(spark, sf_dir))
+    given = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(0).alias("span_idx"), F.lit("not_pii").alias("verdict"))
+    return prep.audited(spans, given).groupBy("label", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +404,7 @@ def q_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
-    out, _ = vault.pseudonymised(m, Policy.load("analytics"), KEY)
+    out, _ = vault.pseudonymised(m, policy("analytics"), KEY)
     return out.select("conversation", "turn", "redacted")
 
 
@@ -353,12 +416,13 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
-    out, held = vault.pseudonymised(m, Policy.load("analytics"), KEY)
-    # random nonces must be drawn once: the vault is a table, not a plan
-    held = held.checkpoint() if spark.sparkContext.getCheckpointDir() else held.persist()
+    out, held = vault.pseudonymised(m, policy("analytics"), KEY)
+    # random nonces must be drawn once: the vault is a table in the shared folder, not a plan
+    path = scratch(spark, "vault")
+    held.write.parquet(path)
+    held = spark.read.parquet(path)
     back = vault.restored(out.select("tenant", "conversation", "turn", F.col("redacted").alias("text")), held, KEY)
-    both = back.select("conversation", "turn", "restored").join(m.select("conversation", "turn", F.col("text").alias("original")), ["conversation", "turn"])
-    return both.select("conversation", "turn", (F.col("restored") == F.col("original")).alias("same"))
+    return back.select("conversation", "turn", F.md5("restored").alias("digest"))
 
 
 def q_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,10 +437,10 @@ def q_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as conversations: those whose first event is over a day before the last of all."""
+    """Users as conversations, at a time when those have expired whose first event is in the first hour of all."""
     e = table(spark, sf_dir, "events").select(F.lit("t1").alias("tenant"), F.col("user_id").alias("conversation"), F.col("ts").alias("created"))
-    end = e.agg(F.max("created").alias("now"))
-    p = vault.purged(e.crossJoin(F.broadcast(end)), F.lit("2100-01-01").cast("timestamp"))
+    first = e.agg(F.unix_timestamp(F.min("created"))).first()[0] or 0
+    p = vault.purged(e, F.timestamp_seconds(F.lit(first + vault.TTL_SECONDS + 3600)))
     return p.select("conversation", "created")
 
 
@@ -385,20 +449,22 @@ def q_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream, redacted into a memory table."""
+    """The documents as a stream, redacted into files of the shared folder."""
     from opalspan.streaming.redact import redact_stream
 
-    name = f"redacted_{abs(hash(sf_dir)) % 10**8}"
+    path = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
-    q = redact_stream(stream, Policy.load("support")).select("doc_id", "redacted").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q = redact_stream(stream, policy("support")).select("doc_id", "redacted").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("doc_id long, redacted string").parquet(f"{path}/out")
 
 
 def q_unspoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = ["four one five triple five oh one", "plus four four double seven", "two hundred", "nothing here", ""]
-    return spark.createDataFrame([(s,) for s in said], "said string").select("said", tx.unspoken(F.col("said")).alias("digits"))
+    """Customers' numbers spoken, with words around them that say no digit, and understood again."""
+    number = F.concat(F.col("c_custkey").cast("string"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("0055"), F.translate(F.round("c_acctbal", 0).cast("long").cast("string"), "-", ""))
+    said = F.concat(F.lit("Plus "), tx.spoken(number), F.lit(", um, four/ONE-"), tx.spoken(F.col("c_nationkey").cast("string")), F.lit(". a4b5 double um five hundred"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.unspoken(said).alias("digits"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -430,6 +496,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngram_contamination_benchmark": q_contamination,
     "near_dup_exact_jaccard": q_near_exact,
     "near_dup_lsh": q_near_lsh,
+    "near_dup_exact_classes": q_near_classes,
     "stratified_order": q_stratified,
     "nested_prefix_splits": q_splits,
     "equal_share_sample": q_equal_share,
@@ -463,4 +530,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "generated_values": q_generated,
     "stream_redact": q_stream,
     "spoken_digits": q_unspoken,
+    "normalize_look_alikes": q_normalise_seeded,
+    "iban_seeded": q_iban_seeded,
+    "ipv6_seeded": q_ipv6_seeded,
+    "fill_offsets": q_filled,
+    "prompt_messages": q_messages,
+    "gateway_deltas": q_deltas,
+    "audit_verdicts": q_audit,
 }

@@ -125,11 +125,16 @@ def json_column(column: Column, schema: str = LITERAL_SPANS) -> Column:
     return F.from_json(column, schema)
 
 
-def read_label_map(path: str) -> dict[str, str]:
-    given = yaml.safe_load(Path(path).read_text()) or {}
+def label_map(text: str) -> dict[str, str]:
+    """From YAML: the mapping, or the one under `labels`."""
+    given = yaml.safe_load(text) or {}
     return dict(given.get("labels", given))
 
 
+def read_label_map(path: str) -> dict[str, str]:
+    return label_map(Path(path).read_text())
+
+
 class Catalogue:
     """Names of test sets; an unknown name is a path."""
 
@@ -177,12 +182,16 @@ def pending_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
     return runs.join(wanted.join(results.select("tag", "testset"), ["tag", "testset"], "left_anti").select("tag").distinct(), "tag", "left_semi")
 
 
+def updated_json(text: str, new: dict) -> str:
+    """A JSON mapping with new keys merged in; the last wins. An empty text is an empty mapping."""
+    return json.dumps((json.loads(text) if text else {}) | new, indent=2, ensure_ascii=False)
+
+
 def updated_statistics(path: str, new: dict) -> dict:
-    """Merges new keys into a JSON file; the last wins."""
+    """The same for a file."""
     file = Path(path)
-    out = (json.loads(file.read_text()) if file.exists() else {}) | new
-    file.write_text(json.dumps(out, indent=2, ensure_ascii=False))
-    return out
+    file.write_text(updated_json(file.read_text() if file.exists() else "", new))
+    return json.loads(file.read_text())
 
 
 def with_overrides(config: dict, overrides: list[str]) -> dict:

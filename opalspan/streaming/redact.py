@@ -19,9 +19,9 @@ from opalspan.plans.redaction import redact
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def redact_stream(messages: DataFrame, policy: Policy, hash_key: bytes | None = None) -> DataFrame:
+def redact_stream(messages: DataFrame, policy: Policy, hash_key: bytes | None = None, limit: int | None = None) -> DataFrame:
     """The batch redaction on a stream of (key, text): no state, append mode."""
-    return redact(messages, policy, hash_key=hash_key)
+    return redact(messages, policy, hash_key=hash_key, limit=limit)
 
 
 class TokenState(StatefulProcessor):

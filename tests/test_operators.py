@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opalspan.functions import spans as sp
-from opalspan.functions.policy import Policy
+from opalspan.functions.policy import policy
 from opalspan.operators import generate, model_output, prep, rules, scoring, vault
 from opalspan.sources import files
 
@@ -41,7 +41,7 @@ def test_wilson(spark):
 def test_vault(spark):
     rows = [("t", "c", 1, "I am Priya, card Ann", [(5, 10, "GIVENNAME", "", "g", None), (17, 20, "GIVENNAME", "", "g", None)]), ("t", "c", 2, "Priya again", [(0, 5, "GIVENNAME", "", "g", None)]), ("t", "d", 1, "Priya", [(0, 5, "GIVENNAME", "", "g", None)])]
     m = spark.createDataFrame(rows, f"tenant string, conversation string, turn int, text string, spans {sp.SPANS}")
-    out, held = vault.pseudonymised(m, Policy.load("analytics"), KEY)
+    out, held = vault.pseudonymised(m, policy("analytics"), KEY)
     held = held.persist()
     got = {(r["conversation"], r["turn"]): r["redacted"] for r in out.collect()}
     # within a text the last value comes first

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
 from opalspan.functions import text as tx
-from opalspan.functions.policy import Policy, hmac_sha256, redacted
+from opalspan.functions.policy import Policy, hmac_sha256, policy, redacted
 from opalspan.operators import merge
 from opalspan.plans.redaction import redact
 
@@ -56,14 +56,14 @@ def test_merge_and_contained(spark):
 
 
 def test_policies(spark):
-    out = redact(spark.createDataFrame([("mail jоhn@example.com now​ 4111１111 1111 1111",), (None,), ("x" * 50,)], "text string"), Policy.load("support"), limit=45).collect()
+    out = redact(spark.createDataFrame([("mail jоhn@example.com now​ 4111１111 1111 1111",), (None,), ("x" * 50,)], "text string"), policy("support"), limit=45).collect()
     assert out[0]["redacted"] == "mail [EMAIL] now​ [CREDITCARDNUMBER]"
     assert out[1]["redacted"] == "" and out[2]["redacted"] is None and out[2]["error"] == "text_too_long"
     import hashlib
     import hmac
 
     assert one(spark, "message", hmac_sha256(b"key", F.col("text"))) == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
-    for bad in (lambda: Policy("p", "burn"), lambda: Policy.load("../x"), lambda: Policy.load("none"), lambda: redacted(F.lit(""), sp.no_spans(), Policy("h", "hash"))):
+    for bad in (lambda: Policy("burn"), lambda: policy("../x"), lambda: policy("none"), lambda: redacted(F.lit(""), sp.no_spans(), Policy("hash"))):
         try:
             bad()
         except ValueError:
