@@ -120,8 +120,8 @@ def _pack(path: str, window: int):
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for d, parts in zip(b.column(0).to_pylist(), encoder.parts([t or "" for t in b.column(1).to_pylist()])):
-                ids = np.frombuffer(b"".join([*parts, end]), "<u4")
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.frombuffer(encoder.encode(t or "") + end, "<u4")
                 packer.add((d, len(ids)), ids)
             if len(packer.out) > 1000:
                 yield out()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import heapq
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import small_batches
-from opalspan.llm.tokens import ByteEncoder, Pieces
+from opalspan.llm.tokens import LONGEST, Memo, cuts
 
 #: Bytes squared of one query's words: the states of a word's merges add up to about half its square.
 QUERY_STATES = 3_000_000
-#: A word over this many bytes would take as many rounds of the query; a heap merges it in the same order.
-LONG_WORD = 400
+#: A word over this many bytes contracts every place of its least rank in one round; such words' queries stop after
+#: so many rounds that they hold LONG_STATES states, and go on from where they stopped.
+LONG_WORD, LONG_STATES = 64, 2_000_000
+#: Words, and pieces between spaces, that a worker remembers in each generation.
+KEPT = 250_000
 
 #: Rounds: neighbours that the merge table has, each word's pair of least rank, leftmost of equals, contracted. A word
 #: without a pair has no row in the next round, so its last round is its fixpoint.
@@ -41,6 +44,37 @@ with recursive state(round, word, pos, tok) as (
 _ENCODE = _ROUNDS + "select word, list(tok order by pos) from state join last using (word, round) group by word order by word"
 #: The same, with each word's ids in decimal, their number, and what they decode to, by ordered aggregation.
 _BOTH = _ROUNDS + "select word, string_agg(name, ',' order by pos), count(*), string_agg(hex, '' order by pos) from state join last using (word, round) join vocabulary on id = tok group by word order by word"
+#: One query's rounds over long words, at most `{most}`. Each round contracts all places of a word's least rank from
+#: the left, of overlapping ones every second, up to the first whose contraction makes a pair of a still lower rank
+#: (`lower`): that pair comes before the places after it.
+_LONG = """
+with recursive state(round, word, pos, tok) as (
+  select 0, word, pos, tok from tokens
+  union all
+  select round + 1, word, pos, tok from (
+    with pairs as (
+      select round, word, pos, tok, lag(tok) over w as prev, lead(tok) over w as next, lead(tok, 2) over w as beyond, lead(pos) over w as after
+      from state window w as (partition by word order by pos)
+    ), least_rank as (
+      select p.*, m.id from pairs p join merges m on m.a = p.tok and m.b = p.next qualify id = min(id) over (partition by word)
+    ), runs as (
+      select *, sum(case when touches then 0 else 1 end) over (partition by word order by pos) as run
+      from (select *, coalesce(lag(after) over (partition by word order by pos) = pos, false) as touches from least_rank)
+    ), apart as (
+      select * from runs qualify row_number() over (partition by word, run order by pos) % 2 = 1
+    ), watched as (
+      select h.*, x.a is not null or y.a is not null or z.a is not null as lowers from apart h
+      left join lower x on x.a = h.prev and x.b = h.id left join lower y on y.a = h.id and y.b = h.beyond left join lower z on z.a = h.id and z.b = h.id
+    ), chosen as (
+      select * from watched qualify not coalesce(bool_or(lowers) over (partition by word order by pos rows between unbounded preceding and 1 preceding), false)
+    )
+    select p.round, p.word, p.pos, coalesce(c.id, p.tok) as tok from pairs p
+    left join chosen c on c.word = p.word and c.pos = p.pos left join chosen g on g.word = p.word and g.after = p.pos
+    where g.pos is null and p.round < {most} and p.word in (select word from chosen)
+  )
+), last as (select word, max(round) as round from state group by word)
+select word, any_value(round) = {most}, list(tok order by pos) from state join last using (word, round) group by word order by word
+"""
 _DECODE = "select t.word, string_agg(v.hex, '' order by t.pos) as hex from tokens t join vocabulary v on v.id = t.tok group by t.word order by t.word"
 
 
@@ -58,13 +92,15 @@ class Bpe:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        cuts = [(ranks[b[:k]], ranks[b[k:]], r) for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks]
-        a, b, i = (pa.array(c, pa.int32()) for c in zip(*cuts))
+        pairs = [(ranks[b[:k]], ranks[b[k:]], r) for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks]
+        a, b, i = (pa.array(c, pa.int32()) for c in (zip(*pairs) if pairs else ([], [], [])))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
         self.db.execute("set temp_directory = ''")
         self._table("merges", pa.table({"a": a, "b": b, "id": i}))
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "name": pa.array([str(r) for r in ranks.values()]), "hex": pa.array([b.hex() for b in ranks])}))
-        self.words = Pieces(self._words)
+        low = [(x, y) for x, y, r in pairs if r < max(x, y)]
+        self._table("lower", pa.table({"a": pa.array([x for x, _ in low], pa.int32()), "b": pa.array([y for _, y in low], pa.int32())}))
+        self.words, self.pieces = Memo(None, KEPT), Memo(None, KEPT)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -80,31 +116,20 @@ class Bpe:
         self.db.unregister("tokens")
         return [x[1:] for x in out]
 
-    def _merge_long(self, raw: bytes) -> list[int]:
-        """The same contractions for one long word: pairs wait in a heap by rank, then place."""
-        n, ranks = len(raw), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if after[i] < n and (r := ranks.get(raw[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            r, i, stop = heapq.heappop(heap)
-            if not alive[i] or after[i] >= n or end[after[i]] != stop or ranks.get(raw[i:stop]) != r:
-                continue
-            gone = after[i]
-            alive[gone], end[i], after[i] = False, stop, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
+    def _merge_long(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of long words: rounds in queries, until a query ends before its last round."""
+        now: list = [self.byte[np.frombuffer(w, np.uint8)] for w in words]
+        todo = list(range(len(words)))
+        while todo:
+            size, part = 0, []
+            while todo and (not part or size + len(now[todo[-1]]) <= LONG_STATES // 8):
+                size += len(now[todo[-1]])
+                part.append(todo.pop())
+            for i, (more, ids) in zip(part, self._query(_LONG.format(most=max(1, LONG_STATES // size)), [now[i] for i in part])):
+                now[i] = np.array(ids, dtype=np.int32)
+                if more:
+                    todo.append(i)
+        return [x.tolist() for x in now]
 
     def _in_queries(self, sql: str, words: list[bytes]) -> list:
         """Rows of one query for each part of the words, shortest first; null for words too long for rounds."""
@@ -129,50 +154,65 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of non-empty words, each merged by itself."""
-        return [self._merge_long(w) if x is None else x[0] for w, x in zip(words, self._in_queries(_ENCODE, words))]
+        short = self._in_queries(_ENCODE, words)
+        long = iter(self._merge_long([w for w, x in zip(words, short) if x is None]))
+        return [next(long) if x is None else x[0] for x in short]
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """Bytes of each non-empty sequence of ids, by one ordered aggregation."""
         return [bytes.fromhex(x[0]) for x in self._query(_DECODE, [np.array(s, dtype=np.int32) for s in sequences])] if sequences else []
 
-    def _words(self, words: list[str]) -> list[tuple[str, int, bytes]]:
+    def _words(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """Of each word its ids in decimal, each followed by a comma, and the bytes that they decode to."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         unhex = bytes.fromhex
-        out = [None if x is None else (x[0], x[1], unhex(x[2])) for x in self._in_queries(_BOTH, raw)]
+        out = [None if x is None else (x[0] + ",", unhex(x[2])) for x in self._in_queries(_BOTH, raw)]
         long = [i for i, x in enumerate(out) if x is None]
-        for i, ids, decoded in zip(long, each := [self._merge_long(raw[i]) for i in long], self.decode(each)):
-            out[i] = ",".join(map(str, ids)), len(ids), decoded
+        each = self._merge_long([raw[i] for i in long])
+        for i, ids, decoded in zip(long, each, self.decode(each)):
+            out[i] = ",".join(map(str, ids)) + ",", decoded
         return out
 
-    def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, their number, the bytes they decode to) of each text, cut by the pattern."""
-        lists = list(map(self.pattern.findall, texts))
-        known = self.words.prepare(lists)
-        out = [known[x[0]] if len(x) == 1 else joined([known[w] for w in x]) for x in lists]
-        self.words.done()
+    def texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """The same for each text, cut by the pattern; every word that is not remembered is merged once, all of them
+        together."""
+        find, words, pieces = self.pattern.findall, self.words, self.pieces
+        parts = [cuts(t) for t in texts]
+        fresh = set().union(*[rest for _, rest in parts])
+        held = {k: v for k in fresh if (v := pieces.get(k) or pieces.old.get(k)) is not None}
+        found = {k: find(" " + k) for k in fresh if k not in held}
+        firsts = [find(first) for first, _ in parts]
+        missing = list({w for x in (*found.values(), *firsts) for w in x if w not in words})
+        known = {w: words.old[w] for w in missing if w in words.old}
+        ask = [w for w in missing if w not in known]
+        for lo in range(0, len(ask), 50_000):
+            known.update(zip(ask[lo : lo + 50_000], self._words(ask[lo : lo + 50_000])))
+        look = lambda x: [known[w] if w in known else words[w] for w in x]
+        made = {k: joined(look(x)) for k, x in found.items()}
+        held |= made
+        out = [joined([*look(x), *map(held.__getitem__, rest)]) for x, (_, rest) in zip(firsts, parts)]
+        for memo, new in ((words, known), (pieces, made)):
+            for k, v in new.items():
+                if len(k) <= LONGEST:
+                    memo.keep(k, v)
         return out
 
 
-def joined(parts: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
-    if not all(p[1] for p in parts[:1]):
-        parts = parts[1:]  # only a text's first part can be empty
-    if not parts:
-        return "", 0, b""
-    ids, sizes, decoded = zip(*parts)
-    return ",".join(ids), sum(sizes), b"".join(decoded)
+def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ("".join([p[0] for p in parts]), b"".join([p[1] for p in parts])) if len(parts) != 1 else parts[0]
+
+
+@functools.lru_cache(maxsize=1)
+def coder(path: str, pattern: str) -> Bpe:
+    """A worker keeps its connection, with the words that it remembers, from task to task."""
+    return Bpe(read_ranks(path), pattern)
 
 
 def _run(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if bpe is None:
-                bpe = Bpe(read_ranks(path), pattern)
-                encoder = ByteEncoder(bpe.texts)
-            rows = [joined(p) for p in encoder.parts([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.record_batch([b.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            rows = coder(path, pattern).texts([t or "" for t in b.column(1).to_pylist()]) if b.num_rows else []
+            yield pa.record_batch([b.column(0), pa.array([r[0].count(",") for r in rows], pa.int64()), pa.array([r[0][:-1] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -181,10 +221,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of docs: ids in decimal, joined by commas; decoded: the bytes that
     the ids stand for.
 
-    Each match of the pattern is merged by itself. A worker merges a word once while it remembers it. A null text is
+    Each match of the pattern is merged by itself, all words by recursive queries, whatever their length. A worker
+    merges a word once while it remembers it, and remembers from task to task. A null text is
     empty and has no ids; repeated rows stay; other columns are ignored. Nothing is shuffled.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_run(ranks, pattern), "doc_id long, n_tokens long, ids string, decoded binary")
 

@@ -2,46 +2,35 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from array import array
 from collections.abc import Callable
 
 #: Pieces that a worker remembers in each of its two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 200_000, 80
-
-
-class Pieces:
-    """piece -> whatever `encode` makes of it; two generations bound what is remembered."""
-
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = REMEMBERED) -> None:
-        self.encode, self.limit = encode, limit
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def prepare(self, lists: list[list[str]]) -> dict:
-        """A mapping that has every piece of the lists; valid until the next call."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        missing = set().union(*lists) - self.young.keys()
-        fresh = []
-        for k in missing:
-            if k in self.old:
-                self.young[k] = self.old[k]
-            else:
-                fresh.append(k)
-        once: list[str] = []
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for k, v in zip(part, self.encode(part)):
-                self.young[k] = v
-                if len(k) > LONGEST:
-                    once.append(k)
-        self._forget, known = once, self.young
-        return known
-
-    def done(self) -> None:
-        for k in self._forget:
-            self.young.pop(k, None)
+REMEMBERED, LONGEST = 400_000, 80
+
+
+class Memo(dict):
+    """key -> what `make` gives for it. Two generations bound what is remembered; a long key is made each time."""
+
+    def __init__(self, make: Callable, limit: int = REMEMBERED) -> None:
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 def library(path: str):
@@ -61,29 +50,33 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: White space for one engine's \\s, not for the other's: a text with one of these is left to the library.
+_ODD = "\x1c\x1d\x1e\x1f"
+
+
+def odd(text: str) -> bool:
+    return any(c in text for c in _ODD)
+
+
 class Matches:
     """Ids of a tokenizer's pre-tokens, each merged by the library's model, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, pattern: str) -> None:
         import regex
 
-        self.whole, self.pattern, self.model, self.letters = tokenizer, regex.compile(pattern), tokenizer.model, _byte_letters()
-        self.odd = regex.compile("[\x1c-\x1f]")  # white space for one engine's \\s, not for the other's
-        self.words = Pieces(self._merge)
+        self.whole, self.find, self.letters = tokenizer, regex.compile(pattern).findall, _byte_letters()
+        self.tokenize = tokenizer.model.tokenize
+        self.words = Memo(self._merge)
+
+    def _merge(self, word: str) -> bytes:
+        raw = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
+        return array("I", [t.id for t in self.tokenize(raw.translate(self.letters))]).tobytes()
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        tokenize, letters = self.model.tokenize, self.letters
-        mapped = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in words]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(text)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = list(map(self.pattern.findall, texts))
-        known = self.words.prepare(lists)
-        out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        self.words.done()
-        for i in [i for i, t in enumerate(texts) if self.odd.search(t)]:
-            out[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
-        return out
+    def by_library(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 #: How the two vocabularies cut text before they merge.
@@ -91,45 +84,60 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def simple(piece: str) -> bool:
+    """Latin letters without combining marks: nothing to compose, and one rule of lower case for every engine."""
+    return piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece
+
+
 class WordEncoder:
     """For a tokenizer that drops white space and never joins across it: pieces between spaces are independent. They
-    are normalised by the library; plain ASCII only needs lower case."""
+    are normalised by the library; simple ones only need lower case."""
 
     def __init__(self, path: str) -> None:
         t = library(path)
-        self.matches = Matches(t, WORD_PATTERN)
-        normal = t.normalizer.normalize_str
-        self.pieces = Pieces(lambda x: self.matches.encode([k.lower() if k.isascii() else normal(k) for k in x]))
+        self.matches, self.normal = Matches(t, WORD_PATTERN), t.normalizer.normalize_str
+        self.pieces = Memo(lambda k: self.matches.encode(k.lower() if simple(k) else self.normal(k)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [t.split(" ") for t in texts]
-        known = self.pieces.prepare(lists)
-        out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        self.pieces.done()
-        return out
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if odd(text):
+            return self.matches.by_library(text)
+        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
 
 
-class ByteEncoder:
-    """For a byte-level tokenizer whose pattern lets a word take one space before it.
+def cuts(text: str) -> tuple[str, list[str]]:
+    """A text for a byte-level pattern, which lets a word take one space before it: its part before the first space,
+    and each later part with the space before it left out.
 
-    A text is cut before every space. Single spaces end no run of white space early, so each piece, with its space,
-    is cut by the pattern as in the whole text; a text with two spaces in a row, or one at its end, is encoded whole.
+    Single spaces end no run of white space early, so each part, with its space, is cut by the pattern as in the
+    whole text. A text with two spaces in a row, or one at its end, is one part.
     """
+    if "  " in text or text.endswith(" "):
+        return text, []
+    first, *rest = text.split(" ")
+    return first, rest
+
+
+class ByteEncoder:
+    """For a byte-level tokenizer whose pattern lets a word take one space before it."""
+
+    def __init__(self, path: str) -> None:
+        self.matches = Matches(library(path), BYTE_PATTERN)
+        self.pieces = Memo(lambda k: self.matches.encode(" " + k))
+
+    def encode(self, text: str) -> bytes:
+        if odd(text):
+            return self.matches.by_library(text)
+        first, rest = cuts(text)
+        return b"".join([self.matches.encode(first), *map(self.pieces.__getitem__, rest)])
 
-    def __init__(self, encode: Callable[[list[str]], list]) -> None:
-        self.whole = encode
-        self.pieces = Pieces(lambda x: encode([" " + k for k in x]))
 
-    def parts(self, texts: list[str]) -> list[list]:
-        """What `encode` makes of the consecutive parts of each text."""
-        lists = [[] if "  " in t or t.endswith(" ") else t.split(" ") for t in texts]
-        first = self.whole([x.pop(0) if x else t for x, t in zip(lists, texts)])
-        known = self.pieces.prepare(lists)
-        out = [[f, *map(known.__getitem__, x)] for f, x in zip(first, lists)]
-        self.pieces.done()
-        return out
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """A worker keeps its encoder, with what it remembers, from task to task."""
+    return WordEncoder(path)
 
 
+@functools.lru_cache(maxsize=1)
 def byte_encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(Matches(library(path), BYTE_PATTERN).encode)
+    return ByteEncoder(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import partitions, small_batches, written
-from opalspan.llm.tokens import WordEncoder
+from opalspan.llm.tokens import word_encoder
 
 MAGIC = b"OPWM1\0\0\0"
 #: Tokens of a shard, bits between two entries of a plane's rank directory, and the id that ends a document.
@@ -139,7 +139,7 @@ def from_file(data: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         lengths: list = []
@@ -151,7 +151,8 @@ def _write(path: str):
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids)], pa.binary())], names=["part", "shard", "before", "n", "file"])
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = encoder.encode(t or "")
                 docs.append(d)
                 lengths.append(len(x) // 4 + 1)
                 parts += (x, end)

@@ -19,10 +19,11 @@ def texts(seed, n):
 
 
 def test_encoders_equal_the_library():
-    for path, encode in ((public.path("word_bpe_49k.json"), tokens.WordEncoder(public.path("word_bpe_49k.json")).encode), (public.path("byte_bpe_50k.json"), lambda x, e=tokens.byte_encoder(public.path("byte_bpe_50k.json")): [b"".join(p) for p in e.parts(x)])):
-        t = tokens.library(path)
+    for name, encoder in (("word_bpe_49k.json", tokens.word_encoder), ("byte_bpe_50k.json", tokens.byte_encoder)):
+        path = public.path(name)
+        t, encode = tokens.library(path), encoder(path).encode
         xs = texts(1, 1500) + ["", "x" * 3000]
-        assert encode(xs) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
+        assert list(map(encode, xs)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
 
 
 def test_wavelet_matrix():
@@ -91,3 +92,18 @@ def test_bpe(spark):
     back = spark.createDataFrame([(1, enc.encode_ordinary("héllo 日本")), (2, []), (3, None)], "doc_id long, ids array<int>")
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe_duckdb.decode(back, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).collect()} == {1: "héllo 日本", 2: "", 3: ""}
     assert zlib.crc32(b"") == 0
+
+
+def test_long_words_by_rounds():
+    """Words far over LONG_WORD, runs of one letter, and pairs whose contraction makes a pair of lower rank."""
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe_duckdb.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(6)
+    letters = "etaoinshrdlucmfwypvbgk"
+    words = ["".join(r.choices(letters, range(len(letters), 0, -1), k=n)) for n in (64, 65, 66, 90, 200, 401, 3000)]
+    words += ["a" * n for n in (65, 66, 67, 1001)] + ["=" * 500, "aab" * 90, "\u65e5\u672c" * 60, "".join(r.choices("\u0430\u0431\u0432\u0433", k=300))]
+    coder = bpe_duckdb.coder(path, public.PATTERN)
+    for w, (ids, decoded) in zip(words, coder.texts(words)):
+        assert ids == "".join(f"{i}," for i in library.encode_ordinary(w)) and decoded == w.encode()
+
