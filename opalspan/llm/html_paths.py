@@ -6,7 +6,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,64 +19,100 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-NEVER = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head object canvas audio video".split())
+ASIDE = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head object canvas audio video".split())
 #: An opening tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
+#: An implied end is not looked for beyond these.
+_BARRIER = frozenset("table ul ol dl select article div section body".split())
 CLOSES_P = BLOCK - frozenset("body caption head html legend option select summary tbody td tfoot th thead title tr".split())
-#: Words of class, id or role that mark what is not the article.
+#: Words of class, id or role that speak against an element: one signal of its path's value.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended "
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Those of them that also mark an article element: a reader's comment or an advert can be one.
-IN_ARTICLE = frozenset("ad advert comment comments related reply replies sponsored".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _CLOSE_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+#: Elements whose class or id tells one path from another.
+NAMED = frozenset("article aside div dl form main nav ol section table ul".split())
 #: Weight of neighbours two and one away and of a node itself.
-KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
-#: Share of the ratios' deviation that a path must reach.
-THRESHOLD = 0.35
+KERNEL = (0.06, 0.24, 0.40, 0.24, 0.06)
+#: A path is chosen from this share of the values' deviation, and of the highest value.
+DEVIATION, HIGHEST = 0.35, 0.02
+#: Factors of a path's value: an element of ASIDE or with a word of BOILERPLATE, and an article or main element.
+AGAINST, FOR = 0.001, 4.0
+#: The container is the deepest path with this share of the chosen text; a path in it that is not chosen stays unless
+#: its signals (factors, and the share of its text that is no link) come to less than CALM.
+COVER, CALM = 0.8, 0.3
+
+
+def _against(tag: str, attributes: str) -> bool:
+    if tag in ASIDE:
+        return True
+    if tag in ("html", "body", "main") or not attributes.strip():
+        return False
+    return bool(_HIDDEN.search(attributes)) or any(not BOILERPLATE.isdisjoint(_NAME.split((m[2] or m[3] or m[4] or "").lower())) for m in _MARK.finditer(attributes))
 
 
-def _marked(attributes: str, words: frozenset[str]) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
-    return any(not words.isdisjoint(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())) for m in _MARK.finditer(attributes))
+class Block:
+    """A run of text in one block element: its path (outermost first), text, characters in links, and the factor of
+    the elements around it."""
 
+    __slots__ = ("path", "text", "linked", "factor")
+
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, factor: float) -> None:
+        self.path, self.text, self.linked, self.factor = path, text, linked, factor
 
-class _Page:
-    """Blocks of a page in order: path, text, whether boilerplate, enclosing article and parent element."""
 
+class _Page:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, element number
-        self.blocks: list[tuple[str, str, bool, int, int]] = []
+        self.stack: list[tuple[str, str, float, bool]] = []  # tag, name in a path, factor, whether in an article
+        self.depth: list[tuple[str, ...]] = [()]  # paths of the block elements that are open
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.elements = 0
+        self.linked = 0
+        self.open_tags: dict[str, int] = {}
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            self.parts = []
             if text:
-                outer = [x for x in self.stack if x[0] in BLOCK] or self.stack[:1]
-                own = outer[-1] if outer else ("", False, 0, 0)
-                above = outer[-2] if len(outer) > 1 else own
-                bad = bool(self.stack) and self.stack[-1][1]
-                self.blocks.append(("/".join(x[0] for x in outer), text, bad, own[2], above[3]))
+                self.blocks.append(Block(self.depth[-1], text, min(self.linked, len(text)), self.stack[-1][2] if self.stack else 1.0))
+        self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
         if raw:
-            self.parts.append(html.unescape(raw) if "&" in raw else raw)
+            raw = html.unescape(raw) if "&" in raw else raw
+            self.parts.append(raw)
+            if self.open_tags.get("a"):
+                self.linked += len(raw)
 
     def pop_to(self, k: int) -> None:
         if any(x[0] in BLOCK for x in self.stack[k:]):
             self.flush()
+        for tag, *_ in self.stack[k:]:
+            self.open_tags[tag] -= 1
+            if tag in BLOCK:
+                self.depth.pop()
         del self.stack[k:]
 
+    def _imply_ends(self, tag: str) -> None:
+        """Ends of elements that the opening of `tag` implies: found from the innermost on, up to the next container."""
+        ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+        if not any(self.open_tags.get(x) for x in ends):
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            over = self.stack[k][0]
+            if over in ends:
+                self.pop_to(k)
+                return
+            if over in _BARRIER:
+                return
+
     def open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag in BLOCK:
@@ -85,34 +120,36 @@ class _Page:
             else:
                 self.parts.append(" " if tag in ("br", "wbr") else "")
             return
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 40), -1):
-            over = self.stack[k][0]
-            if over in CLOSES.get(tag, ()) or over == "p" and tag in CLOSES_P:
-                self.pop_to(k)
-                break
-            if over in ("table", "ul", "ol", "dl", "select", "article", "div", "section", "body"):
-                break
-        if tag in BLOCK:
-            self.flush()
-        _, bad, article, _ = self.stack[-1] if self.stack else ("", False, 0, 0)
-        self.elements += 1
-        if tag in ("article", "main"):
-            article = article or self.elements
-        bad = bad or tag in NEVER or (tag not in ("html", "body", "main") and bool(attributes.strip()) and _marked(attributes, IN_ARTICLE if tag == "article" else BOILERPLATE))
+        self._imply_ends(tag)
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             return
-        self.stack.append((tag, bad, article, self.elements))
+        if tag in BLOCK:
+            self.flush()
+        _, _, factor, inside = self.stack[-1] if self.stack else ("", "", 1.0, False)
+        if factor > AGAINST and _against(tag, attributes):
+            factor *= AGAINST
+        if tag in ("article", "main") and not inside:
+            factor, inside = factor * FOR, True
+        name = tag
+        if tag in NAMED and (m := _MARK.search(attributes)):
+            name += "." + (m[2] or m[3] or m[4] or "").lower()
+        self.stack.append((tag, name, factor, inside))
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.depth.append((*self.depth[-1], name))
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.pop_to(k)
-                return
-        if tag in BLOCK:
+        if self.open_tags.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.pop_to(k)
+        elif tag in BLOCK:
             self.flush()
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int, int]]:
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text in order. Scripts, styles and comments have none."""
     out, at, n = _Page(), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -136,49 +173,58 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int]]:
     return out.blocks
 
 
-def content_paths(found: list[tuple[str, str, bool, int, int]]) -> set[str]:
-    """Paths whose fused ratio, smoothed along the page, reaches the threshold.
+def ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Of each path its value and its calm.
 
-    Per path: mean text length and mean punctuation of its nodes; their product along the page's nodes is smoothed
-    by KERNEL, averaged per path, and compared with THRESHOLD times the deviation over nodes.
+    Per path: text length, punctuation and characters in links of all its nodes, each by node. Value: length times one
+    more than punctuation, times calm, the share of text outside links and the factor of the elements around. Along the
+    page a node's value is smoothed by KERNEL over neighbours of the same parent path, and averaged by path again.
     """
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for b in found:
+        t = sums.setdefault(b.path, [0, 0, 0, 0, 0.0])
+        t[0] += 1
+        t[1] += len(b.text)
+        t[2] += len(PUNCTUATION.findall(b.text))
+        t[3] += b.linked
+        t[4] += b.factor
+    calm = {p: t[4] / t[0] * (1 - t[3] / t[1]) for p, t in sums.items()}
+    plain = {p: t[1] / t[0] * (1 + t[2] / t[0]) * calm[p] for p, t in sums.items()}
+    total = dict.fromkeys(sums, 0.0)
+    for i, b in enumerate(found):
+        weights = values = 0.0
+        for k, w in enumerate(KERNEL, i - 2):
+            if 0 <= k < len(found) and found[k].path[:-1] == b.path[:-1]:
+                weights += w
+                values += w * plain[found[k].path]
+        total[b.path] += values / weights
+    return {p: (total[p] / t[0], calm[p]) for p, t in sums.items()}
+
+
+def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
+    """Paths of the content: those whose value reaches the threshold, and the calm ones in their container."""
     if not found:
         return set()
-    length: dict[str, list[int]] = {}
-    for path, text, *_ in found:
-        s = length.setdefault(path, [0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += 1
-    fused = np.array([(length[p][0] / length[p][2]) * (1 + length[p][1] / length[p][2]) for p, *_ in found])
-    if len(fused) >= len(KERNEL):
-        fused = np.convolve(np.pad(fused, 2, mode="edge"), KERNEL, mode="valid")
-    limit = THRESHOLD * fused.std()
-    total: dict[str, list[float]] = {}
-    for (p, *_), v in zip(found, fused):
-        total.setdefault(p, []).append(v)
-    return {p for p, v in total.items() if sum(v) / len(v) >= limit}
+    value = ratios(found)
+    nodes = [value[b.path][0] for b in found]
+    mean = sum(nodes) / len(nodes)
+    limit = max(DEVIATION * (sum((x - mean) ** 2 for x in nodes) / len(nodes)) ** 0.5, HIGHEST * max(nodes))
+    chosen = {p for p, (v, _) in value.items() if v >= limit}
+    under: dict[tuple[str, ...], int] = {}
+    for b in found:
+        if b.path in chosen:
+            for k in range(len(b.path)):
+                under[b.path[:k]] = under.get(b.path[:k], 0) + len(b.text)
+    whole = under.get((), 0)
+    container = max((q for q, n in under.items() if n >= COVER * whole), key=len, default=())
+    return chosen | {p for p, (_, calm) in value.items() if calm >= CALM and p[: len(container)] == container}
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, joined by blank lines.
-
-    Nodes of menus, forms, scripts and the like never count. Of the rest, paths chosen by their ratios name the
-    content; short blocks stay if they lie in the same article, or beside chosen nodes where a page has none.
-    """
-    found = [b for b in blocks(page or "") if not b[2]]
+    """The blocks of the content paths, in page order, joined by blank lines."""
+    found = blocks(page or "")
     paths = content_paths(found)
-    chosen = [b for b in found if b[0] in paths] or found
-    articles: dict[int, int] = {}
-    for b in chosen:
-        if b[3]:
-            articles[b[3]] = articles.get(b[3], 0) + len(b[1])
-    if articles:
-        most = max(articles.values())
-        inside = {k for k, v in articles.items() if v * 4 >= most}
-        return "\n\n".join(b[1] for b in found if b[3] in inside)
-    parents = {b[4] for b in chosen}
-    return "\n\n".join(b[1] for b in found if b[0] in paths or b[4] in parents)
+    return "\n\n".join(b.text for b in found if b.path in paths)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +236,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Every row of pages with all its columns but html, and text, n_chars (code points).
 
-    Null or empty html gives an empty text; repeated rows stay; columns already named text or n_chars are replaced.
-    One pass without a shuffle; a page is parsed in time linear in its length.
+    Null or empty html gives an empty text; repeated rows stay; columns already named text or n_chars are replaced;
+    an empty table gives no rows. Paths of equal values are judged alike; bytes that are no UTF-8 are what Spark's cast
+    to string makes of them; depth is bounded by the page alone. One pass without a shuffle.
     """
     small_batches(pages.sparkSession, 200)
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
