@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalspan.llm.common import small_batches
+from opalspan.llm.common import discard, small_batches, written
 
-#: Bytes of a passage; labelled documents that the model is fitted on at most; folds, of which the first is held out.
-PASSAGE, SAMPLE, FOLDS = 512, 4000, 5
-#: Passages of one labelled document that training looks at, evenly spaced; scoring reads every passage.
-TRAIN_PASSAGES = 24
+#: Bytes of a passage; folds, of which the first is held out.
+PASSAGE, FOLDS = 512, 5
+#: Labelled documents that the model is fitted on at most, and their passages in all: documents are taken, whole, in
+#: order of a hash of their ids until the next one would exceed either.
+SAMPLE, SAMPLE_PASSAGES = 4000, 60_000
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 30, 0.01, 1e-4
 CUT = 0.3
 
@@ -40,11 +41,11 @@ _PAIRS = 64
 FEATURES = CLASSES + _PAIRS + 8
 
 
-def passages(text: str | None, most: int | None = None) -> np.ndarray:
+def passages(text: str | None) -> np.ndarray:
     """One row of features per passage, over the whole text; an empty text is one empty passage.
 
     Shares of character classes, of hashed pairs of neighbouring classes, of capitals and signs, and of different and
-    of immediately repeated words.
+    of immediately repeated words. A pair belongs to the passage of its first character.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -53,11 +54,6 @@ def passages(text: str | None, most: int | None = None) -> np.ndarray:
     n = -(-len(raw) // PASSAGE)
     kind = _TABLE[raw]
     at = np.arange(len(raw)) // PASSAGE
-    keep = range(n)
-    if most and n > most:
-        keep = np.unique(np.linspace(0, n - 1, most).astype(int))
-        chosen = np.isin(at, keep)
-        kind, at, n = kind[chosen], np.searchsorted(keep, at[chosen]), len(keep)
     size = np.bincount(at, minlength=n).astype(np.float32)[:, None]
     out = np.empty((n, FEATURES), dtype=np.float32)
     out[:, :CLASSES] = np.bincount(at * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES) / size
@@ -73,11 +69,9 @@ def passages(text: str | None, most: int | None = None) -> np.ndarray:
     joint = (kind[1:] >= 6) & (kind[:-1] >= 6)
     extra[:, 4] = np.bincount(at[:-1], weights=joint, minlength=n) / size[:, 0]
     extra[:, 5] = np.log1p(n) / 8
-    for i, k in enumerate(keep):
-        words = data[k * PASSAGE : (k + 1) * PASSAGE].split()
-        if words:
-            extra[i, 6] = len(set(words)) / len(words)
-            extra[i, 7] = sum(map(bytes.__eq__, words, words[1:])) / len(words)
+    for i in range(n):
+        words = data[i * PASSAGE : (i + 1) * PASSAGE].split()
+        extra[i, 6:] = (len(set(words)) / len(words), sum(map(bytes.__eq__, words, words[1:])) / len(words)) if words else (0, 0)
     return out
 
 
@@ -152,23 +146,35 @@ def fold(doc_id) -> F.Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = [passages(t, TRAIN_PASSAGES) for t in b.column(0).to_pylist()]
-        yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary()), b.column(1)], names=["bag", "label"])
+        bags = [passages(t) for t in b.column(0).to_pylist()]
+        yield pa.record_batch([pa.array([len(x) for x in bags], pa.int32()), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary()), b.column(1), b.column(2)], names=["n", "bag", "label", "id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from at most `sample` labelled documents outside the held-out fold, taken in order of a hash of their
-    ids; None if no label of either kind is there. Only features of the sample reach the driver."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> tuple[list[np.ndarray], np.ndarray]:
+    """(bags, labels) of at most `rows` labelled documents outside the held-out fold, with all of their passages, which
+    are `most` in all unless the first document alone has more. Documents come in order of a hash of their ids. Of
+    texts with one id, the one with the least features counts; labels that differ count as the greater."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("label"))
-    chosen = known.where(fold(F.col("_id")) != 0).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = known.where(fold(F.col("_id")) != 0).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # the sample's size is bounded by its parameter, so its ids can be sent to every executor
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("text", "label", "_id").mapInArrow(_bags, "bag binary, label int").limit(2 * sample).toArrow()
-    order = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
-    y = np.array([int(x[1] > 0) for x in order], dtype=np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
-    return Model().fit([np.frombuffer(x[0], dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for x in order], y)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    made = texts.select("text", "label", "_id").mapInArrow(_bags, "n int, bag binary, label int, id long")
+    made = written(made.groupBy("id").agg(F.min(F.struct("n", "bag", "label")).alias("x")).select("id", "x.*"), "sample")
+    sizes = made.select("id", "n").orderBy(F.xxhash64("id"), "id").toArrow()  # `rows` rows at most
+    total = np.cumsum(sizes.column("n").to_numpy()) if len(sizes) else np.zeros(0, int)
+    taken = sizes.column("id").to_pylist()[: max(1, int((total <= most).sum()))]
+    got = made.where(F.col("id").isin(taken)).toArrow() if taken else made.toArrow()
+    discard(made)
+    order = sorted(zip(got.column("id").to_pylist(), got.column("bag").to_pylist(), got.column("label").to_pylist()))
+    return [np.frombuffer(b, dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for _, b, _ in order], np.array([int(x > 0) for *_, x in order], dtype=np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Model | None:
+    """A model from the sample; None if no label of either kind is there. Only features of the sample reach the
+    driver."""
+    bags, y = sample(docs, labels, rows, most)
+    return None if not len(y) or y.min() == y.max() else Model().fit(bags, y)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
