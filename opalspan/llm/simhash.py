@@ -15,7 +15,7 @@ from opalspan.llm.common import connected_components, contract, partitions, smal
 SEED = 42
 #: Segments of a fingerprint on the ring, their width, and the links' greatest Hamming distance.
 SEGMENTS, WIDTH, DISTANCE = 4, 16, 3
-#: Distinct fingerprints under one ring key from which the key's rows are dealt to pairs of blocks.
+#: Rows under one ring key, its own and changed ones, from which they are dealt to pairs of blocks.
 HOT = 16384
 #: Runs of one key up to this length are compared by shifts, longer ones by blocks of a matrix.
 SHORT, BLOCK = 48, 2048
@@ -154,24 +154,36 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield r
 
 
-def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """Distinct fp -> (src, dst) links that span every group of fingerprints within distance 3.
+def dealt_keys(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct fp -> (key, sub, fp, role): each fingerprint under its ring keys.
 
-    A key with more than `hot` fingerprints is dealt to pairs of blocks, so that no task gets an unbounded run.
+    A key with more than `hot` rows, whether they are its own or sent by its neighbours, is dealt to pairs of blocks, so
+    that no task gets an unbounded run: about 2 * hot rows at most.
     """
     spark = fps.sparkSession
     small_batches(spark, 10_000)
     rows = fps.select("fp").mapInArrow(_ring_keys, "key long, fp long, role byte")
     seg = lambda i: F.shiftright("fp", WIDTH * (i % SEGMENTS)).bitwiseAND(F.lit(0xFFFF).cast("long"))
     home = F.array(*[F.lit(i << 32).cast("long").bitwiseOR(F.shiftleft(seg(i), 16)).bitwiseOR(seg(i + 1)) for i in range(SEGMENTS)])
-    crowded = fps.select(F.explode(home).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    # rows of a key: its own, and those that its 16 neighbours of even parity send. A key over `hot` rows has 1/17 of
+    # them from itself or from one neighbour, so only keys with that many are looked at
+    many = fps.select(F.explode(home).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (WIDTH + 1) > hot)
+    even = F.bit_count(F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long"))) % 2 == 0
+    sent = F.array(*[F.col("key").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(WIDTH)])
+    to = F.concat(F.array("key"), F.when(even, sent).otherwise(F.array().cast("array<long>")))
+    crowded = many.select(F.explode(to).alias("key"), "n").groupBy("key").agg((F.sum("n") + F.lit(hot)).alias("n")).where(F.col("n") > 2 * hot)
     crowded = crowded.select("key", F.ceil(F.col("n") * 2 / hot).cast("int").alias("blocks"))
     dealt = rows.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pair = lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)
     dealt = dealt.withColumn("sub", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))))
-    dealt = dealt.select("key", "sub", "fp", "role").repartition(partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
-    return dealt.mapInArrow(_links, "src long, dst long")
+    return dealt.select("key", "sub", "fp", "role")
+
+
+def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct fp -> (src, dst) links that span every group of fingerprints within distance 3."""
+    rows = dealt_keys(fps, hot).repartition(partitions(fps.sparkSession), "key", "sub").sortWithinPartitions("key", "sub")
+    return rows.mapInArrow(_links, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,9 +208,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     with a null doc_id stay, as no group can be named by them. Groups (doc_id, component_id) are those of
     near_duplicates unless others are given."""
     groups = near_duplicates(docs) if groups is None else groups
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    return named.dropDuplicates().unionByName(docs.where(F.col("doc_id").isNull()))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever the columns are called
+    named = rows.where(F.col("row.doc_id").isNotNull()).join(first, F.col("row.doc_id").cast("long") == F.col("first"), "left_semi")
+    return named.dropDuplicates().unionByName(rows.where(F.col("row.doc_id").isNull())).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
