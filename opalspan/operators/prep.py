@@ -265,3 +265,19 @@ def numbered_spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
 def audited(spans: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every span of the sheet with its verdict, ok where there is none; a verdict without a span is left out."""
     return spans.join(verdicts, [key, "span_idx"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("ok")))
+
+
+def mixture(parts: dict[str, DataFrame], seed: int, key: str = "id") -> DataFrame:
+    """All rows of the parts, with their name as source, in one shuffled order; parts need the same columns."""
+    named = [df.withColumn("source", F.lit(name)) for name, df in parts.items()]
+    whole = named[0]
+    for df in named[1:]:
+        whole = whole.unionByName(df)
+    return shuffled(whole, seed, key)
+
+
+def in_region(pool: DataFrame, test: DataFrame, train: DataFrame, regions: list[str], n: int, seed: int, threshold: float = 0.8, region: str = "region", key: str = "id") -> DataFrame:
+    """n documents of the regions in stratified order, none of them in the test set nor a near-duplicate of training."""
+    own = pool.where(F.col(region).isin(regions)).join(test.select(key).distinct(), key, "left_anti")
+    near = near_duplicates(own, train, threshold, key=key)
+    return stratified_order(own, seed, region, key).join(near.select(key).distinct(), key, "left_anti").orderBy("place", key).limit(n)

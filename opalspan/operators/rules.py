@@ -172,6 +172,25 @@ def rejection(text: Column, values: Column, keep: Column) -> Column:
     return F.when((F.length(text) == 0) | (F.length(text) > MAX_CHARS), "length").otherwise(F.coalesce(first(F.transform(values, value)), let(spans, rest)))
 
 
+ANSWER = "struct<messages:array<struct<id:string,text:string,keep:array<string>>>>"
+
+
+def collected(responses: DataFrame, specs: DataFrame) -> DataFrame:
+    """responses(request, content) and specs(request, id, values, keep) -> (request, id, text, spans, reason), a row for
+    each spec: the reason why nothing was made of it, or null and the labelled message.
+
+    A content that is no JSON with messages makes all its specs unparseable; a spec without a message, or whose message
+    has no text, is missing; others are judged by `rejection`. Of two messages with one id the last counts."""
+    read = responses.select("request", F.from_json("content", ANSWER)["messages"].alias("m"))
+    given = read.select("request", F.posexplode("m").alias("at", "m")).groupBy("request", F.col("m.id").alias("id")).agg(F.max_by("m", "at").alias("m"))
+    both = specs.join(read.select("request", F.col("m").isNotNull().alias("_readable")), "request", "left").join(given, ["request", "id"], "left")
+    text, keep = F.trim("m.text"), F.concat(F.coalesce("keep", F.array().cast("array<string>")), F.coalesce("m.keep", F.array().cast("array<string>")))
+    judged = F.when(~F.coalesce("_readable", F.lit(False)), "unparseable response").when(text.isNull(), "missing message").otherwise(rejection(text, F.col("values"), keep))
+    out = both.select("request", "id", text.alias("text"), "values", judged.alias("reason"))
+    good = F.col("reason").isNull()
+    return out.select("request", "id", F.when(good, F.col("text")).alias("text"), F.when(good, labelled(F.col("text"), F.col("values"))).alias("spans"), "reason")
+
+
 NAME_LABELS = ("GIVENNAME", "SURNAME", "TITLE")
 
 

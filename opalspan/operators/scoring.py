@@ -260,7 +260,7 @@ def promoted(df: DataFrame) -> Column:
 
 def label_report(audit: DataFrame) -> DataFrame:
     """audit(label, verdict) -> spans, errors, rate and Wilson interval per label; unknown verdicts count apart."""
-    known = F.col("verdict").isin("ok", "wrong_label", "wrong_span", "not_pii")
+    known = F.col("verdict").isin("ok", "wrong_label", "not_pii", "bad_boundary")
     n, k = F.sum(known.cast("long")), F.sum((known & (F.col("verdict") != "ok")).cast("long"))
     out = audit.groupBy("label").agg(n.alias("n"), k.alias("errors"), F.sum((~known).cast("long")).alias("unknown"))
     lo, hi = wilson(F.col("errors"), F.col("n"))
@@ -280,3 +280,33 @@ def delta_rows(df: DataFrame, model: str, whole: str, *keys: str) -> DataFrame:
     of = lambda system, a, b: F.round(100 * ratio(F.sum(F.when(F.col("system") == system, F.col(a))), F.sum(F.when(F.col("system") == system, F.col(b)))), 6)
     rows = both.groupBy(*keys).agg(of("model", "leaked_chars", "gold_chars").alias("model_leak"), of("whole", "leaked_chars", "gold_chars").alias("whole_leak"), of("model", "over_chars", "pred_chars").alias("model_over"), of("whole", "over_chars", "pred_chars").alias("whole_over"))
     return rows.withColumn("leak_change", F.round(F.col("whole_leak") - F.col("model_leak"), 6))
+
+
+def missed_by_label(sheet: DataFrame) -> DataFrame:
+    """sheet(missed) with entries 'LABEL: value; ...' -> (label, n); none and - are no entries."""
+    entry = sheet.select(F.explode(F.split(F.coalesce("missed", F.lit("")), ";")).alias("entry")).withColumn("entry", F.trim("entry"))
+    some = entry.where((F.col("entry") != "") & ~F.lower("entry").isin("none", "-"))
+    return some.groupBy(F.upper(F.trim(F.split("entry", ":", 2)[0])).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Remarks on spans that are right but of a kind of their own.
+REMARKS = ("event_date", "place", "injected")
+
+
+def remark_counts(audit: DataFrame) -> DataFrame:
+    """audit(label, verdict, note) -> (remark, label, n) of right spans whose note begins with a known remark."""
+    plain = F.trim(F.regexp_replace(F.trim(F.coalesce("note", F.lit(""))), r"^\[llm\]", ""))
+    remark = F.regexp_extract(plain, r"^[^: ]*", 0)
+    return audit.where(F.lower(F.trim("verdict")) == "ok").select(remark.alias("remark"), "label").where(F.col("remark").isin(*REMARKS)).groupBy("remark", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_seed_mean(results: DataFrame) -> DataFrame:
+    """results(seed, label, n_gold, leakage_chars) -> (label, leak): percent of leaked characters averaged over the seeds
+    that have the label."""
+    return results.where("n_gold > 0").groupBy("label").agg(F.round(F.avg(100 * F.col("leakage_chars")), 2).alias("leak"))
+
+
+def best_per_set(results: DataFrame, systems: list[str]) -> DataFrame:
+    """results(tag, testset, leak) -> the system of least leakage on each set, the first by name of equals."""
+    least = F.min(F.struct("leak", "tag"))
+    return results.where(F.col("tag").isin(systems)).groupBy("testset").agg(least.alias("b")).select("testset", "b.tag", "b.leak")

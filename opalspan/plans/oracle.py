@@ -270,4 +270,11 @@ ORACLE: dict[str, str] = {
     "token_numbering": _TOKENS,
     "bioes_decode": _BIOES,
     "chunk_text": _CHUNKS,
+    "missed_by_label": "select 'CITY' as label, count(*) as n from labels where toxic = 1 having count(*) > 0 union all select 'STREET', count(*) from labels where toxic = 1 having count(*) > 0",
+    "audit_remarks": "select case when doc_id % 4 = 0 then 'place' else 'event_date' end as remark, case when toxic = 1 then 'CITY' else 'DATE' end as label, count(*) as n from labels where quality = 1 and doc_id % 4 < 2 group by all",
+    "best_baseline_per_set": f"with {_GOLD}, {_RESULTS}, x as (select testset, tag, round(leakage_chars, 9) as leak from results where tag in ('src1', 'src2', 'src3', 'src4')) select testset, arg_min(tag, (leak, tag)) as tag, min(leak) as leak from x group by testset",
+    "label_seed_mean": f"with {_GOLD}, per as (select source as seed, label, count(*) as n, sum(end_at - start_at) as chars, sum((select count(*) from gp where gp.doc_id = gold.doc_id and p >= start_at and p < end_at and not exists (select 1 from pp where pp.doc_id = gp.doc_id and pp.p = gp.p))) as leaked from gold join docs using (doc_id) where source in ('src1', 'src2', 'src3') group by all) select label, round(avg(100 * leaked / chars), 2) as leak from per group by label",
+    "collect_responses": "select doc_id, case doc_id % 4 when 0 then null when 1 then 'unparseable response' when 2 then 'missing message' else 'missing value CITY' end as reason, case when doc_id % 4 = 0 then 2 else 0 end as n_spans from documents",
+    "training_mixture": "select case when lang = 'en' then 'english' else 'other' end as source, lang, count(*) as n from documents where lang is not null group by all",
+    "transcript_cards": "with c as (select c_custkey as k, 'Q' || translate(cast(c_custkey as varchar), '0123456789', 'abcdefghij') as q, lpad(cast(c_custkey as varchar), 7, '0') as d from customer) select k as c_custkey, 'GIVENNAME=Bob|GIVENNAME=ANN|SURNAME=' || q || '|TELEPHONENUM=(555) ' || d[1:3] || '-' || d[4:7] || '|IGNORE=ord-' || k || '|BUILDINGNUM=' || (k + 10) || '|STREET=Elm ' || q || ' Road|BUILDINGNUM=7|STREET=Elm ' || q || ' Road|CITY=leeds|IGNORE=zed' as labels from c",
 }

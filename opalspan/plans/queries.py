@@ -11,7 +11,7 @@ from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
 from opalspan.functions import text as tx
 from opalspan.functions.policy import Policy, entities, policy, redacted
-from opalspan.operators import generate, merge, model_output, prep, rules, scoring, vault
+from opalspan.operators import generate, merge, model_output, prep, rules, scoring, transcripts, vault
 from opalspan.plans import redaction
 from opalspan.sources.shared import scratch
 
@@ -467,6 +467,61 @@ def q_unspoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", tx.unspoken(said).alias("digits"))
 
 
+def q_missed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as a sheet of missed values: two for toxic documents, none or a dash for others."""
+    entries = F.when(F.col("toxic") == 1, F.concat(F.lit("city: X; Street : "), F.col("doc_id").cast("string"))).when(F.col("quality") == 1, F.lit("none")).otherwise(F.lit(" - ;"))
+    return scoring.missed_by_label(table(spark, sf_dir, "labels").select(entries.alias("missed")))
+
+
+def q_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("[llm] place: a"), F.lit("event_date"), F.lit("other place"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "CITY").otherwise("DATE").alias("label"), F.when(F.col("quality") == 1, "OK ").otherwise("not_pii").alias("verdict"), kind.alias("note"))
+    return scoring.remark_counts(rows)
+
+
+def q_best_per_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).select("tag", "testset", F.round("leakage_chars", 9).alias("leak"))
+    return scoring.best_per_set(r, ["src1", "src2", "src3", "src4"])
+
+
+def q_seed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as seeds: labels' leakage averaged over the sources that have them."""
+    per = predicted(spark, sf_dir).where("source in ('src1', 'src2', 'src3')").select(F.col("source").alias("seed"), "doc_id", "text", F.explode("gold").alias("g"), "pred")
+    leaked = F.size(F.array_except(sp.positions(F.array("g")), sp.positions(F.col("pred"))))
+    rows = per.groupBy("seed", F.col("g.label").alias("label")).agg(F.count(F.lit(1)).alias("n_gold"), scoring.ratio(F.sum(leaked), F.sum(F.col("g.end") - F.col("g.start"))).alias("leakage_chars"))
+    return scoring.label_seed_mean(rows)
+
+
+def q_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons by document: answers are whole, broken, without the message, or without the value, in turn by id."""
+    docs = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 4).alias("turn"))
+    text = F.concat(F.lit("Please write to Ann about it"), F.when(F.col("turn") == 3, "").otherwise(" in Leeds today"))
+    whole = F.to_json(F.struct(F.array(F.struct(F.when(F.col("turn") == 2, "other").otherwise("s").alias("id"), text.alias("text"), F.array().cast("array<string>").alias("keep"))).alias("messages")))
+    responses = docs.select(F.col("doc_id").alias("request"), F.when(F.col("turn") == 1, F.substr(whole, F.lit(1), F.lit(20))).otherwise(whole).alias("content"))
+    values = F.array(F.struct(F.lit("GIVENNAME").alias("label"), F.lit("Ann").alias("text")), F.struct(F.lit("CITY").alias("label"), F.lit("Leeds").alias("text")))
+    specs = docs.select(F.col("doc_id").alias("request"), F.lit("s").alias("id"), values.alias("values"), F.array().cast("array<string>").alias("keep"))
+    return rules.collected(responses, specs).select(F.col("request").alias("doc_id"), "reason", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"))
+
+
+def q_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang")
+    mixed = prep.mixture({"english": docs.where("lang = 'en'"), "other": docs.where("lang <> 'en'")}, SEED, "doc_id")
+    return mixed.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_transcript_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each customer, by an agent, with what the customer's card holds and a user name."""
+    k = F.col("c_custkey")
+    phone = F.concat(F.lit("555"), F.lpad(k.cast("string"), 7, "0"))
+    layout = F.concat(F.lit("(555) "), F.substring(phone, 4, 3), F.lit("-"), F.substring(phone, 7, 4))
+    surname = F.concat(F.lit("Q"), F.lower(F.translate(k.cast("string"), "0123456789", "abcdefghij")))
+    street = F.concat(F.lit("Elm "), surname, F.lit(" Road"))
+    card = F.struct(F.concat(F.lit("Ann "), surname).alias("name"), F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org")).alias("email"), phone.alias("phone"), F.concat((k + 10).cast("string"), F.lit(" "), street).alias("street_address"), F.lit("Leeds").alias("city"), F.lit(None).cast("string").alias("zip_code"), F.array(F.concat(F.lit("ord-"), k.cast("string"))).alias("ignored"))
+    text = F.concat(F.lit("Hi, my name is Bob. ANN "), surname, F.lit(", call "), layout, F.lit(" about ord-"), k.cast("string"), F.lit(". "), (k + 10).cast("string"), F.lit(" "), street, F.lit(" or 7 "), street, F.lit(", leeds. Username is zed."))
+    s = table(spark, sf_dir, "customer").select("c_custkey", F.explode(transcripts.turn_spans(text, card, F.lit(True))).alias("s"))
+    return s.groupBy("c_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s.start", "s.label", "s.text"))), lambda x: F.concat(x["label"], F.lit("="), x["text"])), "|").alias("labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_emails": _detector(d.emails),
     "detect_cards_luhn": _detector(d.cards),
@@ -537,4 +592,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_messages": q_messages,
     "gateway_deltas": q_deltas,
     "audit_verdicts": q_audit,
+    "missed_by_label": q_missed_labels,
+    "audit_remarks": q_remarks,
+    "best_baseline_per_set": q_best_per_set,
+    "label_seed_mean": q_seed_labels,
+    "collect_responses": q_collected,
+    "training_mixture": q_mixture,
+    "transcript_cards": q_transcript_cards,
 }

@@ -168,3 +168,45 @@ def test_files(spark, tmp_path):
 def test_generated(spark):
     a, b = generate.generated(spark, 50, 1).collect(), generate.generated(spark, 50, 1).repartition(7).orderBy("id").collect()
     assert sorted(a) == sorted(b) and all(r["text"][r["start"] : r["end"]] == r["value"] for r in a)
+
+
+def test_realigned(spark):
+    text = "Ann Lee met Bob. " * 3
+    log = [("a", 0, 34, '[{"label": "GIVENNAME", "text": "ann"}, {"label": "GIVENNAME", "text": "Bob"}]'), ("a", 17, 34, '[{"label": "GIVENNAME", "text": "Ann"}, {"label": "X", "text": "q"}]')]
+    log, docs = spark.createDataFrame(log, "id string, offset int, chunk_len int, raw string"), spark.createDataFrame([("a", text), ("b", "none")], "id string, text string")
+    starts = lambda fuzzy: sorted(s["start"] for r in model_output.realigned(log, docs, fuzzy)[0].collect() for s in r["spans"])
+    assert starts(False) == [12, 17] and starts(True) == [0, 12, 17]
+    assert sorted(r["reason"] for r in model_output.realigned(log, docs, False)[1].collect()) == ["not_found", "unknown_label"]
+
+
+def test_windows_and_places():
+    """Against the rules said step by step."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choices("ab \n", [6, 6, 1, 1], k=r.randint(0, 90)))
+        size = r.randint(5, 30)
+        overlap = r.randint(0, size - 2)
+        at, end, want = 0, -1, []
+        while end < len(text):
+            end = min(len(text), at + size)
+            if end < len(text):
+                low = at + overlap + 1
+                places = [i for i in range(low, end) if text[i] == " "] or [i for i in range(low, end) if text[i] == "\n"]
+                end = places[-1] if places else end
+            want.append((at, text[at:end]))
+            spaces = [i for i in range(max(0, end - overlap), end) if text[i] == " "]
+            at = spaces[0] + 1 if spaces else end - overlap
+        assert list(model_output.windows(text, size, overlap)) == want
+    found, lost = model_output.locate("b a B a", [{"label": "CITY", "text": x} for x in ("a", "b", "b", "B", "a", "a", " ")])
+    assert [f[:2] for f in found] == [(0, 1), (2, 3), (4, 5), (6, 7)] and [x[2] for x in lost] == ["not_found", "not_found", "empty"]
+
+
+def test_in_region(spark):
+    r = __import__("random").Random(1)
+    rows = [(str(k), " ".join(r.choices([f"w{i}" for i in range(200)], k=30)), "IN" if k % 2 else "GB") for k in range(40)]
+    pool = spark.createDataFrame(rows, "id string, text string, region string").withColumn("spans", sp.no_spans())
+    test, train = pool.where("id in ('1', '3')"), pool.where("id = '5'").withColumn("text", F.concat("text", F.lit(" more")))
+    got = [x["id"] for x in prep.in_region(pool, test, train, ["IN"], 10, 7).collect()]
+    assert len(got) == 10 and not {"1", "3", "5"} & set(got) and all(int(x) % 2 for x in got)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opalspan.plans.oracle import ORACLE
 from opalspan.plans.queries import QUERIES
+from opalspan.plans.source_queries import SOURCES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,15 +22,16 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v if isinstance(v, bool | int | str) else str(v)
 
 
-@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix"])
+@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix", "near_dup_exact_classes", "fill_offsets", "transcript_cards", "collect_responses", "chunk_text", "token_numbering", "restore_roundtrip", "vault_ttl_purge", "iban_seeded", "ipv6_seeded", "normalize_look_alikes", "spoken_digits", "split_name", "parse_llm_json", "missed_by_label", *SOURCES])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = QUERIES[name](spark, SF)
+    query, sql = SOURCES[name] if name in SOURCES else (QUERIES[name], ORACLE[name])
+    df = query(spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = db.execute(ORACLE[name])
+    cur = db.execute(sql)
     names = [x[0] for x in cur.description]
     want = sorted((tuple(plain(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall()), key=repr)
     assert sorted(names) == cols and got == want
