@@ -4,7 +4,9 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from opalspan.llm import html_paths, line_quality, mil_quality, pii_disclosure
@@ -48,7 +50,7 @@ def test_disclosure(spark):
         words = [(x or "")[int(s) : int(e)] for k, s, e in (y.split(":") for y in got[d]["spans"].split(",") if y) if k == "term"]
         assert words == (["zanzibarian"] if spans else [])
     clean = {x["doc_id"]: x["text"] for x in pii_disclosure.sanitise(df).collect()}
-    assert " z* [EMAIL] the " in clean[0] and clean[10] == rows[5][1] and clean[90] == ""
+    assert " [EMAIL TERM] [EMAIL] the " in clean[0] and clean[10] == rows[5][1] and clean[90] == ""
     assert pii_disclosure.personal_spans(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -71,7 +73,55 @@ def test_disclosure_rare_entity(spark):
     x = rows[0][1]
     assert [x[int(s) : int(e)] for k, s, e in (y.split(":") for y in got[0].split(",")) if k == "term"] == ["zanzibarian"]
     assert not any(v for d, v in got.items() if d)
-    assert {r["doc_id"]: r["text"] for r in pii_disclosure.sanitise(df).collect()}[0] == "please write to z* [EMAIL] about the matter"
+    assert {r["doc_id"]: r["text"] for r in pii_disclosure.sanitise(df).collect()}[0] == "please write to [EMAIL TERM] [EMAIL] about the matter"
+
+
+def disclosed(texts):
+    """(text, start, end) of every revealing word, straight from the definitions."""
+    import math
+
+    import regex
+
+    words = lambda x: {w.lower() for w in regex.findall(r"\p{L}+", x) if len(w) > 1}
+    different = sorted(set(texts))
+    uses = []  # entity, context, text, [(term, start, end)]
+    for x in different:
+        spans = by_rule(x)
+        for kind, s, e in spans:
+            near = [*[m for m in regex.finditer(r"\p{L}{2,}", x[:s])][-8:], *[m for m in regex.compile(r"\p{L}{2,}").finditer(x, e)][:8]]
+            own = [(m[0].lower(), m.start(), m.end()) for m in near if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+            if own:
+                value = x[s:e].lower() if kind == "email" else x[s:e] if kind == "ip" else re.sub("[^0-9]", "", x[s:e])
+                uses.append(((kind, value), tuple(t for t, *_ in own), x, own))
+    n, n_t = len(different), collections.Counter(t for x in different for t in words(x))
+    out = set()
+    for entity in {u[0] for u in uses}:
+        mine = [u for u in uses if u[0] == entity]
+        n_e, rare = len({u[2] for u in mine}), len({u[1] for u in mine}) < pii_disclosure.SUPPORT
+        for term in {t for u in mine for t in u[1]}:
+            n_et, k = len({u[2] for u in mine if term in u[1]}), len({u[1] for u in mine if term in u[1]})
+            given = (n_et + n_e / n) / (n_t[term] + 1) if rare else n_et / n_t[term]
+            information = math.log2(n / n_e)
+            if (rare or k >= pii_disclosure.SUPPORT) and information > 0 and math.log2(n * given / n_e) >= pii_disclosure.DISCLOSURE * information:
+                out |= {(u[2], s, e) for u in mine for t, s, e in u[3] if t == term}
+    return out
+
+
+def test_disclosure_brute_force(spark):
+    r = random.Random(12)
+    common = ["the", "and", "of", "write", "call", "mail", "Über", "naïve", "cafe\u0301", "x"]
+    rows = []
+    for k in range(1500):
+        w = [r.choice(common) for _ in range(r.randint(0, 12))]
+        if k % 10 == 0:
+            who = r.randrange(12)
+            w.insert(r.randint(0, len(w)), f"Nick{chr(97 + who)}name u{who}@example.com" if r.random() < 0.7 else f"u{who}@example.com and 10.0.0.{who}")
+        rows.append((k, " ".join(w)))
+    rows += [(2000 + k, rows[10 * k][1]) for k in range(30)] + [(3000, None), (3001, "rare " * 3 + "word" + " " * 4000 + "seldom +1 202 555 0143 " + "." * 900 + "thing")]
+    got = pii_disclosure.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    found = {(texts[x["doc_id"]], int(s), int(e)) for x in got for kind, s, e in (y.split(":") for y in x["spans"].split(",") if y) if kind == "term"}
+    assert found == disclosed([t or "" for t in texts.values()]) and len(found) > 20
 
 
 def measures(x):
@@ -138,12 +188,88 @@ PAGE = """<html><head><title>T</title><script>if (a < b) { "<p>x</p>" }</script>
 def test_html(spark):
     want = "A & B\n\nFirst para, with bold text and more, so it is long enough. Next line.\n\nSecond.\n\none\n\ntwo"
     assert html_paths.main_text(PAGE.replace("{open}", "<article>").replace("{close}", "</article>")) == want
-    assert html_paths.main_text(PAGE.replace("{open}", '<div id="content">').replace("{close}", "</div>")).startswith("A & B\n\nFirst para")
+    assert html_paths.main_text(PAGE.replace("{open}", '<div id="content">').replace("{close}", "</div>"))== want
+    # the paths decide: with all of them the page's other blocks come in
+    every = "\n\n".join(b.text for b in html_paths.blocks(PAGE))
+    assert "Menu" in every and "We use cookies" in every and "Menu" not in want
+    found = html_paths.blocks(PAGE.replace("{open}", "<article>").replace("{close}", "</article>"))
+    assert {b.path for b in found} - html_paths.content_paths(found)
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain < text", "x"), (4, "u", "<p>" * 3000 + "deep", "x"), (4, "u", "<div 'broken <p>ok", "x")], "page_id long, url string, html string, text string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_paths.extract_main_text(df).collect()]
     assert got[:4] == [(1, "", 0), (2, "", 0), (3, "plain < text", 12), (4, "deep", 4)]
 
 
+def test_html_paths_against_plain_sums():
+    """Values of paths from the definition, and the whole extraction with the method switched off."""
+    found = html_paths.blocks(PAGE.replace("{open}", "<article>").replace("{close}", "</article>"))
+    plain = {}
+    for p in {b.path for b in found}:
+        own = [b for b in found if b.path == p]
+        n, size = len(own), sum(len(b.text) for b in own)
+        calm = sum(b.factor for b in own) / n * (1 - sum(b.linked for b in own) / size)
+        plain[p] = size / n * (1 + sum(len(html_paths.PUNCTUATION.findall(b.text)) for b in own) / n) * calm, calm
+    for p, (value, calm) in html_paths.ratios(found).items():
+        smooth = []
+        for i, b in enumerate(found):
+            if b.path == p:
+                near = [(html_paths.KERNEL[k - i + 2], plain[found[k].path][0]) for k in range(max(0, i - 2), min(len(found), i + 3)) if found[k].path[:-1] == p[:-1]]
+                smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        assert abs(value - sum(smooth) / len(smooth)) < 1e-6 * max(1, value) and calm == plain[p][1]
+
+
+def test_html_shapes():
+    text = html_paths.main_text
+    long = "A sentence, with marks, that goes on for a while. " * 4
+    items = "".join(f"<li>item {k}" for k in range(10))
+    page = f"<body><div class=menu><a href=x>one</a> <a href=y>two</a></div><div id=content><h2>Head</h2><p>{long}<p>{long}<p>{long}<ul>{items}</ul><table><tr><td>a<td>b</table></div><div class=footer>Terms, and more.</div>"
+    assert text(page).split("\n\n") == ["Head", *[long.strip()] * 3, *[f"item {k}" for k in range(10)], "a", "b"]
+    linked = f"<body><div id=content><p>{long}<p>{long}<ul><li><a href=x>More to read here</a><li><a href=y>And here</a></ul></div>"
+    assert text(linked).split("\n\n") == [long.strip()] * 2
+    comments = f"<main><article><p>{long}</article><section class=comments>" + f"<article><p>{long}</article>" * 5 + "</section></main>"
+    assert text(comments) == long.strip()
+    assert text("<div>" * 5000 + "x" + "<b>" * 5000 + "<p>y" * 100).count("y") == 100 and text(None) == text("") == ""
+
+
+def test_quality_gradients():
+    r = random.Random(4)
+    bags = [mil_quality.passages("".join(r.choices("abc ,.#\n", k=k))) for k in (10, 700, 1500, 0)]
+    m, y = mil_quality.Model(), np.array([1, 0, 1, 0], dtype=np.float64)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, sizes = np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags])
+    run = lambda: m.forward(x, np.cumsum(sizes) - sizes, sizes)
+    for bag, s in zip(bags, run()["s"]):  # one document by loops
+        h = np.tanh(bag @ m.p["W"] + m.p["d"])
+        e = [float((np.tanh(q @ m.p["V"]) * (1 / (1 + np.exp(-(q @ m.p["U"]))))) @ m.p["w"][:, 0]) for q in h]
+        a = np.exp(e) / np.exp(e).sum()
+        assert abs(1 / (1 + np.exp(-(float((a @ h) @ m.p["c"][:, 0]) + m.p["b"][0, 0]))) - s) < 1e-9
+    loss = lambda: float(-np.mean(y * np.log(run()["s"]) + (1 - y) * np.log(1 - run()["s"])))
+    for name, g in m.gradients(run(), y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        m.p[name][at] += 1e-5
+        up = loss()
+        m.p[name][at] -= 2e-5
+        down = loss()
+        m.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-4 * max(1, abs(g[at])), name
+
+
+def test_quality_sample(spark):
+    """Training sees what scoring sees: all passages of long texts; ids that stand twice count once; bounds hold."""
+    long = "Some words, then more. " * 4000
+    rows = [(k, long[: 512 * (k % 7 + 1)] if k else long) for k in range(60)] + [(3, "again"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(5, None), (None, 1)], "doc_id long, quality int")
+    bags, y = mil_quality.sample(docs, labels)
+    learn = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert len(bags) == len(y) == len(learn)
+    sizes = sorted(len(b) for b in bags)
+    assert sizes == sorted(1 if k == 3 else -(-len(dict(rows[:60])[k]) // 512) for k in learn)
+    if 0 in learn:
+        assert np.allclose(max(bags, key=len), mil_quality.passages(long), atol=2e-3)
+    few, _ = mil_quality.sample(docs, labels, 10, 30)
+    assert 0 < len(few) <= 10 and (len(few) == 1 or sum(map(len, few)) <= 30)
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = mil_quality.fit(docs, labels)
