@@ -23,5 +23,24 @@ def queries() -> dict:
     return {name: getattr(importlib.import_module(f"opalspan.llm.{module}"), name) for name, module in _NAMES.items()}
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+_LINE_FREQUENCY = rf"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(source, chr(0)) as h from documents),
+w as (select doc_id, t, h, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as gram from w, unnest(range(1, len(w) - 6)) as u(i)),
+again as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1),
+covered as (select doc_id, count(distinct i + k) as n from again, range(8) r(k) group by doc_id),
+texts as (select distinct h, t, lines from w), sizes as (select h, count(*) as n from texts group by h),
+own as (select h, t, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '{_SPACE}+', ' ', 'g'), ' ') as line, sum(len(list_filter(regexp_split_to_array(x, '{_SPACE}+'), lambda y: y <> ''))) as words from texts, unnest(lines) as u(x) group by all),
+common as (select h, line from (select h, line, count(*) as k from own group by all) join sizes using (h) where k > 2 and k > 0.05 * n),
+hit as (select h, t, cast(sum(words) as bigint) as n from own semi join common using (h, line) group by all),
+m as (select w.doc_id, len(w.w) as n_words, len(regexp_replace(w.t, '{_SPACE}+', '', 'g')) as word_chars, len(w.t) - len(translate(w.t, '#*$%&|<>', '')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, coalesce(hit.n, 0) as n_common_words
+  from w left join covered using (doc_id) left join hit on hit.h = w.h and hit.t = w.t),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select *, not base_failed and not (n_common_words > 0.8 * n_words or n_common_words > 0 and n_words - n_common_words < 20) as kept from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators have no SQL: trees, buckets, files, tokenisers and models are tested against brute force."""
+    return {"op7_line_frequency": _LINE_FREQUENCY}
