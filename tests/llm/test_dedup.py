@@ -111,22 +111,76 @@ def brute_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("large,hot", [(suffix_dedup.LARGE, suffix_dedup.HOT), (2, 10**6), (2, 3)])
-def test_suffix(spark, monkeypatch, large, hot):
-    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+def test_refine():
+    r = np.random.default_rng(4)
+    for length, letters in ((8, 2), (40, 2), (41, 1), (100, 3)):
+        texts = [r.integers(97, 97 + letters, int(n)).astype(np.uint8).tobytes() for n in r.integers(0, 300, 12)]
+        texts += [texts[1] * 2, texts[2][3:]]
+        data = b"".join(texts)
+        room = np.concatenate([np.arange(len(t), 0, -1) for t in texts])
+        bucket = suffix_dedup.refine(np.frombuffer(data, np.uint8), room, length)
+        strings = [data[p : p + length] if room[p] >= length else None for p in range(len(data))]
+        assert all((bucket[p] >= 0) == (s is not None and strings.count(s) > 1) for p, s in enumerate(strings) if p % 5 == 0)
+        named = {}
+        assert all(named.setdefault(b, s) == s for b, s in zip(bucket.tolist(), strings) if b >= 0) and len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize("hot,chunk", [(suffix_dedup.HOT, suffix_dedup.CHUNK), (10**6, 100), (3, 100)])
+def test_suffix(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     r = random.Random(5)
     passage = "".join(r.choices("abcdé ", k=90))
     texts = ["".join(r.choices("abcdefgh ", k=r.randint(0, 200))) + r.choice([passage, passage[:45], passage[10:80], ""]) + "".join(r.choices("ab", k=r.randint(0, 30))) for _ in range(40)]
     texts += [None, "", "ab" * 60, "x" * 41, "y" * 40, texts[3], "z" * 3000]
     df = spark.createDataFrame([(k if k % 9 else None, t, "s", "c") for k, t in enumerate(texts)], DOCS)
-    spans, _ = suffix_dedup.repeated_spans(df, 40, hot)
+    spans = suffix_dedup.repeated_spans(df, 40, hot)
     assert spans.columns == ["doc_id", "tkey", "s", "e"]
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (40, hot))
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (40, hot, None))
     got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(df, 40).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == sorted(brute_removal(texts, 40))
+    # the longer length inside the runs of the shorter one
+    two = sorted(tuple(x) for x in suffix_dedup.remove_repeats(df, 40, 16).select("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes").collect())
+    assert two == sorted((*a, b[1]) for a, b in zip(brute_removal(texts, 40), brute_removal(texts, 16)))
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS), 40).count() == 0
 
 
+def test_fingerprints_of_one_segment_pair(spark):
+    """Fingerprints that share two segments crowd a key that has none of its own: they are sent by a neighbour."""
+    r = random.Random(8)
+    low = sorted({r.getrandbits(32) for _ in range(3000)})
+    fps = [(x << 32) | (0b11 << 16) | 5 for x in low[:2990]] + [(x << 32) | (0b111 << 16) | 5 for x in low[2980:]] + [(low[0] << 32) | (0b10 << 16) | 5]
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    links = [tuple(x) for x in simhash.link_fingerprints(df, 200).collect()]
+    u = np.array(fps, dtype=np.uint64)
+    exact = [(signed[i], signed[j]) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u[i] ^ u[:i]) <= 3).tolist()]
+    assert len(exact) > 10 and components(signed, links) == components(signed, exact)
+    runs = simhash.dealt_keys(df, 200).groupBy("key", "sub").count().agg({"count": "max"}).first()[0]
+    assert runs <= 3 * 200
+
+
+def test_cover_tree_prunes():
+    """Vectors in tight groups: pairs of nodes that are far apart are never opened, and no link is lost."""
+    r = np.random.default_rng(5)
+    x = cover_tree.unit(np.repeat(r.standard_normal((64, 64)), 60, axis=0) + 0.05 * r.standard_normal((3840, 64)))
+    tree = cover_tree.build(x)
+    compared, found, check = 0, set(), cover_tree._check
+
+    def counted(a, b, *rest):
+        nonlocal compared
+        compared += len(a) * len(b)
+        return check(a, b, *rest)
+
+    cover_tree._check = counted
+    try:
+        for i, j in cover_tree.dual(tree, tree, x, x, x, x, 0.95):
+            found |= set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    finally:
+        cover_tree._check = check
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
+    assert found == want and len(want) > 50_000 and compared < 0.25 * len(x) ** 2
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((30, 8))
