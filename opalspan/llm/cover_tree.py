@@ -13,8 +13,10 @@ from opalspan.llm.common import connected_components, contract, small_batches, w
 
 COSINE = 0.95
 #: Vectors that the tree's top levels are built from at most, their nodes at most, points of a leaf, rows of a block.
-SAMPLE, TOP, LEAF, BLOCK = 4096, 256, 16, 4096
+SAMPLE, TOP, LEAF, BLOCK = 4096, 256, 512, 16384
 SLACK = 1e-9
+#: Points that a node of the next level holds at least, on average.
+SPREAD = 8
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -25,8 +27,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
 
-def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centres farther than `radius` from one another, and for each point the first centre within it."""
+def net(x: np.ndarray, radius: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centres farther than `radius` from one another, and for each point the first centre within it; none at all if
+    they are more than `most`."""
     owner = np.full(len(x), -1)
     centres: list[int] = []
     for lo in range(0, len(x), 256):
@@ -43,6 +46,8 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
                 mine[r] = True
                 owner[lo + left[mine]] = len(centres)
                 centres.append(lo + int(left[r]))
+        if most is not None and len(centres) > most:
+            return None
     return np.array(centres), owner
 
 
@@ -59,7 +64,8 @@ class Node:
 
 def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray | None = None, scale: float = 2.0) -> Node:
     """Cover tree of unit vectors: a node's children are a net of half its scale, and its radius is the true distance
-    of its farthest point. A few points, or points that the finest level still holds together, are a leaf."""
+    of its farthest point. A few points, points that the finest level still holds together, and points of which the next
+    level would hold fewer than SPREAD together, are a leaf: opening them prunes nothing."""
     points = np.arange(len(x)) if points is None else points
     own = x[points]
     centre = own[0] if centre is None else centre
@@ -68,7 +74,10 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
         scale /= 2
     if len(points) <= LEAF or scale <= 1e-3:
         return Node(centre, radius, [], points)
-    centres, owner = net(own, scale / 2)
+    level = net(own, scale / 2, len(points) // SPREAD)
+    if level is None:
+        return Node(centre, radius, [], points)
+    centres, owner = level
     order = np.argsort(owner, kind="stable")
     groups = np.split(points[order], np.flatnonzero(np.diff(owner[order])) + 1)
     return Node(centre, radius, [build(x, g, own[c], scale / 2) for c, g in zip(centres, groups)], points)
@@ -77,11 +86,12 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
 def _check(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs at or over the cosine; those at its very edge are computed again from the vectors as given."""
     c = x @ y.T
-    hit = c >= cosine
-    for i, j in zip(*np.nonzero(np.abs(c - cosine) < SLACK)):
-        p, q = raw_x[i], raw_y[j]
-        hit[i, j] = float((p * q).sum()) / (np.sqrt(float((p * p).sum())) * np.sqrt(float((q * q).sum()))) >= cosine
-    return np.nonzero(hit)
+    i, j = np.nonzero(c >= cosine - SLACK)
+    sure = np.ones(len(i), dtype=bool)
+    for k in np.flatnonzero(c[i, j] < cosine + SLACK):
+        p, q = raw_x[i[k]], raw_y[j[k]]
+        sure[k] = float((p * q).sum()) / (np.sqrt(float((p * p).sum())) * np.sqrt(float((q * q).sum()))) >= cosine
+    return i[sure], j[sure]
 
 
 def dual(a: Node, b: Node, xa: np.ndarray, xb: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,10 +103,10 @@ def dual(a: Node, b: Node, xa: np.ndarray, xb: np.ndarray, raw_a: np.ndarray, ra
     while todo:
         p, q = todo.pop()
         if not p.children and not q.children:
-            for k in range(0, len(p.points), 1024):
-                rows = p.points[k : k + 1024]
-                i, j = _check(xa[rows], xb[q.points], raw_a[rows], raw_b[q.points], cosine)
-                i, j = rows[i], q.points[j]
+            for k in range(0, len(p.points), 512):
+                rows, others = p.points[k : k + 512], q.points[k if same and p is q else 0 :]
+                i, j = _check(xa[rows], xb[others], raw_a[rows], raw_b[others], cosine)
+                i, j = rows[i], others[j]
                 if same and p is q:
                     i, j = i[i < j], j[i < j]
                 if len(i):
