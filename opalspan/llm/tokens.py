@@ -7,14 +7,15 @@ import os
 from array import array
 from collections.abc import Callable
 
-#: Pieces that a worker remembers in each of its two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 80
+#: Pieces and words that a worker remembers in each of its two generations, for a word-level and for a byte-level
+#: vocabulary, and the longest that it remembers.
+REMEMBERED, BYTE_REMEMBERED, LONGEST = 400_000, 120_000, 80
 
 
 class Memo(dict):
     """key -> what `make` gives for it. Two generations bound what is remembered; a long key is made each time."""
 
-    def __init__(self, make: Callable, limit: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable, limit: int) -> None:
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -54,6 +55,9 @@ def _byte_letters() -> dict[int, str]:
 _ODD = "\x1c\x1d\x1e\x1f"
 
 
+_STOPS = (".", ",")
+
+
 def odd(text: str) -> bool:
     return any(c in text for c in _ODD)
 
@@ -61,12 +65,12 @@ def odd(text: str) -> bool:
 class Matches:
     """Ids of a tokenizer's pre-tokens, each merged by the library's model, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer, pattern: str) -> None:
+    def __init__(self, tokenizer, pattern: str, limit: int) -> None:
         import regex
 
         self.whole, self.find, self.letters = tokenizer, regex.compile(pattern).findall, _byte_letters()
         self.tokenize = tokenizer.model.tokenize
-        self.words = Memo(self._merge)
+        self.words = Memo(self._merge, limit)
 
     def _merge(self, word: str) -> bytes:
         raw = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
@@ -75,6 +79,15 @@ class Matches:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(text)))
 
+    def piece(self, before: str, k: str) -> bytes:
+        """The same for `before` and a piece between spaces; letters, and letters with a stop after them, are cut without
+        the pattern."""
+        if k.isalpha():
+            return self.words[before + k]
+        if k[-1:] in _STOPS and k[:-1].isalpha():
+            return self.words[before + k[:-1]] + self.words[k[-1]]
+        return self.encode(before + k)
+
     def by_library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -95,8 +108,8 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         t = library(path)
-        self.matches, self.normal = Matches(t, WORD_PATTERN), t.normalizer.normalize_str
-        self.pieces = Memo(lambda k: self.matches.encode(k.lower() if simple(k) else self.normal(k)))
+        self.matches, self.normal = Matches(t, WORD_PATTERN, REMEMBERED), t.normalizer.normalize_str
+        self.pieces = Memo(lambda k: self.matches.piece("", k.lower() if simple(k) else self.normal(k)), REMEMBERED)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -122,8 +135,8 @@ class ByteEncoder:
     """For a byte-level tokenizer whose pattern lets a word take one space before it."""
 
     def __init__(self, path: str) -> None:
-        self.matches = Matches(library(path), BYTE_PATTERN)
-        self.pieces = Memo(lambda k: self.matches.encode(" " + k))
+        self.matches = Matches(library(path), BYTE_PATTERN, BYTE_REMEMBERED)
+        self.pieces = Memo(lambda k: self.matches.piece(" ", k), BYTE_REMEMBERED)
 
     def encode(self, text: str) -> bytes:
         if odd(text):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,93 +16,111 @@ from pyspark.sql import functions as F
 from opalspan.llm.common import partitions, small_batches, written
 from opalspan.llm.tokens import word_encoder
 
-MAGIC = b"OPWM1\0\0\0"
-#: Tokens of a shard, bits between two entries of a plane's rank directory, and the id that ends a document.
-SHARD, STRIDE, END = 1 << 19, 512, 1
+MAGIC = b"OPWM2\0\0\0"
+#: Tokens of a shard, and the id that ends a document.
+SHARD, END = 1 << 19, 1
+#: Places that a reader of all follows down the planes together, or an eighth of them if that is more.
+READ = 1 << 20
+#: Bits between two entries of a plane's rank directory, and bits of a plane that are compressed together.
+STRIDE, CHUNK = 512, 1 << 18
+_HEADER = struct.Struct("<8s4Q")
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of ids, highest bit first; each plane holds the ids sorted, stably, by the bits above."""
+    """Bit planes of a sequence of ids, highest bit first; each plane holds the ids sorted, stably, by the bits above.
 
-    def __init__(self, planes: list[np.ndarray], n: int) -> None:
-        self.planes, self.n = planes, n
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in planes]
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
+    A plane is a rank directory (ones before every STRIDE bits) and its bits as 64-bit words, asked for by chunk.
+    """
+
+    def __init__(self, n: int, ones: list[int], directory: Callable[[int], np.ndarray], chunk: Callable[[int, int], np.ndarray]) -> None:
+        self.n, self.width = n, len(ones)
+        self.zeros = [n - x for x in ones]
+        self._directory, self._chunk = directory, chunk
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), []
-        for k in range(width - 1, -1, -1):
-            bit = (now >> k) & 1
-            planes.append(np.packbits(bit.astype(np.uint8), bitorder="little"))
-            mask = bit.astype(bool)
-            now = np.concatenate([now[~mask], now[mask]])
-        return cls(planes, len(ids))
-
-    def ids(self) -> np.ndarray:
-        """The whole sequence: planes are undone from the lowest."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        now = np.zeros(self.n, dtype=kind)
-        for k, p in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(now)
-            zeros = self.n - int(np.count_nonzero(bit))
-            above[~bit] = now[:zeros]
-            above[bit] = now[zeros:] | kind(1 << k)
-            now = above
-        return now
-
-    def _rank(self, k: int, i: int) -> int:
-        """Ones of plane k before place i: a directory entry, then the bytes after it."""
-        if self._ranks[k] is None:
-            ones = np.bitwise_count(self.planes[k]).astype(np.int64)
-            self._ranks[k] = np.concatenate([[0], np.add.reduceat(ones, np.arange(0, len(ones), STRIDE // 8)).cumsum()]) if len(ones) else np.zeros(1, np.int64)
-        block, byte = i // STRIDE, i // 8
-        out = int(self._ranks[k][block]) + int(np.bitwise_count(self.planes[k][block * (STRIDE // 8) : byte]).sum())
-        return out + (int(self.planes[k][byte] & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0)
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i // 8] >> (i % 8)) & 1
+        planes = split(ids)
+        ranks = [directory(p) for p in planes]
+        return cls(len(ids), [int(np.bitwise_count(p).sum()) for p in planes], ranks.__getitem__, lambda k, c: planes[k][c * (CHUNK // 64) : (c + 1) * (CHUNK // 64)])
+
+    def _look(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places in plane k: the bits there, and the ones before them, by the directory and the words up to the
+        place. A place is n at most."""
+        bit, rank = np.empty(len(at), np.uint64), self._directory(k)[at // STRIDE].astype(np.int64)
+        chunk = at // CHUNK
+        for c in np.unique(chunk).tolist():
+            mine = np.flatnonzero(chunk == c)
+            a = at[mine] - c * CHUNK
+            words = self._chunk(k, c) if c * CHUNK < self.n else np.zeros(1, np.uint64)
+            words = np.append(words, np.uint64(0))  # for a place just behind the last bit
+            # ones of the block's words before each word
+            count = np.bitwise_count(words).astype(np.int64)
+            before = np.cumsum(count) - count
+            w, shift = a >> 6, (a & 63).astype(np.uint64)
+            block = a // STRIDE * (STRIDE // 64)
+            bit[mine] = (words[w] >> shift) & np.uint64(1)
+            rank[mine] += before[w] - before[block] + np.bitwise_count(words[w] & ((np.uint64(1) << shift) - np.uint64(1)))
+        return bit, rank
+
+    def _spread(self, k: int) -> np.ndarray:
+        """Of every place of plane k: twice the ones before it, and its bit. Counted on in each chunk from the
+        directory's entry."""
+        kind = np.int32 if self.n < 1 << 30 else np.int64
+        parts, ones = [], self._directory(k)
+        for c in range(-(-self.n // CHUNK)):
+            bits = np.unpackbits(self._chunk(k, c).view(np.uint8), bitorder="little").astype(kind)
+            twice = np.cumsum(bits + bits, dtype=kind)
+            parts.append(twice - bits + kind(2 * int(ones[c * (CHUNK // STRIDE)])))
+        return np.concatenate(parts)
+
+    def tokens(self, at: np.ndarray) -> np.ndarray:
+        """The ids at the given places, all followed down the planes together by rank. Where they are many for the
+        planes' length, a plane's ranks are spread out once for all of them."""
+        at = np.asarray(at)
+        if not len(at):
+            return np.zeros(0, np.uint32)
+        if not (0 <= int(at.min()) and int(at.max()) < self.n):
+            raise IndexError(at)
+        many = len(at) * 16 >= self.n
+        at = at.astype(np.int32 if many and self.n < 1 << 30 else np.int64)
+        out = np.zeros(len(at), dtype=np.uint32)
+        for k in range(self.width):
+            if many:
+                both = self._spread(k).take(at)
+                bit, rank = both & 1, both >> 1
+            else:
+                bit, rank = self._look(k, at)
+            out += out
+            out += bit.astype(np.uint32)
+            at = np.where(bit, rank + at.dtype.type(self.zeros[k]), at - rank)
+        return out
 
     def access(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        out = 0
-        for k in range(len(self.planes)):
-            bit = self._bit(k, i)
-            out = out * 2 + bit
-            i = self.zeros[k] + self._rank(k, i) if bit else i - self._rank(k, i)
-        return out
+        return int(self.tokens(np.array([i]))[0])
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """Places of the token's occurrences before i, below the lowest plane."""
-        lo = 0
-        if token >> len(self.planes):
+        ends = np.array([0, i], dtype=np.int64)
+        if token < 0 or token >> self.width:
             return 0, 0
-        for k in range(len(self.planes)):
-            a, b = self._rank(k, lo), self._rank(k, i)
-            if token >> (len(self.planes) - 1 - k) & 1:
-                lo, i = self.zeros[k] + a, self.zeros[k] + b
-            else:
-                lo, i = lo - a, i - b
-        return lo, i
+        for k in range(self.width):
+            _, rank = self._look(k, ends)
+            ends = self.zeros[k] + rank if token >> (self.width - 1 - k) & 1 else ends - rank
+        return int(ends[0]), int(ends[1])
 
     def count(self, token: int, upto: int | None = None) -> int:
         lo, hi = self._range(token, self.n if upto is None else upto)
         return hi - lo
 
     def _select_bit(self, k: int, bit: int, j: int) -> int:
-        """Place of the j-th (from 0) such bit of plane k, by halving over ranks."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Place of the j-th (from 0) such bit of plane k: its block by the directory, then inside the block."""
+        ones = self._directory(k).astype(np.int64)
+        have = ones if bit else np.arange(len(ones)) * STRIDE - ones
+        block = int(np.searchsorted(have, j, side="right")) - 1
+        lo = block * STRIDE
+        at = np.arange(lo, min(lo + STRIDE, self.n))
+        bits, _ = self._look(k, at)
+        return lo + int(np.flatnonzero(bits == bit)[j - int(have[block])])
 
     def select(self, token: int, j: int) -> int:
         """Place of the token's j-th occurrence, from 0."""
@@ -109,32 +128,73 @@ class WaveletMatrix:
         if not 0 <= j < hi - lo:
             raise IndexError(j)
         i = lo + j
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - k) & 1
+        for k in range(self.width - 1, -1, -1):
+            bit = token >> (self.width - 1 - k) & 1
             i = self._select_bit(k, bit, i - self.zeros[k] if bit else i)
         return i
 
 
+def split(ids: np.ndarray) -> list[np.ndarray]:
+    """The bit planes as 64-bit words."""
+    width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    now, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), []
+    for k in range(width - 1, -1, -1):
+        mask = ((now >> k) & 1).astype(bool)
+        packed = np.packbits(mask, bitorder="little")
+        planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8"))
+        now = np.concatenate([now[~mask], now[mask]])
+    return planes
+
+
+def directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before every STRIDE bits, and at the end."""
+    ones = np.bitwise_count(plane).astype(np.uint32)
+    ones = np.concatenate([ones, np.zeros(-len(ones) % (STRIDE // 64), np.uint32)]).reshape(-1, STRIDE // 64).sum(axis=1, dtype=np.uint32)
+    return np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)])
+
+
 def to_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """Layout: magic, then sizes (documents, tokens, planes, compressed bytes) as unsigned 64-bit, then one zstd frame
-    of null flags, document ids, lengths and the planes."""
-    m = WaveletMatrix.build(ids)
-    body = b"".join([bytes(d is None for d in docs), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), *(p.tobytes() for p in m.planes)])
-    packed = zstandard.ZstdCompressor(level=3).compress(body)
-    return MAGIC + struct.pack("<4Q", len(docs), len(ids), len(m.planes), len(packed)) + packed
+    """Layout: magic, then documents, tokens, planes and bytes of the table as unsigned 64-bit; the table of places
+    (of the documents' frame, and for each plane its ones, directory and chunks), then the frames. Documents (null
+    flags, ids, lengths), directories and chunks are zstd frames of their own, so one token is read from one chunk of
+    each plane and nothing else is unpacked."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    planes = split(ids)
+    frames = [press(b"".join([bytes(d is None for d in docs), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array(lengths, "<u8").tobytes()]))]
+    ones = []
+    for p in planes:
+        ones.append(int(np.bitwise_count(p).sum()))
+        frames.append(press(directory(p).astype("<u4").tobytes()))
+        frames += [press(p[c : c + CHUNK // 64].tobytes()) for c in range(0, len(p), CHUNK // 64)]
+    table = np.cumsum([0, *map(len, frames)]).astype("<u8").tobytes() + np.array(ones, "<u8").tobytes()
+    return b"".join([_HEADER.pack(MAGIC, len(docs), len(ids), len(planes), len(table)), table, *frames])
 
 
 def from_file(data: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
-    if data[:8] != MAGIC:
+    """Documents, lengths, and the matrix over the file's bytes: frames are unpacked when they are asked for."""
+    magic, docs, n, width, size = _HEADER.unpack_from(data)
+    if magic != MAGIC:
         raise ValueError("not a wavelet-matrix file")
-    docs, n, planes, size = struct.unpack("<4Q", data[8:40])
-    each = -(-n // 8)
-    body = zstandard.ZstdDecompressor().decompress(data[40 : 40 + size], max_output_size=docs * 17 + planes * each)
-    none, at = body[:docs], docs
-    names = np.frombuffer(body, "<i8", docs, at).tolist()
-    lengths = np.frombuffer(body, "<u8", docs, at + 8 * docs).tolist()
-    at += 16 * docs
-    return [None if x else d for x, d in zip(none, names)], lengths, WaveletMatrix([np.frombuffer(body, np.uint8, each, at + k * each) for k in range(planes)], n)
+    places = np.frombuffer(data, "<u8", size // 8 - width, _HEADER.size).astype(np.int64) + _HEADER.size + size
+    ones = np.frombuffer(data, "<u8", width, _HEADER.size + size - 8 * width).astype(np.int64).tolist()
+    chunks = -(-n // CHUNK)
+    view = memoryview(data)
+
+    def frame(i: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(view[places[i] : places[i + 1]])
+
+    @functools.cache
+    def ranks(k: int) -> np.ndarray:
+        return np.frombuffer(frame(1 + k * (1 + chunks)), "<u4")
+
+    @functools.cache
+    def chunk(k: int, c: int) -> np.ndarray:
+        return np.frombuffer(frame(2 + k * (1 + chunks) + c), "<u8")
+
+    body = frame(0)
+    names = np.frombuffer(body, "<i8", docs, docs).tolist()
+    lengths = np.frombuffer(body, "<u8", docs, 9 * docs).tolist()
+    return [None if x else d for x, d in zip(body[:docs], names)], lengths, WaveletMatrix(n, ones, ranks, chunk)
 
 
 def _write(path: str):
@@ -177,8 +237,9 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    # the row's number parts equal rows, so that very many of them need not fit into one range
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     return written(rows.select("doc_id", "text").mapInArrow(_write(tokenizer), "part int, shard int, before long, n long, file binary"), "shards")
 
 
@@ -186,12 +247,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, shard, before, data in zip(*(b.column(i).to_pylist() for i in range(4))):
             names, lengths, matrix = from_file(data)
-            ids = matrix.ids().astype("<u4")
             ends = np.cumsum(lengths)
             starts = ends - np.array(lengths)
+            step = max(READ, matrix.n // 8)
+            ids = b"".join(matrix.tokens(np.arange(a, min(a + step, matrix.n))).astype("<u4").tobytes() for a in range(0, matrix.n, step))
             for lo in range(0, len(names), 500):
                 cut = slice(lo, lo + 500)
-                tokens = [ids[s:e].tobytes() for s, e in zip(starts[cut].tolist(), ends[cut].tolist())]
+                tokens = [ids[4 * s : 4 * e] for s, e in zip(starts[cut].tolist(), ends[cut].tolist())]
                 yield pa.record_batch([pa.array([part] * len(tokens), pa.int32()), pa.array(names[cut], pa.int64()), pa.array(starts[cut] + before, pa.int64()), pa.array(lengths[cut], pa.int64()), pa.array(tokens, pa.binary())], names=["part", "doc_id", "start", "n_tokens", "ids"])
 
 

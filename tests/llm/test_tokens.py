@@ -31,7 +31,7 @@ def test_wavelet_matrix():
     for n, top in ((0, 5), (1, 1), (1000, 2), (5000, 49408)):
         x = r.integers(0, top, n)
         docs, sizes, m = wavelet_output.from_file(wavelet_output.to_file([7, None], [n, 0], x))
-        assert docs == [7, None] and sizes == [n, 0] and (m.ids() == x).all()
+        assert docs == [7, None] and sizes == [n, 0] and (m.tokens(np.arange(n)) == x).all()
         for i in range(0, n, 97):
             t, where = int(x[i]), np.flatnonzero(x == x[i])
             assert m.access(i) == t and m.count(t) == len(where) and m.count(t, i) == (where < i).sum()
@@ -107,3 +107,12 @@ def test_long_words_by_rounds():
     for w, (ids, decoded) in zip(words, coder.texts(words)):
         assert ids == "".join(f"{i}," for i in library.encode_ordinary(w)) and decoded == w.encode()
 
+
+def test_one_token_from_one_chunk():
+    """A token is read from one chunk of each plane, found by the stored directory."""
+    x = np.random.default_rng(3).integers(0, 40_000, 3 * wavelet_output.CHUNK + 17)
+    _, _, m = wavelet_output.from_file(wavelet_output.to_file([1], [len(x)], x))
+    asked, chunk = [], m._chunk
+    m._chunk = lambda k, c: asked.append((k, c)) or chunk(k, c)
+    assert m.access(len(x) - 1) == x[-1] and len(asked) == m.width == 16
+    assert m.count(int(x[5]), 1000) == (x[:1000] == x[5]).sum() and m.select(int(x[5]), 0) == np.flatnonzero(x == x[5])[0]
