@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -16,14 +17,16 @@ from pyspark.sql import functions as F
 from opalspan.llm.common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that form its context.
-REACH = 8
 #: A term reveals an entity if they share so many different contexts, and their pointwise mutual information is at
 #: least this share of the entity's own information.
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Texts with the term but at random in the entity's place, added to the estimate of P(e | t) where an entity has fewer
 #: contexts than the support.
 SMOOTHING = 1
+#: Words of a batch of contexts, but for the last text's.
+BATCH_WORDS = 100_000
+#: A word in more than one of so many different texts is frequent.
+FREQUENT = 100
 #: Revealing terms of so many characters or more are generalised to what they are of, shorter ones removed.
 GENERALISE_FROM = 6
 
@@ -88,87 +91,122 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """For each entity, the words around it that are not in an entity."""
-    out = []
+def _words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """All words of the text that are not in an entity: the context of each of its entities."""
+    rest = sorted((s, e) for _, s, e in spans)
+    at, upto = 0, 0  # spans that start before the word's end, and how far they reach
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while at < len(rest) and rest[at][0] < e:
+            upto = max(upto, rest[at][1])
+            at += 1
+        if upto <= s:
+            yield m[0], s, e
+
+
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    out = {}
     for kind, s, e in spans:
-        size, lo, before = 40 * REACH, s, []
-        while len(before) < REACH and lo > 0:  # a word cut by the window's edge is left to a wider window
-            lo = max(0, s - size)
-            before = [m for m in _WORD.finditer(text, lo, s) if m.start() > lo or lo == 0][-REACH:]
-            size *= 2
-        after = list(itertools.islice(_WORD.finditer(text, e), REACH))
-        words = [m for m in (*before, *after) if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        if not words:
-            continue
-        terms = [m[0].lower() for m in words]
         value = text[s:e].lower() if kind == "email" else _DIGIT.sub("", text[s:e]) if kind != "ip" else text[s:e]
-        out.append({"kind": kind, "entity": xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63, "context": xxhash.xxh3_64_intdigest(" ".join(terms)) - 2**63, "words": [{"term": m[0], "s": m.start(), "e": m.end()} for m in words]})
-    return out
+        out[xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63] = kind
+    return [{"kind": k, "entity": e} for e, k in out.items()]
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
-_CONTEXTS = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.int64()), ("context", pa.int64()), ("words", pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))]))
+_ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.int64())]))
 _SPANS_SQL = "array<struct<kind:string,s:int,e:int>>"
-_CONTEXTS_SQL = "array<struct<kind:string,entity:bigint,context:bigint,words:array<struct<term:string,s:int,e:int>>>>"
+_CONTEXT_SQL = "entities array<struct<kind:string,entity:bigint>>, context long, words array<struct<term:string,s:int,e:int>>"
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        found = [base_spans(t) for t in texts]
-        keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts]
-        spans = [[{"kind": k, "s": s, "e": e} for k, s, e in x] for x in found]
-        contexts = [_context(t, x) if x else [] for t, x in zip(texts, found)]
-        yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array(spans, _SPANS), pa.array(contexts, _CONTEXTS)], names=["doc_id", "tkey", "base", "contexts"])
+        rows: list[list] = [[], [], [], [], []]
+        ends, terms, starts, stops = [0], [], array("i"), array("i")
 
+        def out() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), _SPANS, _ENTITIES, pa.int64())
+            flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(np.frombuffer(starts, np.int32)), pa.array(np.frombuffer(stops, np.int32))], ["term", "s", "e"])
+            return pa.record_batch([*(pa.array(c, t) for c, t in zip(rows, types)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "tkey", "base", "entities", "context", "words"])
 
-def revealing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) whose co-occurrence discloses the entity.
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            text = t or ""
+            found = base_spans(text)
+            hashed = xxhash.xxh3_64()
+            for term, s, e in _words(text, found) if found else ():
+                terms.append(term)
+                starts.append(s)
+                stops.append(e)
+                hashed.update(f"{term.lower()} ")
+            some = len(terms) > ends[-1]
+            ends.append(len(terms))
+            key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+            for c, x in zip(rows, (d, key, [{"kind": k, "s": s, "e": e} for k, s, e in found], _entities(text, found) if some else [], hashed.intdigest() - 2**63)):
+                c.append(x)
+            if len(terms) > BATCH_WORDS:
+                yield out()
+                rows, ends, terms, starts, stops = [[], [], [], [], []], [0], [], array("i"), array("i")
+        if rows[0]:
+            yield out()
+
+
+def revealing_terms(found: DataFrame, texts: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(tkey, kind, term): terms of each text that disclose one of its entities; of several kinds the first by name.
 
     Probabilities are shares of all different texts: P(t) from every text's words, P(e) and P(e, t) from the texts
-    with the entity and with both in one context. PMI(e, t) >= disclosure * IC(e) with at least `support` different
-    contexts. An entity in fewer contexts than that is judged by the smoothed P(e | t) = (n_et + a P(e)) / (n_t + a):
-    a word met once beside it counts about half, one met elsewhere as well soon too little.
+    with the entity and with both, wherever they stand. PMI(e, t) >= disclosure * IC(e) with at least `support`
+    different contexts. An entity in fewer contexts than that is judged by the smoothed P(e | t) = (n_et + a P(e)) /
+    (n_t + a): a word met once beside it counts about half, one met elsewhere as well soon too little.
+
+    n_et is n_e at most, so a term in more texts than an entity's `most` cannot reveal it: only pairs below that
+    are made.
     """
-    uses = found.select("doc_id", "tkey", F.explode("contexts").alias("c")).select("tkey", "c.entity", "c.context", "c.words")
-    counted = uses.groupBy("entity", "context", "tkey").agg(F.count(F.lit(1)).alias("_")).groupBy("entity")
-    known = counted.agg(F.countDistinct("tkey").alias("n_e"), (F.countDistinct("context") < support).alias("rare"))
-    pairs = uses.select("entity", "context", "tkey", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["term"])))).alias("term")).distinct()
-    seen = pairs.groupBy("entity", "term").agg(F.countDistinct("tkey").alias("n_et"), F.countDistinct("context").alias("k"))
-    both = seen.join(known, "entity").where(F.col("rare") | (F.col("k") >= support)).select("entity", "term", "n_et", "n_e", "rare")
-    both = written(both, "pairs")
-    if both.isEmpty():
-        return both.select("entity", "term")
+    uses = texts.select("tkey", "context", F.explode("entities").alias("x")).select("tkey", "context", "x.kind", "x.entity")
+    known = uses.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), (F.countDistinct("context") < support).alias("rare"))
+    total = found.select("tkey").distinct().agg(F.count(F.lit(1)).alias("n"))
+    most = (F.col("n_e") + SMOOTHING) * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure)) + 1
+    known = known.crossJoin(F.broadcast(total)).withColumn("most", most)
+    uses = written(uses.join(known, "entity"), "uses")
+    if uses.isEmpty():
+        return uses.select("tkey", "kind", F.lit("").alias("term"))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), _NO_WORD), lambda w: F.length(w) > 1))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
-    copied = written(texts.groupBy("own").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
+    copied = written(rows.groupBy("own").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
     side = F.broadcast(copied) if copied.count() <= FEW else copied
-    wanted = both.select("term").distinct()
     # each copy of a text counts its share of one text
     share = F.lit(1.0) / F.coalesce("copies", F.lit(1))
-    every = texts.join(side, "own", "left").select(share.alias("share"), F.explode(words).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t")).join(wanted, "term")
-    total = found.select("tkey").distinct().agg(F.count(F.lit(1)).alias("n"))
-    judged = both.join(every, "term").crossJoin(F.broadcast(total))
+    every = rows.join(side, "own", "left").select(share.alias("share"), F.explode(words).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
+    # words of very many texts are sent to the texts, as all their rows would meet in one task; by their definition
+    # they are few
+    highest = texts.select("tkey", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["term"])))).alias("term")).join(uses.groupBy("tkey").agg(F.max("most").alias("highest")), "tkey")
+    every = written(every.crossJoin(F.broadcast(total)).select("term", "n_t", (F.col("n_t") * FREQUENT > F.col("n")).alias("often")), "terms")
+    often = every.where("often").select("term", F.col("n_t").alias("n_often"))
+    side = highest.join(F.broadcast(often) if often.count() <= FEW else often, "term", "left")
+    common = side.where("n_often <= highest").select("tkey", "term", F.col("n_often").alias("n_t"))
+    scarce = side.where("n_often is null").join(every.where("not often"), "term").where("n_t <= highest").select("tkey", "term", "n_t")
+    pairs = written(common.unionByName(scarce).join(uses, "tkey").where("n_t <= most"), "pairs")
+    seen = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.countDistinct("context").alias("k"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n"), F.first("rare").alias("rare"))
     information = F.log2(F.col("n") / F.col("n_e"))
     smoothed = (F.col("n_et") + SMOOTHING * F.col("n_e") / F.col("n")) / (F.col("n_t") + SMOOTHING)
     given = F.when(F.col("rare"), smoothed).otherwise(F.col("n_et") / F.col("n_t"))
     mutual = F.log2(F.col("n") * given / F.col("n_e"))
-    return judged.where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")
+    good = seen.where((F.col("rare") | (F.col("k") >= support)) & (information > 0) & (mutual >= disclosure * information)).select("entity", "term")
+    return pairs.select("tkey", "kind", "entity", "term").join(good, ["entity", "term"], "left_semi").groupBy("tkey", "term").agg(F.min("kind").alias("kind"))
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, base, contexts) of each row, written: base spans, and each entity's words around it."""
+    """(doc_id, tkey, base, entities, context, words) of each row, written: base spans and, where there are some, what
+    they name and the words of the whole text."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(texts.mapInArrow(_detect, f"doc_id long, tkey long, base {_SPANS_SQL}, contexts {_CONTEXTS_SQL}"), "personal")
+    return written(texts.mapInArrow(_detect, f"doc_id long, tkey long, base {_SPANS_SQL}, {_CONTEXT_SQL}"), "personal")
 
 
 def term_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(tkey, terms): spans of revealing terms in the contexts of what they reveal, with the kind of that; of several
-    kinds the first by name."""
-    words = found.select("tkey", F.explode("contexts").alias("c")).select("tkey", "c.kind", "c.entity", F.explode("c.words").alias("w")).select("tkey", "kind", "entity", F.lower("w.term").alias("term"), "w.s", "w.e")
-    shown = words.join(revealing_terms(found, docs), ["entity", "term"], "left_semi").groupBy("tkey", "s", "e").agg(F.min("kind").alias("kind"))
+    """(tkey, terms): spans of the words of each text that reveal one of its entities, wherever they stand, with the kind
+    of that; of several kinds the first by name."""
+    texts = written(found.where(F.size("entities") > 0).select("tkey", "entities", "context", "words").dropDuplicates(["tkey"]), "contexts")
+    words = texts.select("tkey", F.explode("words").alias("w")).select("tkey", F.lower("w.term").alias("term"), "w.s", "w.e")
+    shown = words.join(revealing_terms(found, texts, docs), ["tkey", "term"])
     return shown.groupBy("tkey").agg(F.collect_list(F.struct("s", "e", "kind")).alias("terms"))
 
 
@@ -192,10 +230,10 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs.
 
     Base spans are leftmost non-overlapping matches per kind, those failing their test dropped. Terms that reveal an
-    entity are added as spans of kind `term` where they stand in a context of that entity. A null text is empty and
+    entity are added as spans of kind `term` wherever they stand in a text with that entity. A null text is empty and
     has none; a repeated row gets equal spans, and equal texts count as one document of evidence; an empty table
-    gives no rows. Texts are read once to detect and, if any pair can be judged, once more to count words; no text
-    is shuffled.
+    gives no rows. Texts are read once to detect and, if any has an entity, once more to count words; only words of
+    texts with entities are shuffled.
     """
     found = detected(docs)
     terms = term_spans(found, docs)
@@ -238,7 +276,8 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
 
-#: Texts with revealing terms up to which their spans are broadcast; beyond that the texts are shuffled to them.
+#: Texts with revealing terms, copied texts and frequent words up to which they are broadcast; beyond that the texts, or
+#: their words, are shuffled to them.
 FEW = 20_000
 
 

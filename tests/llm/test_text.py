@@ -124,6 +124,62 @@ def test_disclosure_brute_force(spark):
     assert found == disclosed([t or "" for t in texts.values()]) and len(found) > 20
 
 
+def disclosed_anywhere(texts):
+    """(text, start, end) of every revealing word: all words of a text that are not in an entity are its context."""
+    import math
+
+    import regex
+
+    different, uses = sorted(set(texts)), []  # uses: entity, text, [(term, start, end)]
+    n, n_t = len(different), collections.Counter()
+    for x in different:
+        found = [(m[0].lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}{2,}", x)]
+        n_t.update({t for t, *_ in found})
+        spans = by_rule(x)
+        own = [w for w in found if not any(a < w[2] and w[1] < b for _, a, b in spans)]
+        for kind, s, e in spans if own else []:
+            uses.append(((kind, x[s:e].lower() if kind == "email" else x[s:e] if kind == "ip" else re.sub("[^0-9]", "", x[s:e])), x, own))
+    out = set()
+    for entity in {u[0] for u in uses}:
+        mine = {u[1]: u[2] for u in uses if u[0] == entity}
+        context = {x: tuple(t for t, *_ in own) for x, own in mine.items()}
+        n_e, rare = len(mine), len(set(context.values())) < pii_disclosure.SUPPORT
+        for term in {t for c in context.values() for t in c}:
+            both = [c for c in context.values() if term in c]
+            given = (len(both) + n_e / n) / (n_t[term] + 1) if rare else len(both) / n_t[term]
+            information = math.log2(n / n_e)
+            if (rare or len(set(both)) >= pii_disclosure.SUPPORT) and information > 0 and math.log2(n * given / n_e) >= pii_disclosure.DISCLOSURE * information:
+                out |= {(x, s, e) for x, own in mine.items() for t, s, e in own if t == term}
+    return out
+
+
+def test_disclosure_anywhere(spark, monkeypatch):
+    # a word that reveals an address stands in its text more than eight words away, and twice
+    r = random.Random(21)
+    common = ["the", "and", "of", "write", "call", "mail", "Über", "naïve", "x"]
+    some = lambda n: [r.choice(common) for _ in range(n)]
+    rows = []
+    for k in range(1500):
+        w = some(r.randint(0, 40))
+        if k % 10 == 0:
+            who = r.randrange(12)
+            w = [f"Nick{chr(97 + who)}name", *some(r.randint(20, 60)), f"u{who}@example.com", "+1 202 555 0143" if k % 30 == 0 else "or", *w, *some(20), f"nick{chr(97 + who)}name", *["onlyhere"] * (k == 700)]
+        rows.append((k, " ".join(w)))
+    rows += [(2000 + k, rows[10 * k][1]) for k in range(30)] + [(3000, None), (3001, "u3@example.com 10.0.0.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = disclosed_anywhere([t or "" for _, t in rows])
+    texts = dict(rows)
+    assert len(want) >= 300 and any(x[s:e].startswith("N") for x, s, e in want) and any(x[s:e].startswith("n") for x, s, e in want)
+    for few, often in ((pii_disclosure.FEW, pii_disclosure.FREQUENT), (0, 2), (pii_disclosure.FEW, 2000)):
+        monkeypatch.setattr(pii_disclosure, "FEW", few)
+        monkeypatch.setattr(pii_disclosure, "FREQUENT", often)
+        got = pii_disclosure.personal_spans(df).collect()
+        assert len(got) == len(rows)
+        assert {(texts[x["doc_id"]], int(s), int(e)) for x in got for kind, s, e in (y.split(":") for y in x["spans"].split(",") if y) if kind == "term"} == want
+    clean = {x["doc_id"]: x["text"] for x in pii_disclosure.sanitise(df).collect()}
+    assert not any("nick" in t.lower() for t in clean.values())
+
+
 def measures(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
     lines = [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
