@@ -1,4 +1,5 @@
-"""Near-duplicates by their sets of word shingles: MinHash bands propose pairs, the sets themselves confirm them."""
+"""Near-duplicates by their sets of word shingles: SimHash fingerprints on the pigeonring propose pairs, MinHash bands those
+whose fingerprints lie further apart, and the sets themselves confirm them."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import connected_components, contract, partitions, small_batches, written
+from opalspan.llm.simhash import fingerprint_groups, majority
 
 SEED = 42
 #: Words of a shingle, and the least share of shingles (Jaccard) of a near-duplicate.
@@ -66,7 +68,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t) for t in b.column(1).to_pylist()]
         keys = pa.array([_bands(s).view("<i8") for s in sets], pa.list_(pa.int64()))
-        yield pa.record_batch([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), keys], names=["doc_id", "node", "keys"])
+        fps = np.array([majority(s) for s in sets], dtype="<u8").view("<i8")
+        yield pa.record_batch([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array(fps), keys], names=["doc_id", "node", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,37 +134,72 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(p), pa.array(q)], names=["src", "dst"])
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, fp, keys) of each row, written: the name of its set of shingles, the set's SimHash fingerprint, and
+    its band keys, none for an empty set."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(texts.mapInArrow(_marks, "doc_id long, node long, fp long, keys array<long>"), "bands")
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Different (node, fp) -> (key, node): nodes whose fingerprints links of at most 3 bits join have one key; a node
+    without others has none."""
+    fps = written(nodes.select("fp").distinct(), "fps")
+    keyed = nodes.join(fingerprint_groups(fps).withColumnRenamed("root", "key"), "fp").select("key", "node")
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+
+
+def open_keys(held: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, node) of the keys whose nodes the links (node, component) don't all join already."""
+    named = held.join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
+    left = named.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    return held.join(left, "key", "left_semi")
+
+
+def confirmed(held: DataFrame, sets: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(key, node) and (node, items) -> (src, dst): links that span the groups of each key, by the sets. A key with very
+    many sets, or very large ones, is dealt to pairs of blocks."""
+    sizes = sets.select("node", F.length("items").alias("bytes"))
+    crowded = held.join(sizes, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > hot) | (F.col("bytes") > hot_bytes))
+    crowded = crowded.select("key", F.ceil(F.greatest(F.col("n") * 2 / hot, F.col("bytes") * 2 / hot_bytes)).cast("int").alias("blocks"))
+    dealt = held.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)
+    dealt = dealt.withColumn("sub", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))))
+    rows = dealt.join(sets, "node").select("key", "sub", "node", "items").repartition(partitions(held.sparkSession), "key", "sub").sortWithinPartitions("key", "sub")
+    small_batches(held.sparkSession)
+    return written(rows.mapInArrow(_links, "src long, dst long"), "links")
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs; node names its set of shingles.
 
     Links: sets with Jaccard >= SIMILARITY. component_id is the smallest doc_id reachable. Texts without words are
-    equal; a null doc_id never names a component; repeated rows stay; an empty table gives no rows. Texts are read
-    twice: once for the bands, once for the sets of the nodes that share a band key. A key with very many sets, or
-    very large ones, is dealt to pairs of blocks. Keys with the same nodes count once.
+    equal; a null doc_id never names a component; repeated rows stay; an empty table gives no rows.
+
+    SimHash comes first: nodes whose fingerprints the pigeonring joins are compared by their sets. At this similarity
+    fingerprints may differ in more bits than a ring can find, so band keys propose what is left: those whose nodes are
+    not all joined by then. Keys with the same nodes count once. Texts are read twice: once for fingerprints and bands,
+    once for the sets of the nodes that are proposed.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = F.col("text").cast("string")
-    marks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_marks, "doc_id long, node long, keys array<long>"), "bands")
+    marks = marked(docs)
     nodes = marks.groupBy("node").agg(F.min("doc_id").alias("low"))
-    keyed = marks.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    different = marks.dropDuplicates(["node"])
+    near = written(by_fingerprint(different.where(F.size("keys") > 0).select("node", "fp")), "near")
+    keyed = different.select("node", F.explode("keys").alias("key"))
     # keys with the same nodes propose the same pairs: of those, one stays
     same = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
     shared = keyed.groupBy("key").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     held = written(keyed.join(shared, "key", "left_semi"), "proposed")
-    some = written(held.select("node").distinct(), "proposed_nodes")
+    some = written(held.select("node").union(near.select("node")).distinct(), "proposed_nodes")
     side = F.broadcast(some) if some.count() <= FEW else some
-    sets = docs.select(text.alias("text")).mapInArrow(_sets, "node long, items binary").join(side, "node", "left_semi")
+    small_batches(docs.sparkSession)
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "node long, items binary").join(side, "node", "left_semi")
     sets = written(sets.dropDuplicates(["node"]), "sets")
-    sizes = sets.select("node", F.length("items").alias("bytes"))
-    crowded = held.join(sizes, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > hot) | (F.col("bytes") > hot_bytes))
-    crowded = crowded.select("key", F.ceil(F.greatest(F.col("n") * 2 / hot, F.col("bytes") * 2 / hot_bytes)).cast("int").alias("blocks"))
-    dealt = held.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)
-    dealt = dealt.withColumn("sub", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))))
-    rows = dealt.join(sets, "node").select("key", "sub", "node", "items").repartition(partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
-    groups = connected_components(rows.mapInArrow(_links, "src long, dst long"))
+    first = confirmed(near, sets, hot, hot_bytes)
+    rest = written(open_keys(held, connected_components(first)), "open")
+    groups = connected_components(first.unionByName(confirmed(rest, sets, hot, hot_bytes)))
     named = nodes.join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("component", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     whole = named.select("node", "root").join(lowest, "root").select("node", "component_id")

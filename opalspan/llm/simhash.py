@@ -34,8 +34,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles' 64-bit hashes: a bit is set if it is set in over half of them; of none, 0."""
     ones = np.zeros(64, dtype=np.int64)
-    h = np.array(hashes, dtype="<u8")
+    h = h.astype("<u8", copy=False)
     for k in range(0, len(h), 65536):
         ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
@@ -186,6 +191,13 @@ def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(_links, "src long, dst long")
 
 
+def fingerprint_groups(fps: DataFrame) -> DataFrame:
+    """Distinct fp, with further columns -> the same with root: one fingerprint of all those that links of at most 3 bits
+    join, found by the ring."""
+    groups = connected_components(link_fingerprints(fps))
+    return fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
@@ -196,8 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marks = written(signatures(docs), "fingerprints")
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = connected_components(link_fingerprints(nodes))
-    named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    named = fingerprint_groups(nodes)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     whole = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marks.join(whole, "fp").select("doc_id", "fp", "component_id")

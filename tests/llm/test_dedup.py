@@ -94,6 +94,44 @@ def test_shingle_sets(spark, hot, hot_bytes):
     assert shingle_sets.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shingle_sets_by_fingerprint(spark):
+    """SimHash on the ring proposes first: its groups are those of fingerprints within 3 bits, and bands are left only
+    for what the sets have not confirmed by then."""
+    r = random.Random(31)
+    rows = []
+    for k in range(12):
+        w = [f"w{r.randrange(4000)}" for _ in range(400)]
+        for c in range(6):  # one to five words changed, at the end
+            rows.append((len(rows), " ".join(w[: 400 - c] + [f"v{r.randrange(9)}" for _ in range(c)]), "s", ""))
+    rows += [(100 + k, f"a b c d {'e' if k % 2 else 'f'}", "s", "") for k in range(4)] + [(200, None, "s", ""), (201, "", "s", "")]
+    df = spark.createDataFrame(rows, DOCS)
+    marks = shingle_sets.marked(df)
+    fp = {x["node"]: x["fp"] % 2**64 for x in marks.collect()}
+    of = {x["doc_id"]: x["node"] for x in marks.collect()}
+    ids = sorted(n for n in fp if n != of[200])
+    for d, t, *_ in rows:
+        h = [int(x) for x in shingle_sets.shingle_set(t)]
+        assert fp[of[d]] == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+    want = components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    near = shingle_sets.by_fingerprint(marks.where("size(keys) > 0").select("node", "fp").distinct())
+    got = {}
+    for x in near.collect():
+        got.setdefault(x["key"], set()).add(x["node"])
+    groups = {}
+    for n, low in want.items():
+        groups.setdefault(low, set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1) and len(got) >= 10
+    sets = spark.createDataFrame([(of[d], shingle_sets.shingle_set(t).tobytes()) for d, t, *_ in rows], "node long, items binary").dropDuplicates(["node"])
+    links = [tuple(x) for x in shingle_sets.confirmed(near, sets).collect()]
+    assert len(links) >= 40 and all(len(got_sets) == 1 for got_sets in [{k for k, g in got.items() if {a, b} <= g} for a, b in links])
+    held = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 7), (3, 8), (3, 9)], "key long, node long")
+    linked = spark.createDataFrame([(6, 5), (9, 5), (8, 5)], "node long, component long")
+    assert {tuple(x) for x in shingle_sets.open_keys(held, linked).collect()} == {(2, 5), (2, 7)}
+    sets = {d: set(shingle_sets.shingle_set(t).tolist()) for d, t, *_ in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert {x["doc_id"]: x["component_id"] for x in shingle_sets.near_duplicates(df).collect()} == components(list(sets), near)
+
+
 def brute_removal(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = {}
