@@ -7,9 +7,10 @@ import os
 from array import array
 from collections.abc import Callable
 
-#: Pieces and words that a worker remembers in each of its two generations, for a word-level and for a byte-level
-#: vocabulary, and the longest that it remembers.
-REMEMBERED, BYTE_REMEMBERED, LONGEST = 400_000, 120_000, 80
+#: Pieces and words that a worker remembers in each of its two generations for a word-level vocabulary, the same for a
+#: byte-level one, where as many pieces again are those met once, and the longest that it remembers.
+REMEMBERED, LONGEST = 400_000, 80
+BYTE_PIECES, BYTE_WORDS = 160_000, 40_000
 
 
 class Memo(dict):
@@ -34,6 +35,29 @@ class Memo(dict):
         self[key] = value
 
 
+class Proven(Memo):
+    """The same, but a key enters the generations when it is met again: the many keys met once, of which as many are
+    held apart, don't push out the others."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        super().__init__(make, limit)
+        self.once: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.once.pop(key, None)
+            if value is None:
+                value = self.make(key)
+                if len(key) <= LONGEST:
+                    if len(self.once) >= self.limit:
+                        self.once = {}
+                    self.once[key] = value
+                return value
+        self.keep(key, value)
+        return value
+
+
 def library(path: str):
     """The tokenizer of a file; the strings of its special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +75,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: A space in such a vocabulary.
+_SPACE = _byte_letters()[32]
 #: White space for one engine's \\s, not for the other's: a text with one of these is left to the library.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -135,8 +161,18 @@ class ByteEncoder:
     """For a byte-level tokenizer whose pattern lets a word take one space before it."""
 
     def __init__(self, path: str) -> None:
-        self.matches = Matches(library(path), BYTE_PATTERN, BYTE_REMEMBERED)
-        self.pieces = Memo(lambda k: self.matches.piece(" ", k), BYTE_REMEMBERED)
+        self.matches = Matches(library(path), BYTE_PATTERN, BYTE_WORDS)
+        self.pieces = Proven(self._piece, BYTE_PIECES)
+
+    def _piece(self, k: str) -> bytes:
+        """Ids of a piece with the space before it; a word of letters is remembered as a piece alone."""
+        if k.isalpha():
+            if k.isascii():
+                return array("I", [t.id for t in self.matches.tokenize(_SPACE + k)]).tobytes()
+            return self.matches._merge(" " + k)
+        if k[-1:] in _STOPS and k[:-1].isalpha():
+            return self.pieces[k[:-1]] + self.matches.words[k[-1]]
+        return self.matches.encode(" " + k)
 
     def encode(self, text: str) -> bytes:
         if odd(text):

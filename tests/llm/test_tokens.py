@@ -26,6 +26,24 @@ def test_encoders_equal_the_library():
         assert list(map(encode, xs)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
 
 
+def test_words_met_again_stay(monkeypatch):
+    """Many words met once don't push out those that come again, whatever the bounds ids equal the library's."""
+    made = []
+    memo = tokens.Proven(lambda k: made.append(k) or k.encode(), 20)
+    for k in range(20):
+        for key in [f"often{i}" for i in (*range(10), *range(10))] + [f"once{k}.{i}" for i in range(200)]:
+            assert memo[key] == key.encode()
+    assert sum(k.startswith("often") for k in made) == 10 and len(made) == 10 + 20 * 200
+    assert len(memo) + len(memo.old) + len(memo.once) <= 60
+    monkeypatch.setattr(tokens, "BYTE_PIECES", 30)
+    monkeypatch.setattr(tokens, "BYTE_WORDS", 5)
+    path, r = public.path("byte_bpe_50k.json"), random.Random(4)
+    t, encoder = tokens.library(path), tokens.ByteEncoder(path)
+    words = ["the", "The", "Über", "日本", "a1", "x.", "it's", "no,", ".", ",", "e\u0301", "...", "end.\nNext"] + [f"{'q' * (k % 7)}w{chr(97 + k % 26)}{'.' * (k % 2)}" for k in range(200)]
+    xs = [" ".join(r.choices(words, k=r.randint(0, 60))) for _ in range(200)]
+    assert list(map(encoder.encode, xs)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
+
+
 def test_wavelet_matrix():
     r = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (1000, 2), (5000, 49408)):
