@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import small_batches
-from opalspan.llm.tokens import LONGEST, Memo, cuts
+from opalspan.llm.tokens import BYTE_PATTERN, LONGEST, STOPS, Memo, cuts
 
 #: Bytes squared of one query's words: the states of a word's merges add up to about half its square.
 QUERY_STATES = 3_000_000
@@ -101,6 +101,7 @@ class Bpe:
         low = [(x, y) for x, y, r in pairs if r < max(x, y)]
         self._table("lower", pa.table({"a": pa.array([x for x, _ in low], pa.int32()), "b": pa.array([y for _, y in low], pa.int32())}))
         self.words, self.pieces = Memo(None, KEPT), Memo(None, KEPT)
+        self.plain = pattern == BYTE_PATTERN
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -108,9 +109,12 @@ class Bpe:
         self.db.unregister("given")
 
     def _query(self, sql: str, sequences: list[np.ndarray]) -> list:
-        sizes = [len(s) for s in sequences]
-        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        given = pa.table({"word": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": pos, "tok": np.concatenate(sequences).astype(np.int32)})
+        return self._ask(sql, np.concatenate(sequences).astype(np.int32), np.array([len(x) for x in sequences]))
+
+    def _ask(self, sql: str, flat: np.ndarray, sizes: np.ndarray) -> list:
+        """The query over sequences that stand end to end, each of its size."""
+        pos = np.arange(len(flat), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        given = pa.table({"word": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": pos, "tok": flat})
         self.db.register("tokens", given)
         out = self.db.execute(sql).fetchall()
         self.db.unregister("tokens")
@@ -140,7 +144,8 @@ class Bpe:
 
         def flush() -> None:
             if part:
-                for i, row in zip(part, self._query(sql, [self.byte[np.frombuffer(words[k], np.uint8)] for k in part])):
+                flat = self.byte[np.frombuffer(b"".join([words[k] for k in part]), np.uint8)]
+                for i, row in zip(part, self._ask(sql, flat, np.array([len(words[k]) for k in part]))):
                     out[i] = row
 
         for i in order:
@@ -173,14 +178,26 @@ class Bpe:
             out[i] = ",".join(map(str, ids)) + ",", decoded
         return out
 
+    def _cut(self, k: str) -> list[str]:
+        """Words of a piece with the space before it; with the usual pattern, letters, and letters with a stop after them,
+        are cut without it."""
+        if self.plain:
+            if k.isalpha():
+                return [" " + k]
+            if k[-1:] in STOPS and k[:-1].isalpha():
+                return [" " + k[:-1], k[-1]]
+        return self.pattern.findall(" " + k)
+
     def texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """The same for each text, cut by the pattern; every word that is not remembered is merged once, all of them
         together."""
         find, words, pieces = self.pattern.findall, self.words, self.pieces
         parts = [cuts(t) for t in texts]
         fresh = set().union(*[rest for _, rest in parts])
-        held = {k: v for k in fresh if (v := pieces.get(k) or pieces.old.get(k)) is not None}
-        found = {k: find(" " + k) for k in fresh if k not in held}
+        have = list(fresh.intersection(pieces))
+        held = dict(zip(have, map(pieces.__getitem__, have)))
+        held |= {k: v for k in fresh.difference(pieces) if (v := pieces.old.get(k)) is not None}
+        found = {k: self._cut(k) for k in fresh if k not in held}
         firsts = [find(first) for first, _ in parts]
         missing = list({w for x in (*found.values(), *firsts) for w in x if w not in words})
         known = {w: words.old[w] for w in missing if w in words.old}
@@ -188,7 +205,7 @@ class Bpe:
         for lo in range(0, len(ask), 50_000):
             known.update(zip(ask[lo : lo + 50_000], self._words(ask[lo : lo + 50_000])))
         look = lambda x: [known[w] if w in known else words[w] for w in x]
-        made = {k: joined(look(x)) for k, x in found.items()}
+        made = {k: known[x[0]] if len(x) == 1 and x[0] in known else joined(look(x)) for k, x in found.items()}
         held |= made
         out = [joined([*look(x), *map(held.__getitem__, rest)]) for x, (_, rest) in zip(firsts, parts)]
         for memo, new in ((words, known), (pieces, made)):
@@ -199,7 +216,10 @@ class Bpe:
 
 
 def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
-    return ("".join([p[0] for p in parts]), b"".join([p[1] for p in parts])) if len(parts) != 1 else parts[0]
+    if len(parts) == 1:
+        return parts[0]
+    ids, decoded = zip(*parts) if parts else ((), ())
+    return "".join(ids), b"".join(decoded)
 
 
 @functools.lru_cache(maxsize=1)

@@ -80,8 +80,8 @@ _SPACE = _byte_letters()[32]
 #: White space for one engine's \\s, not for the other's: a text with one of these is left to the library.
 _ODD = "\x1c\x1d\x1e\x1f"
 
-
-_STOPS = (".", ",")
+#: What ends a word of letters without the pattern.
+STOPS = (".", ",")
 
 
 def odd(text: str) -> bool:
@@ -110,7 +110,7 @@ class Matches:
         the pattern."""
         if k.isalpha():
             return self.words[before + k]
-        if k[-1:] in _STOPS and k[:-1].isalpha():
+        if k[-1:] in STOPS and k[:-1].isalpha():
             return self.words[before + k[:-1]] + self.words[k[-1]]
         return self.encode(before + k)
 
@@ -170,7 +170,7 @@ class ByteEncoder:
             if k.isascii():
                 return array("I", [t.id for t in self.matches.tokenize(_SPACE + k)]).tobytes()
             return self.matches._merge(" " + k)
-        if k[-1:] in _STOPS and k[:-1].isalpha():
+        if k[-1:] in STOPS and k[:-1].isalpha():
             return self.pieces[k[:-1]] + self.matches.words[k[-1]]
         return self.matches.encode(" " + k)
 

@@ -44,6 +44,16 @@ def test_words_met_again_stay(monkeypatch):
     assert list(map(encoder.encode, xs)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
 
 
+def test_pieces_cut_without_the_pattern():
+    """The usual pattern's words of a piece, whatever is in it; another pattern is always asked."""
+    ranks = bpe_duckdb.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    for pattern, plain in ((public.PATTERN, True), (r"\p{Lu}?\p{Ll}+|.", False)):
+        bpe = bpe_duckdb.Bpe(ranks, pattern)
+        assert bpe.plain == plain
+        for k in ["", "a", "aB", "aB,", "a.", ".", ",", "..", "a..", "Ü,", "日本.", "e\u0301", "e\u0301.", "1.", "it's", "a\nb", "\u0558."]:
+            assert bpe._cut(k) == bpe.pattern.findall(" " + k)
+
+
 def test_wavelet_matrix():
     r = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (1000, 2), (5000, 49408)):
