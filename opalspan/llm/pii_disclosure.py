@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import small_batches, written
@@ -128,7 +128,7 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(np.frombuffer(starts, np.int32)), pa.array(np.frombuffer(stops, np.int32))], ["term", "s", "e"])
             return pa.record_batch([*(pa.array(c, t) for c, t in zip(rows, types)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "tkey", "base", "entities", "context", "words"])
 
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for d, t, key in zip(*(b.column(i).to_pylist() for i in range(3))):
             text = t or ""
             found = base_spans(text)
             hashed = xxhash.xxh3_64()
@@ -139,7 +139,6 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashed.update(f"{term.lower()} ")
             some = len(terms) > ends[-1]
             ends.append(len(terms))
-            key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
             for c, x in zip(rows, (d, key, [{"kind": k, "s": s, "e": e} for k, s, e in found], _entities(text, found) if some else [], hashed.intdigest() - 2**63)):
                 c.append(x)
             if len(terms) > BATCH_WORDS:
@@ -193,11 +192,17 @@ def revealing_terms(found: DataFrame, texts: DataFrame, docs: DataFrame, support
     return pairs.select("tkey", "kind", "entity", "term").join(good, ["entity", "term"], "left_semi").groupBy("tkey", "term").agg(F.min("kind").alias("kind"))
 
 
+def _text_key() -> Column:
+    """The key of equal texts, null and empty ones alike. Spark computes it: a Python function for it beside another in
+    one stage takes two Python workers a task, and an executor keeps them all."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey")
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, base, entities, context, words) of each row, written: base spans and, where there are some, what
     they name and the words of the whole text."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key())
     return written(texts.mapInArrow(_detect, f"doc_id long, tkey long, base {_SPANS_SQL}, {_CONTEXT_SQL}"), "personal")
 
 
@@ -259,12 +264,6 @@ def sanitised(text: str, spans: list[tuple[str, int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) - 2**63 for t in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64())], names=["row", "text", "tkey"])
-
-
 def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = {k: i for i, k in enumerate((*KINDS, "term"))}
     for b in batches:
@@ -287,10 +286,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = detected(docs)
     terms = written(term_spans(found, docs), "terms")
     names = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"), _text_key())
     kind = rows.schema["row"].dataType.simpleString()
     side = F.broadcast(terms) if terms.count() <= FEW else terms
-    keyed = rows.mapInArrow(_with_key, f"row {kind}, text string, tkey long").join(side, "tkey", "left").select("row", "text", "terms")
+    keyed = rows.join(side, "tkey", "left").select("row", "text", "terms")
     return keyed.mapInArrow(_sanitise, f"row {kind}, text string").select("row.*", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

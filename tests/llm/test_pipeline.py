@@ -75,6 +75,15 @@ def test_stages(spark):
     assert {r["doc_id"] for r in rows} == set(before)
 
 
+def test_personal_data_workers(spark):
+    """One Python function in the stage that reads texts: a second one takes a second Python worker of each task, and an
+    executor keeps them all for the stages that follow."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = pii_disclosure.sanitise(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert plan.count("MapInArrow") == 1
+
+
 def test_planted_passages(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9)))
