@@ -7,6 +7,10 @@ import os
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces and words that a worker remembers in each of its two generations for a word-level vocabulary, the same for a
 #: byte-level one, where as many pieces again are those met once, and the longest that it remembers.
 REMEMBERED, LONGEST = 400_000, 80
@@ -128,20 +132,71 @@ def simple(piece: str) -> bool:
     return piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece
 
 
+#: The same for Arrow's functions: what a simple piece does not have, and matches of WORD_PATTERN that are not letters,
+#: white space of any engine's \\s left out.
+_NOT_SIMPLE = r"[^\x{00}-\x{12f}\x{131}-\x{24f}]"
+_NO_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\x{09}-\x{0d}\x{20}\x{85}\x{a0}\pL\pN]+)"
+
+
+def ragged(parts: list[bytes]) -> pa.ListArray:
+    """Ids of each part, little-endian unsigned 32-bit integers, as a list."""
+    ends = np.cumsum([0, *map(len, parts)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<u4")))
+
+
+def inner(lists: pa.ListArray, of: pa.ListArray) -> pa.ListArray:
+    """Lists of places in `of` -> lists of what stands there, end to end."""
+    got = of.take(lists.flatten())
+    return pa.ListArray.from_arrays(got.offsets.take(pc.subtract(lists.offsets, lists.offsets[0])), got.values)
+
+
 class WordEncoder:
-    """For a tokenizer that drops white space and never joins across it: pieces between spaces are independent. They
-    are normalised by the library; simple ones only need lower case."""
+    """For a tokenizer that drops white space and never joins across it: pieces between spaces are independent. Simple
+    ones only need lower case and the pattern; the others are encoded by the library, whose letters may be fewer than
+    another engine's."""
 
     def __init__(self, path: str) -> None:
-        t = library(path)
-        self.matches, self.normal = Matches(t, WORD_PATTERN, REMEMBERED), t.normalizer.normalize_str
-        self.pieces = Memo(lambda k: self.matches.piece("", k.lower() if simple(k) else self.normal(k)), REMEMBERED)
+        self.matches = Matches(library(path), WORD_PATTERN, REMEMBERED)
+        self.words = Memo(self._word, REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a match of the pattern, or of a piece that is not simple. ASCII letters stand for themselves in the
+        vocabulary."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.matches.tokenize(word)]).tobytes()
+        return self.matches._merge(word) if not word or simple(word) else self.matches.by_library(word)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if odd(text):
-            return self.matches.by_library(text)
-        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has. Different pieces are cut once, their different words
+        looked up once."""
+        left = pc.match_substring_regex(texts, f"[{_ODD}]")
+        pieces = pc.split_pattern(pc.if_else(left, "", texts), " ")
+        each = pieces.flatten().dictionary_encode()
+        ids = inner(pa.ListArray.from_arrays(pieces.offsets, each.indices), self._pieces(each.dictionary))
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(ends)
+        if left.true_count:
+            at = np.flatnonzero(left)
+            whole = [np.frombuffer(self.matches.by_library(t), "<u4") for t in texts.filter(left).to_pylist()]
+            more = list(map(len, whole))
+            flat = np.insert(flat, np.repeat(ends[at], more), np.concatenate(whole))
+            sizes[at] += more
+        return flat, sizes
+
+    def _pieces(self, pieces: pa.Array) -> pa.ListArray:
+        """Ids of each piece."""
+        hard = pc.match_substring_regex(pieces, _NOT_SIMPLE)
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pieces.filter(pc.invert(hard))), _NO_LETTERS, r" \1 "))
+        if hard.true_count:
+            # simple ones first, then the others whole; `place` leads back
+            place = np.argsort(np.argsort(hard, kind="stable"))
+            cut = pa.concat_arrays([cut, pa.ListArray.from_arrays(pa.array(np.arange(hard.true_count + 1), pa.int32()), pieces.filter(hard))]).take(pa.array(place))
+        words = cut.flatten().dictionary_encode()
+        return inner(pa.ListArray.from_arrays(cut.offsets, words.indices), ragged(list(map(self.words.__getitem__, words.dictionary.to_pylist()))))
 
 
 def cuts(text: str) -> tuple[str, list[str]]:

@@ -21,6 +21,8 @@ MAGIC = b"OPWM2\0\0\0"
 SHARD, END = 1 << 19, 1
 #: Places that a reader of all follows down the planes together, or an eighth of them if that is more.
 READ = 1 << 20
+#: Bytes of rows that are encoded together.
+BLOCK = 16 << 20
 #: Bits between two entries of a plane's rank directory, and bits of a plane that are compressed together.
 STRIDE, CHUNK = 512, 1 << 18
 _HEADER = struct.Struct("<8s4Q")
@@ -63,14 +65,19 @@ class WaveletMatrix:
         return bit, rank
 
     def _spread(self, k: int) -> np.ndarray:
-        """Of every place of plane k: twice the ones before it, and its bit. Counted on in each chunk from the
-        directory's entry."""
+        """Of every place of plane k: the place that its rank leads to in the next one, from the plane's zeros on if its
+        bit is one. Ranks are counted on in each chunk from the directory's entry."""
         kind = np.int32 if self.n < 1 << 30 else np.int64
         parts, ones = [], self._directory(k)
         for c in range(-(-self.n // CHUNK)):
-            bits = np.unpackbits(self._chunk(k, c).view(np.uint8), bitorder="little").astype(kind)
-            twice = np.cumsum(bits + bits, dtype=kind)
-            parts.append(twice - bits + kind(2 * int(ones[c * (CHUNK // STRIDE)])))
+            bits = np.unpackbits(self._chunk(k, c).view(np.uint8), bitorder="little")
+            upto = np.cumsum(bits, dtype=kind)
+            upto += kind(ones[c * (CHUNK // STRIDE)])
+            at = np.arange(c * CHUNK, c * CHUNK + len(bits), dtype=kind)
+            at -= upto
+            upto += kind(self.zeros[k] - 1)
+            np.copyto(at, upto, where=bits.view(bool))
+            parts.append(at)
         return np.concatenate(parts)
 
     def tokens(self, at: np.ndarray) -> np.ndarray:
@@ -85,14 +92,14 @@ class WaveletMatrix:
         at = at.astype(np.int32 if many and self.n < 1 << 30 else np.int64)
         out = np.zeros(len(at), dtype=np.uint32)
         for k in range(self.width):
+            out += out
             if many:
-                both = self._spread(k).take(at)
-                bit, rank = both & 1, both >> 1
+                at = self._spread(k).take(at)
+                out += at >= self.zeros[k]
             else:
                 bit, rank = self._look(k, at)
-            out += out
-            out += bit.astype(np.uint32)
-            at = np.where(bit, rank + at.dtype.type(self.zeros[k]), at - rank)
+                out += bit.astype(np.uint32)
+                at = np.where(bit, rank + at.dtype.type(self.zeros[k]), at - rank)
         return out
 
     def access(self, i: int) -> int:
@@ -197,26 +204,47 @@ def from_file(data: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
     return [None if x else d for x, d in zip(body[:docs], names)], lengths, WaveletMatrix(n, ones, ranks, chunk)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to BLOCK bytes; more only by a batch that is larger itself."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and size + b.nbytes > BLOCK:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if size:
+        yield pa.concat_batches(held)
+
+
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         lengths: list = []
-        parts: list[bytes] = []
-        end, size = np.array([END], "<u4").tobytes(), 0
+        parts: list[np.ndarray] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids)], pa.binary())], names=["part", "shard", "before", "n", "file"])
-
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = encoder.encode(t or "")
-                docs.append(d)
-                lengths.append(len(x) // 4 + 1)
-                parts += (x, end)
-                size += lengths[-1]
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([to_file(docs, lengths, np.concatenate(parts))], pa.binary())], names=["part", "shard", "before", "n", "file"])
+
+        for b in blocks(batches):
+            names = b.column(0).to_pylist()
+            ids, sizes = encoder.encode_all(b.column(1))
+            ids = np.insert(ids, np.cumsum(sizes), END)
+            sizes += 1
+            ends = np.cumsum(sizes)
+            lo = at = 0
+            while lo < len(names):
+                # up to the document that fills the shard
+                hi = min(len(names), int(np.searchsorted(ends, at + SHARD - size)) + 1)
+                to = int(ends[hi - 1])
+                docs += names[lo:hi]
+                lengths += sizes[lo:hi].tolist()
+                parts.append(ids[at:to])
+                size, lo, at = size + to - at, hi, to
                 if size >= SHARD:
                     yield out()
                     shard, before, size = shard + 1, before + size, 0

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import tiktoken
 
 from opalspan.llm import bm25_packing, bpe_duckdb, tokens, wavelet_output
@@ -44,6 +45,40 @@ def test_words_met_again_stay(monkeypatch):
     assert list(map(encoder.encode, xs)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)]
 
 
+def test_texts_encoded_together():
+    """Every Latin letter and control character, letters that the pattern's engine has and the library has not, and odd
+    texts, in one call; a different word is looked up once, in whatever pieces it stands."""
+    path = public.path("word_bpe_49k.json")
+    t, encoder = tokens.library(path), tokens.WordEncoder(path)
+    xs = [f.format(chr(c)) for c in (*range(1, 0x260), 0x558, 0x58B, 0x88F, 0x2C65, 0xA7CE) for f in ("{0}", "a{0}b {0}", "A{0}{0}B'S", "1{0}. {0},", "' {0}'ll{0}")]
+    xs += texts(8, 500) + ["", " ", "it'still 'VE"]
+    ids, sizes = encoder.encode_all(pa.array(xs))
+    want = [np.array(e.ids, "<u4") for e in t.encode_batch(xs, add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want)) and (ids == np.concatenate(want)).all()
+    asked, get = [], encoder.words.__missing__
+    encoder.words = type("Asked", (dict,), {"__missing__": lambda self, k: asked.append(k) or get(k)})()
+    encoder.encode_all(pa.array(["Word word, WORD.\nword%% word", "words word... \u65e5 \u65e5"] * 50))
+    assert sorted(x for x in asked if x) == sorted(["word", "words", ",", ".", "%%", "...", "\u65e5"])
+    assert encoder.encode_all(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_shards_of_any_blocks(spark, monkeypatch):
+    """Blocks of several batches, shards that end inside a block, and shards over several blocks hold the same rows."""
+    path = public.path("word_bpe_49k.json")
+    t, xs = tokens.library(path), texts(9, 90) + ["many words " * 300, None]
+    monkeypatch.setattr(wavelet_output, "TaskContext", type("One", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    batches = [pa.record_batch([pa.array(range(a, min(a + 7, len(xs))), pa.int64()), pa.array([x or "" for x in xs[a : a + 7]])], names=["doc_id", "text"]) for a in range(0, len(xs), 7)]
+    for block, shard in ((1, 1), (1, 200), (700, 50), (1 << 20, 50), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(wavelet_output, "BLOCK", block)
+        monkeypatch.setattr(wavelet_output, "SHARD", shard)
+        files = [b.to_pylist()[0] for b in wavelet_output._write(path)(iter(batches))]
+        assert [f["before"] for f in files] == np.cumsum([0] + [f["n"] for f in files]).tolist()[:-1]
+        got = [row for b in wavelet_output._read(pa.RecordBatch.from_pylist([{k: f[k] for k in ("part", "shard", "before", "file")}]) for f in files) for row in b.to_pylist()]
+        assert [r["doc_id"] for r in got] == list(range(len(xs)))
+        assert all(r["ids"] == np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r, x in zip(got, xs))
+        assert all(f["n"] >= shard for f in files[:-1])
+
+
 def test_pieces_cut_without_the_pattern():
     """The usual pattern's words of a piece, whatever is in it; another pattern is always asked."""
     ranks = bpe_duckdb.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
