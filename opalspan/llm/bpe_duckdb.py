@@ -8,19 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import small_batches
-from opalspan.llm.tokens import BYTE_PATTERN, LONGEST, STOPS, Memo, cuts
+from opalspan.llm.tokens import BYTE_PATTERN, LONGEST, STOPS, Memo
 
 #: Bytes squared of one query's words: the states of a word's merges add up to about half its square.
 QUERY_STATES = 3_000_000
 #: A word over this many bytes contracts every place of its least rank in one round; such words' queries stop after
 #: so many rounds that they hold LONG_STATES states, and go on from where they stopped.
 LONG_WORD, LONG_STATES = 64, 2_000_000
-#: Words, and pieces between spaces, that a worker remembers in each generation.
+#: Words that a worker remembers in each generation.
 KEPT = 250_000
+#: Latin letters for Arrow's functions.
+_LATIN = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 
 #: Rounds: neighbours that the merge table has, each word's pair of least rank, leftmost of equals, contracted. A word
 #: without a pair has no row in the next round, so its last round is its fixpoint.
@@ -100,7 +103,7 @@ class Bpe:
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "name": pa.array([str(r) for r in ranks.values()]), "hex": pa.array([b.hex() for b in ranks])}))
         low = [(x, y) for x, y, r in pairs if r < max(x, y)]
         self._table("lower", pa.table({"a": pa.array([x for x, _ in low], pa.int32()), "b": pa.array([y for _, y in low], pa.int32())}))
-        self.words, self.pieces = Memo(None, KEPT), Memo(None, KEPT)
+        self.words = Memo(None, KEPT)
         self.plain = pattern == BYTE_PATTERN
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -167,15 +170,29 @@ class Bpe:
         """Bytes of each non-empty sequence of ids, by one ordered aggregation."""
         return [bytes.fromhex(x[0]) for x in self._query(_DECODE, [np.array(s, dtype=np.int32) for s in sequences])] if sequences else []
 
-    def _words(self, words: list[str]) -> list[tuple[str, bytes]]:
+    def _words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each word its ids in decimal, each followed by a comma, and the bytes that they decode to."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         unhex = bytes.fromhex
-        out = [None if x is None else (x[0] + ",", unhex(x[2])) for x in self._in_queries(_BOTH, raw)]
+        out = [None if x is None else (x[0].encode() + b",", unhex(x[2])) for x in self._in_queries(_BOTH, raw)]
         long = [i for i, x in enumerate(out) if x is None]
         each = self._merge_long([raw[i] for i in long])
         for i, ids, decoded in zip(long, each, self.decode(each)):
-            out[i] = ",".join(map(str, ids)) + ",", decoded
+            out[i] = b"".join(b"%d," % x for x in ids), decoded
+        return out
+
+    def _look(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The same for different words; those that are not remembered are merged, all of them together."""
+        now, old = self.words, self.words.old
+        out = [now.get(w) or old.get(w) for w in words]
+        ask = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(ask), 50_000):
+            part = ask[lo : lo + 50_000]
+            for i, x in zip(part, self._words([words[i] for i in part])):
+                out[i] = x
+        for w, x in zip(words, out):
+            if len(w) <= LONGEST and w not in now:
+                now.keep(w, x)
         return out
 
     def _cut(self, k: str) -> list[str]:
@@ -188,38 +205,56 @@ class Bpe:
                 return [" " + k[:-1], k[-1]]
         return self.pattern.findall(" " + k)
 
+    def _cut_all(self, firsts: pa.Array, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Different words; their places there, piece by piece, and how many each piece has; and the place in that order
+        of each of the firsts and then of the pieces. With the usual pattern, pieces of Latin letters, and those with a
+        stop after them, stand behind the rest."""
+        alone, stopped = (pc.match_substring_regex(pieces, f"^[{_LATIN}]+{stop}$").to_numpy(zero_copy_only=False) & self.plain for stop in ("", f"[{''.join(STOPS)}]"))
+        kinds = [np.flatnonzero(x) for x in (~(alone | stopped), alone, stopped)]
+        rest, one, two = (pieces.take(pa.array(x)) for x in kinds)
+        found = [*map(self.pattern.findall, firsts.to_pylist()), *map(self._cut, rest.to_pylist())]
+        spaced = pc.binary_join_element_wise(" ", pa.concat_arrays([one, pc.utf8_slice_codeunits(two, 0, -1)]), "")
+        words = pa.concat_arrays([pa.array([w for x in found for w in x], pa.string()), spaced, pc.utf8_slice_codeunits(two, -1)]).dictionary_encode()
+        at, n = words.indices.to_numpy(), len(two)
+        at = np.concatenate([at[: len(at) - 2 * n], at[len(at) - 2 * n :].reshape(2, n).T.ravel()])
+        sizes = np.concatenate([list(map(len, found)), np.ones(len(one)), np.full(n, 2)]).astype(np.int64)
+        place = np.empty(len(sizes), np.int32)
+        place[np.concatenate([np.arange(len(firsts)), *(x + len(firsts) for x in kinds)])] = np.arange(len(sizes))
+        return words.dictionary, at, sizes, place
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Of each text the number of its ids, the ids in decimal, each followed by a comma, and the bytes that they
+        decode to. Texts are cut by the pattern; a different piece between spaces is cut once, with the space before it.
+
+        Single spaces end no run of white space early, so each piece, with its space, is cut by the pattern as in the
+        whole text. A text with two spaces in a row, or one at its end, is one piece; a first one has no space.
+        """
+        whole = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        flat, ends = split.flatten(), split.offsets.to_numpy()
+        first = np.zeros(len(flat), bool)
+        first[ends[:-1]] = True
+        each = flat.filter(pa.array(~first)).dictionary_encode()
+        words, at, sizes, place = self._cut_all(pc.if_else(whole, texts, flat.filter(pa.array(first))), each.dictionary)
+        order = np.empty(len(flat), np.int32)
+        order[first] = place[: len(texts)]
+        order[~first] = place[len(texts) :][each.indices.to_numpy()]
+        known = self._look(words.to_pylist())
+        ids, decoded = (joined(joined(pa.array([x[i] for x in known], pa.binary()), at, np.cumsum([0, *sizes])), order, ends) for i in (0, 1))
+        return pc.count_substring(ids.cast(pa.string()), ","), ids, decoded
+
     def texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """The same for each text, cut by the pattern; every word that is not remembered is merged once, all of them
-        together."""
-        find, words, pieces = self.pattern.findall, self.words, self.pieces
-        parts = [cuts(t) for t in texts]
-        fresh = set().union(*[rest for _, rest in parts])
-        have = list(fresh.intersection(pieces))
-        held = dict(zip(have, map(pieces.__getitem__, have)))
-        held |= {k: v for k in fresh.difference(pieces) if (v := pieces.old.get(k)) is not None}
-        found = {k: self._cut(k) for k in fresh if k not in held}
-        firsts = [find(first) for first, _ in parts]
-        missing = list({w for x in (*found.values(), *firsts) for w in x if w not in words})
-        known = {w: words.old[w] for w in missing if w in words.old}
-        ask = [w for w in missing if w not in known]
-        for lo in range(0, len(ask), 50_000):
-            known.update(zip(ask[lo : lo + 50_000], self._words(ask[lo : lo + 50_000])))
-        look = lambda x: [known[w] if w in known else words[w] for w in x]
-        made = {k: known[x[0]] if len(x) == 1 and x[0] in known else joined(look(x)) for k, x in found.items()}
-        held |= made
-        out = [joined([*look(x), *map(held.__getitem__, rest)]) for x, (_, rest) in zip(firsts, parts)]
-        for memo, new in ((words, known), (pieces, made)):
-            for k, v in new.items():
-                if len(k) <= LONGEST:
-                    memo.keep(k, v)
-        return out
+        """Of each text its ids in decimal, each followed by a comma, and the bytes that they decode to."""
+        _, ids, decoded = self.encode_all(pa.array(texts, pa.string()))
+        return list(zip(ids.cast(pa.string()).to_pylist(), decoded.to_pylist()))
 
 
-def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
-    if len(parts) == 1:
-        return parts[0]
-    ids, decoded = zip(*parts) if parts else ((), ())
-    return "".join(ids), b"".join(decoded)
+def joined(parts: pa.Array, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """What stands at the given places, put together from each end to the next one."""
+    got = parts.take(pa.array(at))
+    _, offsets, data = got.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(at) + 1) if len(at) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets[ends]), data or pa.py_buffer(b"")])
 
 
 @functools.lru_cache(maxsize=1)
@@ -231,8 +266,8 @@ def coder(path: str, pattern: str) -> Bpe:
 def _run(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = coder(path, pattern).texts([t or "" for t in b.column(1).to_pylist()]) if b.num_rows else []
-            yield pa.record_batch([b.column(0), pa.array([r[0].count(",") for r in rows], pa.int64()), pa.array([r[0][:-1] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            n, ids, decoded = coder(path, pattern).encode_all(pc.fill_null(b.column(1), ""))
+            yield pa.record_batch([b.column(0), n.cast(pa.int64()), pc.binary_slice(ids, 0, -1).cast(pa.string()), decoded], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 

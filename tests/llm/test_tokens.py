@@ -157,6 +157,30 @@ def test_bpe(spark):
     assert zlib.crc32(b"") == 0
 
 
+def test_bpe_of_many_texts_together(monkeypatch):
+    """Ids and bytes of texts in one call, as the library's; a different piece is cut once, a different word asked once,
+    while words are forgotten and met again."""
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe_duckdb.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    xs = [f.format(chr(c)) for c in (*range(1, 0x250), 0x3A3, 0x301, 0x65E5) for f in ("{0}", "a a{0}b {0}, {0}", " A{0}{0}. B'S {0}a.", "x  {0}", "x {0} ")]
+    xs += texts(10, 300) + ["", " ", "  ", "Über, über. x", "the" * 400 + " the"]
+    monkeypatch.setattr(bpe_duckdb, "KEPT", 200)
+    bpe = bpe_duckdb.Bpe(ranks, public.PATTERN)
+    for lo in range(0, len(xs), 900):
+        n, ids, decoded = bpe.encode_all(pa.array(xs[lo : lo + 900]))
+        want = [library.encode_ordinary(x) for x in xs[lo : lo + 900]]
+        assert n.to_pylist() == list(map(len, want)) and decoded.to_pylist() == [x.encode() for x in xs[lo : lo + 900]]
+        assert ids.to_pylist() == ["".join(f"{i}," for i in w).encode() for w in want]
+    assert [len(x) for x in bpe.encode_all(pa.array([], pa.string()))] == [0, 0, 0]
+    cut, asked, find, ask = [], [], bpe._cut, bpe._words
+    bpe._cut, bpe._words = lambda k: cut.append(k) or find(k), lambda ws: asked.extend(ws) or ask(ws)
+    bpe.encode_all(pa.array(["one zwei, zwei. 3rd% 3rd%", "zwei zwei, 3rd% zwei."] * 50 + ["tail  3rd%"]))
+    assert cut == ["3rd%"] and len(asked) == len(set(asked))
+    other = bpe_duckdb.Bpe(ranks, r"\p{Lu}?\p{Ll}+|.")
+    assert other.texts(["aB cd. x", ""])[0] == ("".join(f"{i}," for w in ["a", "B", " ", "cd", ".", " ", "x"] for i in library.encode_ordinary(w)), b"aB cd. x")
+
+
 def test_long_words_by_rounds():
     """Words far over LONG_WORD, runs of one letter, and pairs whose contraction makes a pair of lower rank."""
     path = public.path("byte_bpe_multi_50k.tiktoken")
