@@ -75,8 +75,11 @@ class WaveletMatrix:
             upto += kind(ones[c * (CHUNK // STRIDE)])
             at = np.arange(c * CHUNK, c * CHUNK + len(bits), dtype=kind)
             at -= upto
+            # products, as a choice by booleans is slow where they are mixed
             upto += kind(self.zeros[k] - 1)
-            np.copyto(at, upto, where=bits.view(bool))
+            upto -= at
+            upto *= bits
+            at += upto
             parts.append(at)
         return np.concatenate(parts)
 
@@ -146,10 +149,11 @@ def split(ids: np.ndarray) -> list[np.ndarray]:
     width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     now, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), []
     for k in range(width - 1, -1, -1):
-        mask = ((now >> k) & 1).astype(bool)
+        mask = now & now.dtype.type(1 << k) != 0
         packed = np.packbits(mask, bitorder="little")
         planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8"))
-        now = np.concatenate([now[~mask], now[mask]])
+        # np.compress, as an index of booleans takes over three times as long
+        now = np.concatenate([np.compress(~mask, now), np.compress(mask, now)])
     return planes
 
 
