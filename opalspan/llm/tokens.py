@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces and words that a worker remembers in each of its two generations for a word-level vocabulary, the same for a
+#: Words that a worker remembers in each of its two generations for a word-level vocabulary, pieces and words for a
 #: byte-level one, where as many pieces again are those met once, and the longest that it remembers.
 REMEMBERED, LONGEST = 400_000, 80
 BYTE_PIECES, BYTE_WORDS = 160_000, 40_000
@@ -109,15 +109,6 @@ class Matches:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(text)))
 
-    def piece(self, before: str, k: str) -> bytes:
-        """The same for `before` and a piece between spaces; letters, and letters with a stop after them, are cut without
-        the pattern."""
-        if k.isalpha():
-            return self.words[before + k]
-        if k[-1:] in STOPS and k[:-1].isalpha():
-            return self.words[before + k[:-1]] + self.words[k[-1]]
-        return self.encode(before + k)
-
     def by_library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
