@@ -16,6 +16,7 @@ _NAMES = {
     "op8_html_tag_paths": "html_paths",
     "op9_recursive_bpe": "bpe_duckdb",
     "op10_attention_quality": "mil_quality",
+    "op13_suffix_sigma": "suffix_sigma",
 }
 
 
@@ -40,7 +41,23 @@ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select *, not base_failed and not (n_common_words > 0.8 * n_words or n_common_words > 0 and n_words - n_common_words < 20) as kept from f
 """
 
+_COLLOCATIONS = r"""
+with d as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from d, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as u(piece)),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from p, range(1, 4) as s(k), unnest(range(1, len(w) - k + 2)) as u(i) where len(w) >= k),
+f as (select lang, cast(k as int) as k, phrase, count(*) as n from g group by all),
+sizes as (select lang, cast(sum(n) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 10),
+cuts as (select lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:], ' ') as rest from c, unnest(range(1, k)) as u(cut)),
+scored as (select cuts.*, x.n as l, y.n as r, (1000000::hugeint * a * a) // (x.n::hugeint * y.n) as score
+  from cuts join f as x on x.lang = cuts.lang and x.phrase = cuts.head join f as y on y.lang = cuts.lang and y.phrase = cuts.rest),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+around as (select lang, phrase, max(a) as around from (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a from c where k = 3) group by all),
+kept as (select lowest.* from lowest left join around using (lang, phrase) where around is null or 100 * around < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, sizes.n as n, cast(score as bigint) as score from kept join sizes using (lang) qualify rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators have no SQL: trees, buckets, files, tokenisers and models are tested against brute force."""
-    return {"op7_line_frequency": _LINE_FREQUENCY}
+    return {"op7_line_frequency": _LINE_FREQUENCY, "op13_suffix_sigma": _COLLOCATIONS}
