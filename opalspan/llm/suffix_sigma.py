@@ -19,7 +19,7 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A candidate goes where a longer one around it has this percentage of its occurrences.
 COVERED = 50
 #: Bytes of text that are counted before their suffixes are sent; words that are numbered at once.
-BATCH_BYTES, BATCH_WORDS = 16 << 20, 1 << 20
+BATCH_BYTES, BATCH_WORDS = 8 << 20, 1 << 20
 #: Different suffixes of a group of first words up to which one task counts the group; a larger one is split.
 HOT = 1 << 20
 #: Rows of a language are ranked in so many parts before their best are ranked together.
@@ -46,9 +46,9 @@ def words_of(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
     first[1:] &= ~inside[:-1]
     first[begins] = inside[begins]
     starts = np.flatnonzero(first)
-    before = np.cumsum(inside)
+    before = np.cumsum(inside, dtype=np.int32)
     size = np.diff(np.append(before[starts] - 1, before[-1:])) if len(starts) else starts
-    piece = np.cumsum(kind == 2)[starts] + np.searchsorted(begins, starts, "right")
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + np.searchsorted(begins, starts, "right")
     offsets = np.concatenate([[0], np.cumsum(size)])
     data = pa.py_buffer(np.ascontiguousarray(raw[inside]))
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), data]), piece
@@ -82,12 +82,13 @@ def _blob(words: list[bytes], columns: list[np.ndarray], counts: np.ndarray) ->
     return zstandard.ZstdCompressor(level=1).compress(head + text + b"".join(c.astype("<u4").tobytes() for c in columns) + counts.astype("<i8").tobytes())
 
 
-def _read(blob: bytes, width: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def _read(blob: bytes, width: int) -> tuple[bytes, list[np.ndarray], np.ndarray]:
+    """The words, joined by spaces, the columns and the counts."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     size, n = np.frombuffer(raw, "<i8", 2)
     at = 16 + int(size)
     columns = [np.frombuffer(raw, "<u4", n, at + 4 * n * k) for k in range(width)]
-    return raw[16:at].split(b" "), columns, np.frombuffer(raw, "<i8", n, at + 4 * n * width)
+    return raw[16:at], columns, np.frombuffer(raw, "<i8", n, at + 4 * n * width)
 
 
 def _dealt(words: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -154,7 +155,8 @@ def _split(width: int):
             for lang, bucket, parts, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
                 rows = [(0, 0, blob)]
                 if parts > 1:
-                    words, columns, counts = _read(blob, width)
+                    text, columns, counts = _read(blob, width)
+                    words = text.split(b" ")
                     mark = np.fromiter(map(zlib.crc32, [b"", *words]), np.int64, len(words) + 1)
                     where = np.zeros(len(counts), np.int64)
                     for c in columns[1:]:
@@ -200,20 +202,20 @@ def prefixes(columns: list[np.ndarray], counts: np.ndarray, least: list[int]) ->
 def _counted(blobs: list[bytes], width: int, least: list[int]) -> tuple[int, list[tuple[int, str, int]]]:
     """All occurrences of the group's first words, and (k, phrase, n) of its prefixes."""
     parts = [_read(b, width) for b in blobs]
-    flat = pa.array([w for words, _, _ in parts for w in words], pa.binary()).dictionary_encode()
+    lists = pc.split_pattern(pa.array([text for text, _, _ in parts], pa.binary()).cast(pa.string()), " ")
+    flat, ends = lists.values.dictionary_encode(), lists.offsets.to_numpy()
     order = pc.array_sort_indices(flat.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     ranks = rank[flat.indices.to_numpy()]
-    names, at, columns = flat.dictionary.take(pa.array(order)).to_pylist(), 0, [[] for _ in range(width)]
-    for words, cols, _ in parts:
-        local = np.append(0, ranks[at : at + len(words)])
-        at += len(words)
+    names, columns = flat.dictionary.take(pa.array(order)).to_pylist(), [[] for _ in range(width)]
+    for i, j, (_, cols, _) in zip(ends[:-1].tolist(), ends[1:].tolist(), parts):
+        local = np.append(0, ranks[i:j])
         for out, c in zip(columns, cols):
             out.append(local[c])
     whole, counts = _summed([np.concatenate(c) for c in columns], np.concatenate([c for *_, c in parts]), len(names) + 1)
     whole, counts = [c[::-1] for c in whole], counts[::-1]
-    found = [(k, b" ".join(names[whole[j][row] - 1] for j in range(k)).decode("utf-8", "replace"), n) for row, k, n in prefixes(whole, counts, least)]
+    found = [(k, " ".join(names[whole[j][row] - 1] for j in range(k)), n) for row, k, n in prefixes(whole, counts, least)]
     return int(counts.sum()), found
 
 
@@ -255,13 +257,15 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     n = partitions(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sent = written(rows.mapInArrow(_send(max(32, 2 * n), max_words), "lang string, bucket long, rows long, blob binary"), "suffixes")
-    large = sent.groupBy("lang", "bucket").agg(F.ceil(F.sum("rows") / F.lit(hot)).alias("parts")).where("parts > 1")
+    # written, so that its size is known: while it is small, the blobs are not shuffled to it
+    large = written(sent.groupBy("lang", "bucket").agg(F.ceil(F.sum("rows") / F.lit(hot)).alias("parts")).where("parts > 1"), "large")
     keyed = sent.join(large, ["lang", "bucket"], "left").select("lang", "bucket", F.coalesce("parts", F.lit(1)).cast("long").alias("parts"), "blob")
     dealt = keyed.mapInArrow(_split(max_words), "lang string, bucket long, part long, parts long, blob binary")
     keys = ["lang", "bucket", "part"]
     counted = dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_count(max_words, least), "lang string, k int, phrase string, n long")
     out = written(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
     discard(sent)
+    discard(large)
     return out
 
 
