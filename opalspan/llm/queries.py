@@ -16,6 +16,8 @@ _NAMES = {
     "op8_html_tag_paths": "html_paths",
     "op9_recursive_bpe": "bpe_duckdb",
     "op10_attention_quality": "mil_quality",
+    "op11_byte_gru": "byte_gru",
+    "op12_id_stripes": "id_stripes",
     "op13_suffix_sigma": "suffix_sigma",
 }
 
