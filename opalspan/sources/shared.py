@@ -45,3 +45,11 @@ def get(spark: SparkSession, path: str) -> bytes:
         return bytes(stream.readAllBytes())
     finally:
         stream.close()
+
+
+def kept(df, name: str):
+    """df written to the shared folder and read back: lineage ends there, and every reader sees the same rows."""
+    path = scratch(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
