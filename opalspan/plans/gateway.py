@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalspan.functions import phones
 from opalspan.functions import spans as sp
 from opalspan.functions.policy import policy
 from opalspan.operators import limiter
-from opalspan.plans.oracle import _TURN_WORDS
-from opalspan.plans.queries import KEY, table
+from opalspan.plans.oracle import _DIGITS, _TURN_WORDS, _hits
+from opalspan.plans.queries import KEY, documents, table
 from opalspan.sources.shared import scratch
 
 
@@ -73,9 +74,62 @@ select cast(conv_id as varchar), 2 * turn + 1, 'restore', coalesce(max(value) fi
 from (select life.conv_id, life.turn, k.value, k.n from life left join known k on k.conv_id = life.conv_id and k.born = life.born and k.since <= life.turn) group by all
 """
 
+def q_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in documents, and in a sentence for each customer: of eight ways to write one, whole or wrong by the key."""
+    k = F.col("c_custkey")
+    part = lambda by, low, n: (F.lit(low) + (k * by) % n).cast("string")
+    line = F.lpad(part(37, 0, 10_000), 4, "0")
+    ways = [
+        F.concat(F.lit("+1 "), part(7, 200, 800), F.lit(" "), part(11, 100, 900), F.lit(" "), line),
+        F.concat(F.lit("("), part(13, 200, 800), F.lit(") "), part(3, 200, 800), F.lit("-"), line),
+        F.concat(F.lit("0"), part(17, 10, 90), F.lit(" "), part(5, 1000, 9000), F.lit(" "), line),
+        F.concat(F.lit("+44 "), part(19, 1000, 9000), F.lit(" "), part(5, 100_000, 900_000)),
+        F.concat(part(23, 10_000, 90_000), F.lit(" "), part(29, 10_000, 90_000)),
+        F.concat(F.lit("+91-"), part(31, 10_000, 90_000), F.lit("-"), part(41, 10_000, 90_000)),
+        F.concat(F.lit("00"), part(43, 10, 90), F.lit(" "), part(47, 100_000, 900_000), F.lit(" "), part(53, 10, 990)),
+        F.concat(F.lit("011 "), part(59, 10, 90), F.lit(" "), part(61, 1000, 9000), F.lit(" "), part(67, 1000, 9000)),
+    ]
+    said = F.concat(F.lit("Call "), F.element_at(F.array(*ways), (k % len(ways) + 1).cast("int")), F.lit(" please"))
+    rows = documents(spark, sf_dir).select("doc_id", "text").unionByName(table(spark, sf_dir, "customer").select((-1 - k).alias("doc_id"), said.alias("text")))
+    found = rows.select("doc_id", F.explode(phones.phones_by_plan(F.col("text"))).alias("s")).withColumn("r", phones.read(F.col("s.text")))
+    return found.select("doc_id", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), F.col("s.text").alias("value"), "r.number", "r.region", "r.kind")
+
+
+def _part(by: int, low: int, n: int) -> str:
+    return f"cast({low} + (c_custkey * {by}) % {n} as varchar)"
+
+
+_LINE = f"lpad({_part(37, 0, 10_000)}, 4, '0')"
+_WAYS = [
+    f"'+1 ' || {_part(7, 200, 800)} || ' ' || {_part(11, 100, 900)} || ' ' || {_LINE}",
+    f"'(' || {_part(13, 200, 800)} || ') ' || {_part(3, 200, 800)} || '-' || {_LINE}",
+    f"'0' || {_part(17, 10, 90)} || ' ' || {_part(5, 1000, 9000)} || ' ' || {_LINE}",
+    f"'+44 ' || {_part(19, 1000, 9000)} || ' ' || {_part(5, 100_000, 900_000)}",
+    f"{_part(23, 10_000, 90_000)} || ' ' || {_part(29, 10_000, 90_000)}",
+    f"'+91-' || {_part(31, 10_000, 90_000)} || '-' || {_part(41, 10_000, 90_000)}",
+    f"'00' || {_part(43, 10, 90)} || ' ' || {_part(47, 100_000, 900_000)} || ' ' || {_part(53, 10, 990)}",
+    f"'011 ' || {_part(59, 10, 90)} || ' ' || {_part(61, 1000, 9000)} || ' ' || {_part(67, 1000, 9000)}",
+]
+_READINGS = ", ".join(x for code, before, must, abroad in phones.REGIONS.values() for x in (f"case when starts_with(d, '{abroad}') then d[{len(abroad) + 1}:] end", f"case when starts_with(d, '{before}') then '{code}' || d[{len(before) + 1}:] end", *([] if must else [f"'{code}' || d"])))
+#: The longest prefix by a join.
+_PHONES = rf"""
+with docs as (select doc_id, coalesce(text, '') as text from documents union all select -1 - c_custkey, 'Call ' || case c_custkey % {len(_WAYS)} {' '.join(f'when {i} then {w}' for i, w in enumerate(_WAYS))} end || ' please' from customer),
+hits as ({_hits('TELEPHONENUM')}),
+c as (select doc_id, cast(start_at as bigint) as start_at, cast(start_at + len(value) as bigint) as end_at, value, {_DIGITS} as d from hits
+  where not regexp_matches(case when start_at = 0 then '' else substr(text, cast(start_at as bigint), 1) end, '[\pL\pN_.+]') and not regexp_matches(substr(text, cast(start_at + len(value) + 1 as bigint), 1), '[\pL\pN_-]')),
+tried as (select *, case when value[1] = '+' then [d] else list_filter([{_READINGS}], lambda x: x is not null) end as numbers from c),
+each as (select doc_id, start_at, end_at, value, numbers[i] as number, i from tried, unnest(range(1, len(numbers) + 1)) as u(i)),
+plan(prefix, low, high, kind, region) as (values {', '.join(map(repr, phones.plan()))}),
+longest as (select * from each join plan on starts_with(number, prefix) qualify row_number() over (partition by doc_id, start_at, i order by len(prefix) desc) = 1),
+sized as (select *, len(number) - case when number[1:3] in ({', '.join(repr(c) for c in phones.ABROAD if len(c) == 3)}) then 3 when number[1:2] in ('44', '91', {', '.join(repr(c) for c in phones.ABROAD if len(c) == 2)}) then 2 else 1 end as n from longest),
+good as (select * from sized where len(number) > len(prefix) and n between low and high and (number[1] <> '1' or regexp_matches(number[5:7], '^[2-9][0-9]{{2}}$') and number[6:7] <> '11'))
+select doc_id, start_at, end_at, value, number, region, kind from good qualify row_number() over (partition by doc_id, start_at order by i) = 1
+"""
+
 #: Name -> (query, its SQL or None).
 GATEWAY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "limiter_admitted": (q_admitted("event_type", 3600, 2, 150), sql_admitted("event_type", 3600, 2, 150)),
     "limiter_admitted_users": (q_admitted("user_id", 60, 10, 300), sql_admitted("user_id", 60, 10, 300)),
     "vault_stream": (q_vault_stream, _VAULT_STREAM),
+    "phones_by_plan": (q_phones, _PHONES),
 }
