@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opalspan.functions import phones
 from opalspan.functions import spans as sp
 from opalspan.functions.policy import policy
-from opalspan.operators import limiter
+from opalspan.operators import limiter, values
 from opalspan.plans.oracle import _DIGITS, _TURN_WORDS, _hits
 from opalspan.plans.queries import KEY, documents, table
 from opalspan.sources.shared import scratch
@@ -126,10 +126,29 @@ good as (select * from sized where len(number) > len(prefix) and n between low a
 select doc_id, start_at, end_at, value, number, region, kind from good qualify row_number() over (partition by doc_id, start_at order by i) = 1
 """
 
+_PHRASE = r"^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"
+
+
+def q_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of parts, and the first three words of benchmark items, found in documents."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("value")).agg(F.min("p_partkey").alias("value_id"))
+    items = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", _PHRASE, 0).alias("value"), (-1 - F.col("item_id")).alias("value_id"))
+    return values.found_values(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", names.unionByName(items)).select("doc_id", "value_id", F.col("start").cast("long").alias("start_at"))
+
+
+_VALUES = rf"""
+with v as (select lower(value) as value, value_id from (select p_name as value, min(p_partkey) as value_id from part group by p_name union all select regexp_extract(text, '{_PHRASE}'), -1 - item_id from benchmark) where value <> ''),
+d as (select doc_id, lower(coalesce(text, '')) as text from documents),
+h as (select doc_id, value_id, value, text, string_split(text, value) as a from d join v on contains(text, value)),
+p as (select doc_id, value_id, value, text, cast(list_sum(list_transform(a[1:i], lambda x: len(x))) + (i - 1) * len(value) as bigint) as start_at from h, unnest(range(1, len(a))) as u(i))
+select doc_id, value_id, start_at from p where not (start_at > 0 and regexp_matches(text[start_at], '[\pL\pN_]')) and not regexp_matches(text[start_at + len(value) + 1], '[\pL\pN_]')
+"""
+
 #: Name -> (query, its SQL or None).
 GATEWAY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "limiter_admitted": (q_admitted("event_type", 3600, 2, 150), sql_admitted("event_type", 3600, 2, 150)),
     "limiter_admitted_users": (q_admitted("user_id", 60, 10, 300), sql_admitted("user_id", 60, 10, 300)),
     "vault_stream": (q_vault_stream, _VAULT_STREAM),
     "phones_by_plan": (q_phones, _PHONES),
+    "values_in_documents": (q_values, _VALUES),
 }

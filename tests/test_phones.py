@@ -85,7 +85,7 @@ def test_against_a_walk(spark):
     rows = [(r.choice(starts) + "".join(r.choices("0123456789", k=r.randint(0, 13))),) for _ in range(3000)] + [("",)]
     got = spark.createDataFrame(rows, "n string").select("n", phones.known(F.col("n")).alias("k")).collect()
     assert {x["n"]: x["k"] and tuple(x["k"]) for x in got} == {n: walked(n) for (n,) in rows}
-    assert sum(walked(n) is not None for (n,) in rows) > 300
+    assert sum(walked(n) is not None for (n,) in rows) > 150
 
 
 def test_prefixes_are_single():
