@@ -24,23 +24,26 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return kept(dealt.withColumn(PART, F.spark_partition_id()), "ranged")
 
 
-def before(df: DataFrame, by: list[str], order: list[str], value: Column | None = None, name: str = "before") -> DataFrame:
-    """df with the sum of `value` (1 a row) over the earlier rows of each group `by`, in a total order.
+def before(df: DataFrame, by: list[str], order: list[str], value: Column | None = None, name: str = "before", how: str = "sum") -> DataFrame:
+    """df with the sum of `value` (1 a row) over the earlier rows of each group `by`, in a total order, or, as how = "max",
+    their greatest value, null for the first.
 
-    A range's own sums are made in a task a range and group; the sums of whole ranges, one row for each group in each
-    range, are run over per group, and added.
+    A range's own rows are taken together in a task a range and group; what whole ranges give, one row for each group in
+    each range, is run over per group, and joined.
     """
+    fold = {"sum": F.sum, "max": F.max}[how]
     value = F.lit(1) if value is None else value
     rows = ranged(df.withColumn("_value", value.cast("long")), *by, *order)
     own = Window.partitionBy(*by, PART)
-    total = rows.groupBy(*by, PART).agg(F.sum("_value").alias("_sum"))
+    total = rows.groupBy(*by, PART).agg(fold("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offset = total.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(PART).alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    offset = total.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(PART).alias("_of"), fold("_sum").over(earlier).alias("_offset"))
     same = F.col(PART) == F.col("_of")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    inside = F.coalesce(F.sum("_value").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.withColumn("_inside", inside).join(offset, same).withColumn(name, F.col("_inside") + F.col("_offset"))
+    inside = fold("_value").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    both = F.coalesce("_inside", F.lit(0)) + F.coalesce("_offset", F.lit(0)) if how == "sum" else F.greatest("_inside", "_offset")
+    out = rows.withColumn("_inside", inside).join(offset, same).withColumn(name, both)
     return out.drop("_value", "_inside", "_of", "_offset", PART, *[f"_by{i}" for i in range(len(by))])
 
 

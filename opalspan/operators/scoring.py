@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,6 +172,36 @@ def bootstrap(counts: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     return both.select("set", F.explode(rows).alias("m")).select("set", "m.*")
 
 
+#: Of 65,536 equally likely numbers, how many give at most 0, 1, 2, ... draws of a document in a replicate: a Poisson
+#: variable of mean 1.
+DRAWS = tuple(round(65536 * sum(1 / math.factorial(i) for i in range(k + 1)) / math.e) for k in range(8))
+
+
+def poisson_draws(doc: Column, n: int, seed: int) -> Column:
+    """array<struct<rep, draws>> of a document in n replicates, without those that don't draw it. An md5 of seed, document
+    and block gives eight numbers of 16 bits, so other engines draw the same."""
+    number = lambda rep: F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), doc.cast("string"), F.floor(rep / 8).cast("string"))), (rep % 8) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    draws = lambda u: sum(((u >= t).cast("int") for t in DRAWS), F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: F.struct(rep.alias("rep"), draws(number(rep)).alias("draws")))
+    return F.filter(each, lambda x: x["draws"] > 0)
+
+
+def poisson_bootstrap(scores: DataFrame, doc: str, group: str, n: int = 2000, seed: int = 0) -> DataFrame:
+    """(set, metric, point, lo, hi): 95 % percentile intervals from n replicates in which each document of
+    scores(doc, group, counts) comes a Poisson number of times.
+
+    No document needs to know another: a task sums what its documents draw, so only a row for each set and replicate is
+    shuffled, and no places are given. A replicate without any document has no ratio and is left out.
+    """
+    counts = scores.select(F.col(group).alias("set"), F.col(doc).alias("doc"), "gold_chars", "leaked_chars", "pred_chars", "over_chars", (F.col("gold_chars") > 0).cast("int").alias("has_gold"), "leaks").where(F.col("set").isNotNull())
+    points = _weighted(counts.withColumn("draws", F.lit(1)), "set")
+    drawn = counts.withColumn("x", F.explode(poisson_draws(F.col("doc"), n, seed))).withColumn("rep", F.col("x.rep")).withColumn("draws", F.col("x.draws"))
+    # n rows a set at most
+    ends = _weighted(drawn, "set", "rep").groupBy("set").agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{k}_ci") for k in _RATIOS])
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.round(k, 6).alias("point"), F.round(F.col(f"{k}_ci")[0], 6).alias("lo"), F.round(F.col(f"{k}_ci")[1], 6).alias("hi")) for k in _RATIOS])
+    return points.join(ends, "set").select("set", F.explode(rows).alias("m")).select("set", "m.*")
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     """Differences a - b over the same resampled documents, averaged over sets: metric, point, lo, hi, a_better."""
     reps = _replicates(a, n, seed)

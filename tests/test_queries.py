@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opalspan.plans.gateway import GATEWAY
 from opalspan.plans.oracle import ORACLE
 from opalspan.plans.queries import QUERIES
+from opalspan.plans.relations import RELATIONS
 from opalspan.plans.source_queries import SOURCES
 
 SF = "/root/testdata/sf0.001"
@@ -23,12 +24,13 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v if isinstance(v, bool | int | str) else str(v)
 
 
-@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix", "near_dup_exact_classes", "fill_offsets", "transcript_cards", "collect_responses", "chunk_text", "token_numbering", "restore_roundtrip", "vault_ttl_purge", "iban_seeded", "ipv6_seeded", "normalize_look_alikes", "spoken_digits", "split_name", "parse_llm_json", "missed_by_label", *SOURCES, *GATEWAY])
+@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix", "near_dup_exact_classes", "fill_offsets", "transcript_cards", "collect_responses", "chunk_text", "token_numbering", "restore_roundtrip", "vault_ttl_purge", "iban_seeded", "ipv6_seeded", "normalize_look_alikes", "spoken_digits", "split_name", "parse_llm_json", "missed_by_label", *SOURCES, *GATEWAY, *RELATIONS])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    query, sql = (SOURCES | GATEWAY)[name] if name in SOURCES | GATEWAY else (QUERIES[name], ORACLE[name])
+    more = SOURCES | GATEWAY | RELATIONS
+    query, sql = more[name] if name in more else (QUERIES[name], ORACLE[name])
     df = query(spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
