@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,15 +40,20 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 _CLOSE_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: Elements whose class or id tells one path from another.
 NAMED = frozenset("article aside div dl form main nav ol section table ul".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold all of a page and so tell nothing of a part.
+WHOLE = frozenset("html body".split())
+#: Words that menus are made of, and what opens a notice of rights.
+MENU = frozenset("about account blog careers cart contact cookies faq home help imprint legal login logout menu news policy press privacy products register search services sitemap support terms us".split())
+_NOTICE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|.{0,80}\ball rights reserved\b", re.I | re.S)
+#: Words of a text of the menu's words at most.
+MENU_WORDS = 10
 #: Weight of neighbours two and one away and of a node itself.
 KERNEL = (0.06, 0.24, 0.40, 0.24, 0.06)
-#: A path is chosen from this share of the values' deviation, and of the highest value.
-DEVIATION, HIGHEST = 0.35, 0.02
-#: Factors of a path's value: an element of ASIDE or with a word of BOILERPLATE, and an article or main element.
-AGAINST, FOR = 0.001, 4.0
-#: The container is the deepest path with this share of the chosen text; a path in it that is not chosen stays unless
-#: its signals (factors, and the share of its text that is no link) come to less than CALM.
-COVER, CALM = 0.8, 0.3
+#: A path is chosen from this share of the highest value.
+HIGHEST = 0.2
+#: Factor of a path's value for an element of ASIDE or with a word of BOILERPLATE, or for a text that is a menu or notice.
+AGAINST = 0.001
 
 
 def _against(tag: str, attributes: str) -> bool:
@@ -58,6 +64,15 @@ def _against(tag: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes)) or any(not BOILERPLATE.isdisjoint(_NAME.split((m[2] or m[3] or m[4] or "").lower())) for m in _MARK.finditer(attributes))
 
 
+def _cue(text: str) -> str | None:
+    """What a text outside articles says about itself: a notice of rights, or words of a menu without a sentence."""
+    if _NOTICE.match(text):
+        return "#notice"
+    words = text.split(None, MENU_WORDS)
+    menu = len(words) <= MENU_WORDS and 2 * sum(w.strip("|·•»>-/").lower() in MENU for w in words) > len(words)
+    return "#menu" if menu and not PUNCTUATION.search(text) else None
+
+
 class Block:
     """A run of text in one block element: its path (outermost first), text, characters in links, and the factor of
     the elements around it."""
@@ -70,7 +85,7 @@ class Block:
 
 class _Page:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, str, float, bool]] = []  # tag, name in a path, factor, whether in an article
+        self.stack: list[tuple[str, str, float]] = []  # tag, name in a path, factor
         self.depth: list[tuple[str, ...]] = [()]  # paths of the block elements that are open
         self.blocks: list[Block] = []
         self.parts: list[str] = []
@@ -81,7 +96,10 @@ class _Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(self.depth[-1], text, min(self.linked, len(text)), self.stack[-1][2] if self.stack else 1.0))
+                path, factor = self.depth[-1], self.stack[-1][2] if self.stack else 1.0
+                if not (self.open_tags.get("article") or self.open_tags.get("main") or HEADING.intersection(path[-1:])) and (cue := _cue(text)):  # a path of its own
+                    path, factor = (*path, cue), min(factor, AGAINST)
+                self.blocks.append(Block(path, text, min(self.linked, len(text)), factor))
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -125,15 +143,13 @@ class _Page:
             return
         if tag in BLOCK:
             self.flush()
-        _, _, factor, inside = self.stack[-1] if self.stack else ("", "", 1.0, False)
+        factor = self.stack[-1][2] if self.stack else 1.0
         if factor > AGAINST and _against(tag, attributes):
-            factor *= AGAINST
-        if tag in ("article", "main") and not inside:
-            factor, inside = factor * FOR, True
+            factor = AGAINST
         name = tag
         if tag in NAMED and (m := _MARK.search(attributes)):
             name += "." + (m[2] or m[3] or m[4] or "").lower()
-        self.stack.append((tag, name, factor, inside))
+        self.stack.append((tag, name, factor))
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if tag in BLOCK:
             self.depth.append((*self.depth[-1], name))
@@ -173,12 +189,15 @@ def blocks(page: str) -> list[Block]:
     return out.blocks
 
 
-def ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
-    """Of each path its value and its calm.
+def ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
+    """The value of each path.
 
-    Per path: text length, punctuation and characters in links of all its nodes, each by node. Value: length times one
-    more than punctuation, times calm, the share of text outside links and the factor of the elements around. Along the
-    page a node's value is smoothed by KERNEL over neighbours of the same parent path, and averaged by path again.
+    Per path, text length and punctuation of all its nodes, each by node: their logarithms' product is the path's ratio,
+    log(1 + length) * (1 + log(1 + punctuation)). Along the page a node's ratio is smoothed by KERNEL over neighbours of
+    the same parent path, and averaged by path again. A path is fused with the best of the elements around it, below the
+    page's body, by the geometric mean of its smoothed ratio and the mean ratio of all text in that element: a list of
+    short items in an article is part of it, one by itself is not. What speaks against a path, the factors of the
+    elements around and the share of text in links, is a factor of its value.
     """
     sums: dict[tuple[str, ...], list[float]] = {}
     for b in found:
@@ -188,8 +207,7 @@ def ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
         t[2] += len(PUNCTUATION.findall(b.text))
         t[3] += b.linked
         t[4] += b.factor
-    calm = {p: t[4] / t[0] * (1 - t[3] / t[1]) for p, t in sums.items()}
-    plain = {p: t[1] / t[0] * (1 + t[2] / t[0]) * calm[p] for p, t in sums.items()}
+    plain = {p: math.log1p(t[1] / t[0]) * (1 + math.log1p(t[2] / t[0])) for p, t in sums.items()}
     total = dict.fromkeys(sums, 0.0)
     for i, b in enumerate(found):
         weights = values = 0.0
@@ -198,26 +216,27 @@ def ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
                 weights += w
                 values += w * plain[found[k].path]
         total[b.path] += values / weights
-    return {p: (total[p] / t[0], calm[p]) for p, t in sums.items()}
+    around: dict[tuple[str, ...], list[float]] = {}
+    for p, t in sums.items():
+        for k in range(1, len(p)):
+            if p[k - 1] not in WHOLE:
+                x = around.setdefault(p[:k], [0.0, 0.0])
+                x[0] += t[1] * plain[p]
+                x[1] += t[1]
+    out = {}
+    for p, t in sums.items():
+        own = total[p] / t[0]
+        best = max((around[p[:k]][0] / around[p[:k]][1] for k in range(1, len(p)) if p[k - 1] not in WHOLE), default=own)
+        out[p] = math.sqrt(own * max(own, best)) * t[4] / t[0] * (1 - t[3] / t[1])
+    return out
 
 
 def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
-    """Paths of the content: those whose value reaches the threshold, and the calm ones in their container."""
-    if not found:
-        return set()
+    """Paths of the content: those whose value reaches a share of the highest. Where all there is speaks against itself,
+    nothing is content."""
     value = ratios(found)
-    nodes = [value[b.path][0] for b in found]
-    mean = sum(nodes) / len(nodes)
-    limit = max(DEVIATION * (sum((x - mean) ** 2 for x in nodes) / len(nodes)) ** 0.5, HIGHEST * max(nodes))
-    chosen = {p for p, (v, _) in value.items() if v >= limit}
-    under: dict[tuple[str, ...], int] = {}
-    for b in found:
-        if b.path in chosen:
-            for k in range(len(b.path)):
-                under[b.path[:k]] = under.get(b.path[:k], 0) + len(b.text)
-    whole = under.get((), 0)
-    container = max((q for q, n in under.items() if n >= COVER * whole), key=len, default=())
-    return chosen | {p for p, (_, calm) in value.items() if calm >= CALM and p[: len(container)] == container}
+    highest = max(value.values(), default=0.0)
+    return {p for p, v in value.items() if v >= HIGHEST * highest and v > 10 * AGAINST}
 
 
 def main_text(page: str | None) -> str:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -256,21 +257,52 @@ def test_html(spark):
 
 
 def test_html_paths_against_plain_sums():
-    """Values of paths from the definition, and the whole extraction with the method switched off."""
-    found = html_paths.blocks(PAGE.replace("{open}", "<article>").replace("{close}", "</article>"))
-    plain = {}
-    for p in {b.path for b in found}:
-        own = [b for b in found if b.path == p]
-        n, size = len(own), sum(len(b.text) for b in own)
-        calm = sum(b.factor for b in own) / n * (1 - sum(b.linked for b in own) / size)
-        plain[p] = size / n * (1 + sum(len(html_paths.PUNCTUATION.findall(b.text)) for b in own) / n) * calm, calm
-    for p, (value, calm) in html_paths.ratios(found).items():
-        smooth = []
-        for i, b in enumerate(found):
-            if b.path == p:
-                near = [(html_paths.KERNEL[k - i + 2], plain[found[k].path][0]) for k in range(max(0, i - 2), min(len(found), i + 3)) if found[k].path[:-1] == p[:-1]]
-                smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-        assert abs(value - sum(smooth) / len(smooth)) < 1e-6 * max(1, value) and calm == plain[p][1]
+    """Values of paths from the definition, node by node, and the choice from the values alone."""
+    for page in (PAGE.replace("{open}", "<article>").replace("{close}", "</article>"), PAGE.replace("{open}", "").replace("{close}", ""), "<p>x<div><p>a. b, c<ul><li>one<li>two</ul><section><p>more text</section></div><td>q"):
+        found = html_paths.blocks(page)
+        ratio, calm = {}, {}
+        for p in {b.path for b in found}:
+            own = [b for b in found if b.path == p]
+            n, size = len(own), sum(len(b.text) for b in own)
+            calm[p] = sum(b.factor for b in own) / n * (1 - sum(b.linked for b in own) / size)
+            ratio[p] = math.log(1 + size / n) * (1 + math.log(1 + sum(len(html_paths.PUNCTUATION.findall(b.text)) for b in own) / n))
+        value = html_paths.ratios(found)
+        assert value.keys() == ratio.keys()
+        for p, v in value.items():
+            smooth = []
+            for i, b in enumerate(found):
+                if b.path == p:
+                    near = [(html_paths.KERNEL[k - i + 2], ratio[found[k].path]) for k in range(max(0, i - 2), min(len(found), i + 3)) if found[k].path[:-1] == p[:-1]]
+                    smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+            own = sum(smooth) / len(smooth)
+            around = [own]
+            for k in range(1, len(p)):
+                if p[k - 1] not in ("html", "body"):
+                    under = [b for b in found if len(b.path) > k and b.path[:k] == p[:k]]
+                    around.append(sum(len(b.text) * ratio[b.path] for b in under) / sum(len(b.text) for b in under))
+            assert abs(v - math.sqrt(own * max(around)) * calm[p]) < 1e-9 * max(1, v)
+        assert html_paths.content_paths(found) == {p for p, v in value.items() if v >= 0.2 * max(value.values()) and v > 0.01}
+
+
+def test_html_values_decide(spark, monkeypatch):
+    """Without marks, length and punctuation cut menus; with values made constant nearly every page changes."""
+    text = html_paths.main_text
+    long = "A sentence, with marks, that goes on for a while. " * 4
+    menu = "".join(f"<li>topic {k}" for k in range(12))
+    plain = f"<body><div class=left><ul>{menu}</ul></div><div class=text><h2>Head</h2><p>{long}<p>Short.<p>{long}<ul><li>one<li>two</ul></div><table><tr><td>12<td>13</table>"
+    assert text(plain).split("\n\n") == ["Head", long.strip(), "Short.", long.strip(), "one", "two"]
+    # in one container with the text, unlinked and without names
+    mixed = f"<body><div><p>Home Products About Contact</p><h1>Head</h1><p>{long}</p><p>{long}</p><ul><li>Terms</li></ul><div>\u00a9 2024 Example, Inc. All rights reserved.</div></div>"
+    assert text(mixed).split("\n\n") == ["Head", long.strip(), long.strip()]
+    # an article may say such things
+    assert text(f"<article><p>{long}<p>All rights reserved.<p>Copyright law<p>About us</article>").count("\n\n") == 3
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    before = [text(x) for x in pages]
+    real = html_paths.ratios
+    monkeypatch.setattr(html_paths, "ratios", lambda found: dict.fromkeys(real(found), 1.0))
+    assert sum(text(x) != y for x, y in zip(pages, before)) > 0.9 * len(pages)
+    monkeypatch.setattr(html_paths, "ratios", lambda found: {b.path: b.factor * (1 - b.linked / len(b.text)) for b in found})
+    assert text(plain) != "" and "topic 3" in text(plain) and "12" in text(plain)  # the factors alone keep them
 
 
 def test_html_shapes():
