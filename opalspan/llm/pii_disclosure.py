@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from opalspan.llm.common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: A term reveals an entity if they share so many different contexts, and their pointwise mutual information is at
-#: least this share of the entity's own information.
-SUPPORT, DISCLOSURE = 3, 0.9
-#: Texts with the term but at random in the entity's place, added to the estimate of P(e | t) where an entity has fewer
-#: contexts than the support.
-SMOOTHING = 1
+#: A term reveals an entity if they share so many different contexts, if no more bits than REMAINING are left of the
+#: entity once the term is known, and if the term tells at least GAIN bits about it. These are bounds of evidence, not
+#: shares of what the corpus's size gives: they mean the same in 1,000 texts and in 10^9.
+SUPPORT, REMAINING, GAIN = 3, 1.0, 1.0
+#: What is left is judged by the lower end of the interval of P(e | t), one-sided, at this many standard deviations.
+DEVIATIONS = 1.645
 #: Words of a batch of contexts, but for the last text's.
 BATCH_WORDS = 100_000
 #: A word in more than one of so many different texts is frequent.
@@ -148,22 +148,27 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
-def revealing_terms(found: DataFrame, texts: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def least_share(k: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval of k out of n."""
+    z2, p = DEVIATIONS**2, k / n
+    return (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def revealing_terms(found: DataFrame, texts: DataFrame, docs: DataFrame, support: int = SUPPORT, remaining: float = REMAINING, gain: float = GAIN) -> DataFrame:
     """(tkey, kind, term): terms of each text that disclose one of its entities; of several kinds the first by name.
 
-    Probabilities are shares of all different texts: P(t) from every text's words, P(e) and P(e, t) from the texts
-    with the entity and with both, wherever they stand. PMI(e, t) >= disclosure * IC(e) with at least `support`
-    different contexts. An entity in fewer contexts than that is judged by the smoothed P(e | t) = (n_et + a P(e)) /
-    (n_t + a): a word met once beside it counts about half, one met elsewhere as well soon too little.
+    Counts are of different texts, wherever the words stand: n_e with the entity, n_t with the term, n_et with both. Of the
+    entity's information, -log2 P(e), the term leaves -log2 P(e | t), with P(e | t) at the lower end of its interval for
+    n_et of n_t; the difference, their pointwise mutual information, is what it tells. It reveals if at least `support`
+    different contexts have both, `remaining` bits or fewer are left, and `gain` or more are told. So a word that stands
+    once beside an entity proves nothing, in however many texts, and neither does an entity met in fewer contexts.
 
-    n_et is n_e at most, so a term in more texts than an entity's `most` cannot reveal it: only pairs below that
-    are made.
+    P(e | t) is at most n_e / n_t, so only terms in up to n_e * 2^remaining texts are paired with an entity.
     """
     uses = texts.select("tkey", "context", F.explode("entities").alias("x")).select("tkey", "context", "x.kind", "x.entity")
-    known = uses.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), (F.countDistinct("context") < support).alias("rare"))
+    known = uses.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
     total = found.select("tkey").distinct().agg(F.count(F.lit(1)).alias("n"))
-    most = (F.col("n_e") + SMOOTHING) * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure)) + 1
-    known = known.crossJoin(F.broadcast(total)).withColumn("most", most)
+    known = known.crossJoin(F.broadcast(total)).select("entity", "n_e", "n", (F.col("n_e") * 2**remaining).alias("most"))
     uses = written(uses.join(known, "entity"), "uses")
     if uses.isEmpty():
         return uses.select("tkey", "kind", F.lit("").alias("term"))
@@ -183,12 +188,10 @@ def revealing_terms(found: DataFrame, texts: DataFrame, docs: DataFrame, support
     common = side.where("n_often <= highest").select("tkey", "term", F.col("n_often").alias("n_t"))
     scarce = side.where("n_often is null").join(every.where("not often"), "term").where("n_t <= highest").select("tkey", "term", "n_t")
     pairs = written(common.unionByName(scarce).join(uses, "tkey").where("n_t <= most"), "pairs")
-    seen = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.countDistinct("context").alias("k"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n"), F.first("rare").alias("rare"))
-    information = F.log2(F.col("n") / F.col("n_e"))
-    smoothed = (F.col("n_et") + SMOOTHING * F.col("n_e") / F.col("n")) / (F.col("n_t") + SMOOTHING)
-    given = F.when(F.col("rare"), smoothed).otherwise(F.col("n_et") / F.col("n_t"))
-    mutual = F.log2(F.col("n") * given / F.col("n_e"))
-    good = seen.where((F.col("rare") | (F.col("k") >= support)) & (information > 0) & (mutual >= disclosure * information)).select("entity", "term")
+    seen = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.countDistinct("context").alias("k"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n"))
+    left = -F.log2(least_share(F.col("n_et"), F.col("n_t")))
+    told = F.log2(F.col("n") / F.col("n_e")) - left
+    good = seen.where((F.col("k") >= support) & (left <= remaining) & (told >= gain)).select("entity", "term")
     return pairs.select("tkey", "kind", "entity", "term").join(good, ["entity", "term"], "left_semi").groupBy("tkey", "term").agg(F.min("kind").alias("kind"))
 
 
@@ -235,7 +238,8 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs.
 
     Base spans are leftmost non-overlapping matches per kind, those failing their test dropped. Terms that reveal an
-    entity are added as spans of kind `term` wherever they stand in a text with that entity. A null text is empty and
+    entity, by the same bounds of evidence at every size of the corpus, are added as spans of kind `term` wherever they
+    stand in a text with that entity. A null text is empty and
     has none; a repeated row gets equal spans, and equal texts count as one document of evidence; an empty table
     gives no rows. Texts are read once to detect and, if any has an entity, once more to count words; only words of
     texts with entities are shuffled.

@@ -65,22 +65,56 @@ def test_disclosure_copies(spark):
     assert sum(":" in x["spans"] and "term:" in x["spans"] for x in got) == 204
 
 
-def test_disclosure_rare_entity(spark):
-    # an address met once, beside a word met once and words that stand in many texts
-    rows = [(0, "please write to zanzibarian j.doe@example.com about the matter", ""), (1, None, "")]
-    rows += [(10 + k, f"please write to us about the matter number{chr(97 + k % 26)}{k}", "") for k in range(2000)]
-    df = spark.createDataFrame([(d, x) for d, x, _ in rows], "doc_id long, text string")
-    got = {x["doc_id"]: x["spans"] for x in pii_disclosure.personal_spans(df).collect()}
-    x = rows[0][1]
-    assert [x[int(s) : int(e)] for k, s, e in (y.split(":") for y in got[0].split(",")) if k == "term"] == ["zanzibarian"]
-    assert not any(v for d, v in got.items() if d)
-    assert {r["doc_id"]: r["text"] for r in pii_disclosure.sanitise(df).collect()}[0] == "please write to [EMAIL TERM] [EMAIL] about the matter"
+def reveals(n_et, n_t, n_e, n):
+    """At most one bit of the entity is left, at the lower end of Wilson's interval, and one bit or more is told."""
+    p, z2 = n_et / n_t, 1.645**2
+    low = (p + z2 / (2 * n_t) - math.sqrt(z2 * (p * (1 - p) / n_t + z2 / (4 * n_t * n_t)))) / (1 + z2 / n_t)
+    return -math.log2(low) <= 1 and math.log2(n / n_e) + math.log2(low) >= 1
+
+
+def quasi_identifiers(r, texts):
+    """Texts with planted pairs: 20 people with an address and two words that stand only beside it (one of them in one
+    other text too), among addresses met once and words of a skewed vocabulary. (texts, person -> words)"""
+    rows, planted = [], {}
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 7))) for _ in range(texts // 2)]
+    noise = lambda: [vocabulary[int(len(vocabulary) * r.random() ** 3)] for _ in range(r.randint(5, 40))]
+    for k in range(texts):
+        w = noise()
+        if k % 25 == 0:
+            w.insert(r.randint(0, len(w)), f"once{k}@example.org")
+        rows.append(" ".join(w))
+    for p in range(20):
+        own = [f"quasi{chr(97 + p)}one", f"quasi{chr(97 + p)}two"]
+        planted[p] = set(own)
+        for k in range(6):
+            w = noise() + own + [f"person{p}@example.com"]
+            r.shuffle(w)
+            rows.append(" ".join(w))
+        rows.append(" ".join([*noise(), own[1]]))
+    return rows, planted
+
+
+def test_disclosure_alike_at_every_size(spark):
+    """Planted quasi-identifiers are found, with few other words, by one rule at every size; an entity met once shows
+    nothing."""
+    for texts in (300, 1000, 1500, 6000):
+        rows, planted = quasi_identifiers(random.Random(texts), texts)
+        got = pii_disclosure.personal_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+        shown = collections.defaultdict(set)
+        for x in got:
+            t = rows[x["doc_id"]]
+            person = re.search(r"person(\d+)@", t)
+            for kind, s, e in (y.split(":") for y in x["spans"].split(",") if y):
+                if kind == "term":
+                    assert person, t  # no word beside an address met once
+                    shown[int(person[1])].add(t[int(s) : int(e)])
+        every = sum(map(len, shown.values()))
+        right = sum(len(shown[p] & planted[p]) for p in planted)
+        assert right == 40 and right / every > 0.9, (texts, right, every)
 
 
 def disclosed(texts):
     """(text, start, end) of every revealing word, straight from the definitions."""
-    import math
-
     import regex
 
     words = lambda x: {w.lower() for w in regex.findall(r"\p{L}+", x) if len(w) > 1}
@@ -98,12 +132,10 @@ def disclosed(texts):
     out = set()
     for entity in {u[0] for u in uses}:
         mine = [u for u in uses if u[0] == entity]
-        n_e, rare = len({u[2] for u in mine}), len({u[1] for u in mine}) < pii_disclosure.SUPPORT
+        n_e = len({u[2] for u in mine})
         for term in {t for u in mine for t in u[1]}:
             n_et, k = len({u[2] for u in mine if term in u[1]}), len({u[1] for u in mine if term in u[1]})
-            given = (n_et + n_e / n) / (n_t[term] + 1) if rare else n_et / n_t[term]
-            information = math.log2(n / n_e)
-            if (rare or k >= pii_disclosure.SUPPORT) and information > 0 and math.log2(n * given / n_e) >= pii_disclosure.DISCLOSURE * information:
+            if k >= 3 and reveals(n_et, n_t[term], n_e, n):
                 out |= {(u[2], s, e) for u in mine for t, s, e in u[3] if t == term}
     return out
 
@@ -127,8 +159,6 @@ def test_disclosure_brute_force(spark):
 
 def disclosed_anywhere(texts):
     """(text, start, end) of every revealing word: all words of a text that are not in an entity are its context."""
-    import math
-
     import regex
 
     different, uses = sorted(set(texts)), []  # uses: entity, text, [(term, start, end)]
@@ -144,12 +174,10 @@ def disclosed_anywhere(texts):
     for entity in {u[0] for u in uses}:
         mine = {u[1]: u[2] for u in uses if u[0] == entity}
         context = {x: tuple(t for t, *_ in own) for x, own in mine.items()}
-        n_e, rare = len(mine), len(set(context.values())) < pii_disclosure.SUPPORT
+        n_e = len(mine)
         for term in {t for c in context.values() for t in c}:
             both = [c for c in context.values() if term in c]
-            given = (len(both) + n_e / n) / (n_t[term] + 1) if rare else len(both) / n_t[term]
-            information = math.log2(n / n_e)
-            if (rare or len(set(both)) >= pii_disclosure.SUPPORT) and information > 0 and math.log2(n * given / n_e) >= pii_disclosure.DISCLOSURE * information:
+            if len(set(both)) >= 3 and reveals(len(both), n_t[term], n_e, n):
                 out |= {(x, s, e) for x, own in mine.items() for t, s, e in own if t == term}
     return out
 
