@@ -14,12 +14,22 @@ from opalspan.llm.common import connected_components, contract, small_batches, w
 COSINE = 0.95
 #: Vectors that the tree's top levels are built from at most, their nodes at most, points of a leaf, rows of a block.
 SAMPLE, TOP, LEAF, BLOCK = 4096, 256, 512, 16384
-SLACK = 1e-9
+#: What rounding may do to a cosine, and to a distance, which near zero is the root of a cosine's error.
+SLACK, NEAR = 1e-9, 1e-6
+#: Rows that a task sends at once.
+SLICE = 8192
 #: Points that a node of the next level holds at least, on average.
 SPREAD = 8
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: cosines are the same,
+    and squares stay in range."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -97,7 +107,7 @@ def _check(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, c
 def dual(a: Node, b: Node, xa: np.ndarray, xb: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (place in a, place in b) over the cosine. A pair of nodes goes if its centres are farther apart than its
     radii and the threshold's distance together. With b the tree a itself, each pair comes once."""
-    reach = np.sqrt(2 - 2 * cosine) + SLACK
+    reach = np.sqrt(2 - 2 * cosine) + NEAR
     same = a is b
     todo = [(a, b)]
     while todo:
@@ -120,7 +130,7 @@ def dual(a: Node, b: Node, xa: np.ndarray, xb: np.ndarray, raw_a: np.ndarray, ra
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64))
 
 
 def _assign(tops: dict[int, np.ndarray]):
@@ -143,12 +153,12 @@ def _visit(tops: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[float
     """Each vector under the pairs of blocks in which it must be compared: with every block of its own cell, and with
     the blocks of each cell that may hold a linked vector, by that cell's radius, and because a linked vector is
     nearest to its own top node. The other side comes by the same rule, so both meet under the sorted pair."""
-    reach = np.sqrt(2 - 2 * cosine) + SLACK
+    reach = np.sqrt(2 - 2 * cosine) + NEAR
+    names = ["width", "a", "i", "b", "j", "side", "rep", "weight", "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             reps, widths, homes, fars = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5))
-            cols: list[list] = [[], [], [], [], [], []]
             for w in set(widths.tolist()):
                 at = np.flatnonzero(widths == w)
                 top = tops.get(w)
@@ -156,17 +166,22 @@ def _visit(tops: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[float
                 size = [cells.get((w, c), (-9.0, 0)) for c in range(d.shape[1])]
                 near = (d <= np.array([r for r, _ in size]) + reach) & (d <= fars[at][:, None] + 2 * reach)
                 near[np.arange(len(at)), homes[at]] = True
-                blocks = [-(-n // block) for _, n in size]
-                for r, i in enumerate(at.tolist()):
-                    mine = int(homes[i]), (int(reps[i]) * 0x9E3779B97F4A7C15 >> 17) % blocks[homes[i]]
-                    for c in np.flatnonzero(near[r]).tolist():
-                        for k in range(blocks[c]):
-                            lo, hi = min(mine, (c, k)), max(mine, (c, k))
-                            for col, v in zip(cols, (i, *lo, *hi, mine != lo)):
-                                col.append(v)
-            i = pa.array(cols[0], pa.int64())
-            names = ["width", "a", "i", "b", "j", "side", "rep", "weight", "embedding"]
-            yield pa.record_batch([b.column(3).take(i), *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], pa.bool_()), b.column(0).take(i), b.column(1).take(i), b.column(2).take(i)], names=names)
+                blocks = np.array([-(-n // block) for _, n in size])
+                own = homes[at].astype(np.int64)
+                place = np.array([(r * 0x9E3779B97F4A7C15 >> 17) % n for r, n in zip(reps[at].tolist(), blocks[own].tolist())], np.int64)
+                # all blocks of each cell that is near, in slices, so that what a vector visits is never held at once
+                row, cell = np.nonzero(near)
+                ends = np.cumsum(blocks[cell])
+                for lo in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+                    k = np.arange(lo, min(lo + SLICE, int(ends[-1])))
+                    which = np.searchsorted(ends, k, "right")
+                    r, c = row[which], cell[which]
+                    j = k - (ends[which] - blocks[c])
+                    later = (own[r] > c) | ((own[r] == c) & (place[r] > j))
+                    mine, other = (own[r], place[r]), (c, j)
+                    cols = [np.where(later, o, m) for m, o in zip(mine, other)] + [np.where(later, m, o) for m, o in zip(mine, other)]
+                    i = pa.array(at[r])
+                    yield pa.record_batch([b.column(3).take(i), *(pa.array(x.astype(np.int32)) for x in cols), pa.array(later), b.column(0).take(i), b.column(1).take(i), b.column(2).take(i)], names=names)
 
     return run
 

@@ -236,3 +236,44 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (100, 101, 102, 103, 106))
     assert got[105]["component_id"] == 104 and got[None]["n_links"] == 0 and not got[None]["kept"]
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Components whose squares leave the range of doubles, in a batch of many blocks, against brute force on rows that are
+    scaled back."""
+    r = np.random.default_rng(21)
+    base = np.abs(r.standard_normal((300, 16))) + np.repeat(3 * np.eye(16), 19, axis=0)[:300]
+    base[40:60] = base[20:40] * (1 + 1e-9 * r.standard_normal((20, 16)))
+    power = r.choice([0, 0, -200, 150, 200, -300], 300)
+    rows = [(k, (base[k] * 10.0 ** int(power[k])).tolist()) for k in range(300)]
+    unit = base / np.sqrt((base * base).sum(axis=1))[:, None]
+    cos = unit @ unit.T
+    assert not (np.abs(cos - 0.95) < 1e-12).any()
+    linked = (cos >= 0.95) & ~np.eye(300, dtype=bool)
+    assert 40 < linked.sum() < 300 * 200
+    low = np.arange(300)
+    while True:
+        new = np.minimum(low, np.where(linked, low[None, :], 300).min(axis=1))
+        if (new == low).all():
+            break
+        low = new
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4, 50, 1000):
+        got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in cover_tree.near_duplicates(df, block=block).collect()}
+        assert got == {k: (int(linked[k].sum()), int(low[k])) for k in range(300)}
+
+
+def test_visits_are_sliced(monkeypatch):
+    """However many blocks a batch's vectors visit, a slice holds a bounded part of them, and none is lost."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((50, 4))
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([1] * 50, pa.int64()), pa.array(x.tolist()), pa.array([4] * 50, pa.int32()), pa.array([k % 2 for k in range(50)], pa.int32()), pa.array([2.0] * 50)], names=["rep", "weight", "embedding", "width", "home", "far"])
+    visit = cover_tree._visit({4: cover_tree.unit(r.standard_normal((2, 4)))}, {(4, 0): (2.0, 70), (4, 1): (2.0, 30)}, 0.95, 10)
+    whole = [tuple(y[c] for c in ("a", "i", "b", "j", "side", "rep")) for b in visit([batch]) for y in b.to_pylist()]
+    monkeypatch.setattr(cover_tree, "SLICE", 64)
+    parts = list(visit([batch]))
+    assert max(b.num_rows for b in parts) <= 64 and len(parts) > 5
+    assert [tuple(y[c] for c in ("a", "i", "b", "j", "side", "rep")) for b in parts for y in b.to_pylist()] == whole
+    assert len(whole) == 50 * (7 + 3) and all(y[:2] <= y[2:4] for y in whole)
