@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalspan.llm.common import discard, partitions, small_batches, written
-from opalspan.llm.tokens import _ODD, Memo, _byte_letters, byte_encoder, inner, ragged
+from opalspan.llm.tokens import _ODD, LONGEST, Memo, _byte_letters, byte_encoder, inner, ragged
 
 #: Stripes: ids that are equal modulo this number. A block has a row for each id of its stripe, a column for each id of
 #: the other side.
 STRIPES = 256
 #: Documents and bytes of text that are aligned at once, but for the last text's.
-BATCH_DOCS, BATCH_BYTES = 2000, 8 << 20
+BATCH_DOCS, BATCH_BYTES = 2000, 4 << 20
 #: Compressed bytes of a stripe for which one more task counts, or scores.
 PART_BYTES = 32 << 20
 #: Pieces between spaces whose ids of the second side a worker remembers, in each of two generations.
-REMEMBERED = 160_000
+REMEMBERED = 120_000
 #: Bytes of sums that a task holds before it sends them.
 HELD_BYTES = 64 << 20
 
@@ -53,26 +54,35 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.rows = -(-len(self.bytes_a) // STRIPES)
         self.bits = len(self.bytes_b).bit_length()
-        self.words: dict[str, bytes] = Memo(lambda w: np.array(self.b.encode(w), "<u4").tobytes(), REMEMBERED)
+        self.words: dict[str, bytes] = Memo(self._ids, REMEMBERED)
         # a token's text in a list of groups: with the sign that ends it inside its group, and at the group's end
         self.names = pa.array([f"{i}{end}" for side, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for end in ends for i in range(len(side))])
 
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.b.encode(text)).tobytes()
+
     def _tokens(self, units: list[str], whole: list[bool]) -> tuple[list[bytes], list[bytes]]:
         a = [self.a.encode(" " + u) if w else self.a.pieces[u] for u, w in zip(units, whole)]
-        b = [np.array(self.b.encode(u), "<u4").tobytes() if w else self.words[u] for u, w in zip(units, whole)]
+        # those that are not remembered are encoded in one call
+        new = [u for u, w in zip(units, whole) if not w and u not in self.words and u not in self.words.old]
+        made = {u: array("I", ids).tobytes() for u, ids in zip(new, self.b.encode(new, num_threads=1) if new else [])}
+        b = [self._ids(u) if w else made.get(u) or self.words[u] for u, w in zip(units, whole)]
+        for u, ids in made.items():
+            if len(u) <= LONGEST:
+                self.words.keep(u, ids)
         return a, b
 
     def _faithful(self, units: list[str], sides: list[pa.ListArray]) -> np.ndarray:
         """Of each unit whether the tokens of both sides are, joined, a space and the unit."""
         raw = [b" " + u.encode("utf-8", "surrogatepass") for u in units]
-        good = np.ones(len(units), bool)
-        for side, names in zip(sides, (self.bytes_a, self.bytes_b)):
-            ids, ends = side.values.to_pylist(), side.offsets.to_numpy()
-            texts = [names[i] for i in ids]
-            sizes = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
-            alike = sizes[ends[1:]] - sizes[ends[:-1]] == np.array([len(r) for r in raw])
-            if not alike.all() or b"".join(texts) != b"".join(raw):
-                good &= [b"".join(texts[i:j]) == r for i, j, r in zip(ends[:-1].tolist(), ends[1:].tolist(), raw)]
+        length, good = np.array(list(map(len, raw)), np.int64), np.ones(len(units), bool)
+        for side, names, size in zip(sides, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b)):
+            ids, ends = side.values.to_numpy(), side.offsets.to_numpy()
+            sums = np.append(0, np.cumsum(size[ids]))
+            good &= sums[ends[1:]] - sums[ends[:-1]] == length
+            flat = ids[np.repeat(good, np.diff(ends))].tolist()
+            if b"".join([names[i] for i in flat]) != b"".join([r for r, g in zip(raw, good.tolist()) if g]):
+                good &= [b"".join([names[i] for i in ids[i:j].tolist()]) == r for i, j, r in zip(ends[:-1].tolist(), ends[1:].tolist(), raw)]
         return good
 
     def batch(self, texts: pa.Array) -> dict:
@@ -125,7 +135,10 @@ class Aligner:
             of.append(unit[kept])
             ends.append(np.cumsum(size[flat]))
         ea, eb = ends
-        cuts, both = np.union1d(ea, eb), np.intersect1d(ea, eb, assume_unique=True)
+        merged = np.concatenate([ea, eb])
+        merged.sort(kind="stable")
+        again = np.append(merged[1:] == merged[:-1], False)
+        cuts, both = merged[~again], merged[again]
         ia, ib = np.searchsorted(ea, cuts), np.searchsorted(eb, cuts)
         ida = ids[0][ia].astype(np.int64)
         code = ((ida % STRIPES * self.rows + ida // STRIPES) << self.bits) | ids[1][ib]
