@@ -243,6 +243,11 @@ def statistics(df: DataFrame, language: str = "lang") -> DataFrame:
     return out.select("r.*")
 
 
+def bad_examples(df: DataFrame, order: str, key: str = "id", n: int = 5, each: int = 3) -> DataFrame:
+    """The first n rows of df(key, errors), in order, that have errors, with their first few. A task keeps n."""
+    return df.where(F.size("errors") > 0).orderBy(order).limit(n).select(key, F.slice("errors", 1, each).alias("errors"))
+
+
 def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
 

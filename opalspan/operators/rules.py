@@ -73,6 +73,29 @@ def without_noise(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.where(~flagged)
 
 
+def cleaned(df: DataFrame, order: list[str], sizes: tuple[int, ...], key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(kept, report) of documents in a total order: kept are those without any flagged span, with rank from 1; report is
+    (name, n): the pool, kept and dropped documents, flags by rule, and how many of the first n kept make each size. Ranks
+    are running counts over ranges of the order, so no task ranks them all."""
+    from opalspan.operators.ordered import before as earlier
+
+    flagged = df.withColumn("_flags", F.flatten(F.transform("spans", lambda s: F.filter(F.array(*[F.when(rule(F.col("text"), s), F.lit(n)) for n, rule in RULES.items()]), lambda x: x.isNotNull()))))
+    counts = flagged.select(F.explode(F.concat(F.array(F.lit("pool")), F.array(F.when(F.size("_flags") > 0, "dropped").otherwise("kept")), F.transform("_flags", lambda f: F.concat(F.lit("rule "), f)))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    kept = earlier(flagged.where(F.size("_flags") == 0).drop("_flags").withColumn("_all", F.lit(0)), ["_all"], order, name="rank").withColumn("rank", F.col("rank") + 1).drop("_all")
+    first = counts.where("name = 'kept'").select(F.explode(F.array(*[F.struct(F.lit(f"first {n}").alias("name"), F.least("n", F.lit(n)).alias("n")) for n in sizes])).alias("x")).select("x.*")
+    return kept, counts.unionByName(first)
+
+
+def record_check(df: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """(key, error) of records(key, text, spans, keep) in a total order: what is wrong with each, and `duplicate id` for
+    every record but the first of its id."""
+    from opalspan.operators.ordered import before as earlier
+
+    own = df.select(key, F.explode(record_errors(F.col("text"), F.col("spans"), F.col("keep"))).alias("error"))
+    again = earlier(df.select(key, *[c for c in order if c != key]), [key], [c for c in order if c != key]).where("before > 0").select(key, F.lit("duplicate id").alias("error"))
+    return own.unionByName(again)
+
+
 def rule_quality(flags: DataFrame, audit: DataFrame, targets: tuple[str, ...] = ("CREDITCARDNUMBER", "AGE", "GENDER", "SEX", "TAXNUM")) -> DataFrame:
     """flags(doc_id, rule, start, end) against audit(doc_id, start, end, label, verdict): hits, false alarms,
     precision per rule, and recall over wrong spans of the target labels."""

@@ -83,6 +83,14 @@ def scored(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return out
 
 
+def scored_predictions(examples: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """examples(key, text, spans, ...) scored against predictions(key, spans): a left join, in which an example without
+    predictions predicted nothing. Predictions of a key that stands several times are taken together, equal ones once."""
+    whole = predictions.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode("spans").alias("s")).groupBy("_key").agg(F.array_distinct(F.collect_list("s")).alias("_pred"))
+    both = examples.join(whole, F.col(key) == F.col("_key"), "left").drop("_key")
+    return scored(both.withColumn("_pred", F.coalesce("_pred", F.array().cast(both.schema["_pred"].dataType))), "spans", "_pred").drop("_pred")
+
+
 def measures() -> list[Column]:
     """Micro-averaged measures over sums of the ten counts."""
     s = {c: F.sum(c) for c in COUNTS}

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
-from opalspan.operators import intervals, ordered, quantiles, scoring
-from opalspan.plans.oracle import _GOLD, ORACLE
-from opalspan.plans.queries import SEED, _crossing, found, predicted, table
+from opalspan.operators import bloom, intervals, ordered, prep, quantiles, rules, scoring
+from opalspan.plans.oracle import _GOLD, FOUND, ORACLE
+from opalspan.plans.queries import SEED, _crossing, documents, found, predicted, table
 
 SHARES = (0.01, 0.5, 0.95, 0.999)
 REPLICATES = 100
@@ -53,6 +54,43 @@ def q_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+def q_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 8)
+
+
+def q_scored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples and predictions as two tables; every fifth document has none of the latter."""
+    df = predicted(spark, sf_dir)
+    predictions = df.where("doc_id % 5 <> 0").select("doc_id", F.col("pred").alias("spans"))
+    return scoring.scored_predictions(df.select("doc_id", "text", F.col("gold").alias("spans")), predictions, "doc_id").select("doc_id", *scoring.COUNTS)
+
+
+def q_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' sentences: an age, of a person or a group by the key, or a card's number that is money; 40 and 10,000
+    kept."""
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.concat(F.lit("Aged "), (20 + k % 60).cast("string"), F.lit(" percent of them"))).when(k % 3 == 1, F.concat(F.lit("He is "), (20 + k % 60).cast("string"), F.lit(" now"))).otherwise(F.lit("total 4111111111111111 million"))
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"), said.alias("text")).withColumn("spans", F.concat(d.cards(F.col("text")), sp.matches(F.col("text"), r"(?U)\b\d{2}\b", "AGE", "gold")))
+    kept, report = rules.cleaned(df, ["doc_id"], (40, 10_000))
+    last = kept.where("rank in (1, 40)").select(F.concat(F.lit("kept at "), F.col("rank").cast("string")).alias("name"), F.col("doc_id").alias("n"))
+    return report.unionByName(last)
+
+
+def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, every tenth one twice more, every seventh with a kept string that is not there."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("copy", F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(*map(F.lit, range(3)))).otherwise(F.array(F.lit(0)))))
+    keep = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("no such string"))).otherwise(F.array().cast("array<string>"))
+    out = rules.record_check(docs.withColumn("spans", sp.no_spans()).withColumn("keep", keep), ["doc_id", "copy"], "doc_id")
+    return out.groupBy("doc_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_bad_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents whose spans, moved by one for even ids, are wrong."""
+    df = found(spark, sf_dir).withColumn("spans", F.transform("spans", lambda s: s.withField("end", s["end"] + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0))))
+    bad = prep.bad_examples(df.select("doc_id", sp.span_errors(F.col("text"), F.col("spans")).alias("errors")), "doc_id", "doc_id")
+    return bad.select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
 _DRAWN = " + ".join(f"(u >= {t})::int" for t in scoring.DRAWS)
 _SUMS = ", ".join(f"sum({c} * draws) as {c}" for c in ("leaked_chars", "gold_chars", "over_chars", "pred_chars", "leaks", "has_gold"))
 _POISSON = f"""
@@ -71,5 +109,10 @@ RELATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "span_union_ranges": (q_union, ORACLE["span_union_relation"]),
     "percentiles_exact": (q_percentiles, " union all ".join(f"select l_returnflag, {q}::double as share, round(quantile_cont(l_extendedprice, {q}), 4) as price from lineitem group by l_returnflag" for q in SHARES)),
     "poisson_bootstrap": (q_poisson, _POISSON),
+    "contamination_filtered": (q_filtered, ORACLE["ngram_contamination_benchmark"]),
+    "score_two_tables": (q_scored_tables, ORACLE["score_docs"]),
+    "cleaned_first_n": (q_cleaned, "with c as (select c_custkey as k, row_number() over (order by c_custkey) as r from customer where c_custkey % 3 = 1) select 'pool' as name, count(*) as n from customer union all select 'kept', count(*) from c having count(*) > 0 union all select 'dropped', count(*) from customer where c_custkey % 3 <> 1 having count(*) > 0 union all select 'rule age_not_a_person', count(*) from customer where c_custkey % 3 = 0 having count(*) > 0 union all select 'rule money_as_card', count(*) from customer where c_custkey % 3 = 2 having count(*) > 0 union all select 'first 40', least(40, count(*)) from c having count(*) > 0 union all select 'first 10000', least(10000, count(*)) from c having count(*) > 0 union all select 'kept at ' || r, k from c where r in (1, 40)"),
+    "record_check": (q_records, "select doc_id, 'duplicate id' as error, 2::bigint as n from documents where doc_id % 10 = 0 union all select doc_id, 'kept string absent no such string', (case when doc_id % 10 = 0 then 3 else 1 end)::bigint from documents where doc_id % 7 = 0"),
+    "bad_examples": (q_bad_examples, f"with {FOUND}, e as (select doc_id, case when end_at + 1 > len(text) then 'end past text: ' else 'text differs: ' end || label as error, row_number() over (partition by doc_id order by start_at, end_at, label) as r from found join docs using (doc_id) where doc_id % 2 = 0) select doc_id, string_agg(error, '; ' order by r) as errors from e where r <= 3 group by doc_id order by doc_id limit 5"),
     "taken_until": (q_taken, "with d as (select lang, doc_id, coalesce(len(text), 0) > 1000 as good from documents where lang is not null), s as (select *, coalesce(sum(good::int) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0) as earlier from d) select lang, count(*) filter (good) as accepted, count(*) filter (not good) as dropped from s where earlier < 40 group by lang"),
 }

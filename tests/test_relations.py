@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opalspan.operators import intervals, merge, quantiles, scoring
+from opalspan.operators import bloom, intervals, merge, prep, quantiles, rules, scoring
 
 
 def spans(spark, seed, docs=4, n=120, reach=400):
@@ -86,3 +86,45 @@ def test_poisson_replicates(spark):
         assert got[lang, "leak"] == pytest.approx((sum(x[3] for x in own) / sum(x[2] for x in own), *np.percentile(leak, [2.5, 97.5])), abs=2e-6)
     every = [draws(d, k) for d in range(300) for k in range(40)]
     assert abs(np.mean(every) - 1) < 0.03 and abs(np.var(every) - 1) < 0.05 and None not in {s for s, _ in got}
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 20])
+def test_contaminated_behind_a_filter(spark, most):
+    """The same keys however full the filter is, and nothing of the set is held back."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    known = [(k, " ".join(r.choices(words, k=20))) for k in range(30)] + [(90, None), (91, "too short")]
+    docs = [(k, " ".join(r.choices(words, k=30))) for k in range(120)] + [(500 + k, " ".join(r.choices(words, k=5)) + " " + known[k][1][: 60 - k] + " x") for k in range(30)] + [(900, None), (901, "")]
+    grams = lambda t, n: {tuple((t or "").split()[i : i + n]) for i in range(len((t or "").split()) - n + 1)}
+    for n in (2, 4, 8):
+        every = set().union(*(grams(t, n) for _, t in known))
+        got = {x["doc_id"] for x in bloom.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(known, "item_id long, text string"), n, most=most).collect()}
+        assert got == {d for d, t in docs if grams(t, n) & every} and got
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert bloom.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), none, 8, most=most).collect() == []
+
+
+def test_filter_lets_little_through(spark):
+    one = bloom.built(spark.range(10_000).select(F.xxhash64("id").alias("h")), "h")
+    held = spark.range(110_000).crossJoin(F.broadcast(one)).withColumn("hit", bloom.may_hold(F.col("_bloom"), F.xxhash64("id"))).groupBy((F.col("id") < 10_000).alias("known")).agg(F.avg(F.col("hit").cast("int")).alias("share"))
+    share = {x["known"]: x["share"] for x in held.collect()}
+    assert share[True] == 1.0 and share[False] < 0.02
+
+
+def test_predictions_of_another_table(spark):
+    kind = "array<struct<start:int,end:int,label:string,text:string,source:string,score:double>>"
+    one = lambda s, e, source="m": (s, e, "CITY", "x", source, None)
+    examples = spark.createDataFrame([(1, "a" * 20, [one(0, 5)]), (2, "b" * 20, [one(3, 9)]), (3, "c" * 20, []), (None, "d" * 9, [one(0, 4)])], f"id long, text string, spans {kind}")
+    given = spark.createDataFrame([(1, [one(0, 5)]), (1, [one(0, 5), one(7, 9)]), (3, [one(1, 2)]), (4, [one(0, 9)]), (None, [one(0, 4)]), (2, [])], f"id long, spans {kind}")
+    got = {x["id"]: (x["gold_chars"], x["leaked_chars"], x["pred_chars"], x["n_pred"]) for x in scoring.scored_predictions(examples, given).collect()}
+    assert got == {1: (5, 0, 7, 2), 2: (6, 6, 0, 0), 3: (0, 0, 1, 1), None: (4, 4, 0, 0)}
+
+
+def test_cleaned_and_bad_examples(spark):
+    kind = "array<struct<start:int,end:int,label:string,text:string,source:string,score:double>>"
+    rows = [(k, "aged 45 percent" if k % 3 == 0 else "he is 45", [(5, 7, "AGE", "45", "g", None)] if k % 3 == 0 else [(6, 8, "AGE", "45", "g", None)]) for k in range(50)]
+    kept, report = rules.cleaned(spark.createDataFrame(rows, f"doc_id long, text string, spans {kind}"), ["doc_id"], (5, 1000))
+    assert {x["name"]: x["n"] for x in report.collect()} == {"pool": 50, "kept": 33, "dropped": 17, "rule age_not_a_person": 17, "first 5": 5, "first 1000": 33}
+    assert [(x["doc_id"], x["rank"]) for x in kept.orderBy("rank").limit(3).collect()] == [(1, 1), (2, 2), (4, 3)]
+    bad = spark.createDataFrame([(k, ["a", "b", "c", "d"][: k % 5]) for k in range(30)], "id long, errors array<string>")
+    assert [tuple(x) for x in prep.bad_examples(bad, "id").collect()] == [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["a", "b", "c"]), (6, ["a"])]
