@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
-from opalspan.operators import bloom, intervals, ordered, prep, quantiles, rules, scoring
-from opalspan.plans.oracle import _GOLD, FOUND, ORACLE
+from opalspan.operators import bloom, intervals, lsh_index, ordered, prep, quantiles, rules, scoring
+from opalspan.plans.oracle import _GOLD, _SHINGLES, FOUND, ORACLE
 from opalspan.plans.queries import SEED, _crossing, documents, found, predicted, table
+from opalspan.sources.shared import scratch
 
 SHARES = (0.01, 0.5, 0.95, 0.999)
 REPLICATES = 100
@@ -91,6 +92,15 @@ def q_bad_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+def q_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of documents with even ids, to which those with odd ids are joined."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    path = scratch(spark, "index")
+    index = lsh_index.Index(spark, f"index_{path[-32:]}", path)
+    index.add(docs.where("id % 2 = 0"))
+    return index.near(docs.where("id % 2 = 1")).select("id", "other", F.round("jaccard", 6).alias("jaccard"))
+
+
 _DRAWN = " + ".join(f"(u >= {t})::int" for t in scoring.DRAWS)
 _SUMS = ", ".join(f"sum({c} * draws) as {c}" for c in ("leaked_chars", "gold_chars", "over_chars", "pred_chars", "leaks", "has_gold"))
 _POISSON = f"""
@@ -114,5 +124,6 @@ RELATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "cleaned_first_n": (q_cleaned, "with c as (select c_custkey as k, row_number() over (order by c_custkey) as r from customer where c_custkey % 3 = 1) select 'pool' as name, count(*) as n from customer union all select 'kept', count(*) from c having count(*) > 0 union all select 'dropped', count(*) from customer where c_custkey % 3 <> 1 having count(*) > 0 union all select 'rule age_not_a_person', count(*) from customer where c_custkey % 3 = 0 having count(*) > 0 union all select 'rule money_as_card', count(*) from customer where c_custkey % 3 = 2 having count(*) > 0 union all select 'first 40', least(40, count(*)) from c having count(*) > 0 union all select 'first 10000', least(10000, count(*)) from c having count(*) > 0 union all select 'kept at ' || r, k from c where r in (1, 40)"),
     "record_check": (q_records, "select doc_id, 'duplicate id' as error, 2::bigint as n from documents where doc_id % 10 = 0 union all select doc_id, 'kept string absent no such string', (case when doc_id % 10 = 0 then 3 else 1 end)::bigint from documents where doc_id % 7 = 0"),
     "bad_examples": (q_bad_examples, f"with {FOUND}, e as (select doc_id, case when end_at + 1 > len(text) then 'end past text: ' else 'text differs: ' end || label as error, row_number() over (partition by doc_id order by start_at, end_at, label) as r from found join docs using (doc_id) where doc_id % 2 = 0) select doc_id, string_agg(error, '; ' order by r) as errors from e where r <= 3 group by doc_id order by doc_id limit 5"),
+    "near_dup_index": (q_index, f"with {_SHINGLES}, ex as (select doc_id, len(s) as n, unnest(s) as g from sh where doc_id % 2 = 1), pool as (select min(doc_id) as doc_id, s from (select doc_id, list_sort(s) as s from sh where doc_id % 2 = 0) group by s), pe as (select doc_id, len(s) as n, unnest(s) as g from pool), hit as (select a.doc_id as id, b.doc_id as other, a.n as n, b.n as m, count(*) as k from ex a join pe b using (g) group by all) select id, other, round(k / (n + m - k), 6) as jaccard from hit where k / (n + m - k) >= 0.8"),
     "taken_until": (q_taken, "with d as (select lang, doc_id, coalesce(len(text), 0) > 1000 as good from documents where lang is not null), s as (select *, coalesce(sum(good::int) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0) as earlier from d) select lang, count(*) filter (good) as accepted, count(*) filter (not good) as dropped from s where earlier < 40 group by lang"),
 }

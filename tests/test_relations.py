@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opalspan.operators import bloom, intervals, merge, prep, quantiles, rules, scoring
+from opalspan.operators import bloom, intervals, lsh_index, merge, prep, quantiles, rules, scoring
 
 
 def spans(spark, seed, docs=4, n=120, reach=400):
@@ -128,3 +128,35 @@ def test_cleaned_and_bad_examples(spark):
     assert [(x["doc_id"], x["rank"]) for x in kept.orderBy("rank").limit(3).collect()] == [(1, 1), (2, 2), (4, 3)]
     bad = spark.createDataFrame([(k, ["a", "b", "c", "d"][: k % 5]) for k in range(30)], "id long, errors array<string>")
     assert [tuple(x) for x in prep.bad_examples(bad, "id").collect()] == [(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["a", "b", "c"]), (6, ["a"])]
+
+
+def test_kept_index(spark, tmp_path):
+    """An index filled in two batches finds what the exact join finds; adding again adds no set; recall is measured."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    index = lsh_index.Index(spark, "kept_index_test", str(tmp_path / "index"))
+    try:
+        index.add(docs.where("id % 3 = 0"))
+        before = spark.table("kept_index_test_bands").count()
+        index.add(docs.where("id % 3 = 1"))
+        index.add(docs.where("id % 3 = 0").withColumn("id", F.col("id") + 100_000))
+        assert spark.table("kept_index_test_bands").count() > before
+        classes = spark.table("kept_index_test_sets")
+        assert classes.count() == classes.select("c").distinct().count() and spark.table("kept_index_test_bands").count() == lsh_index.BANDS * classes.count()
+        got = {(r["id"], r["other"]): round(r["jaccard"], 6) for r in index.near(docs.where("id % 3 = 2")).collect()}
+        want = {(r["id"], r["other"]): round(r["jaccard"], 6) for r in prep.near_duplicates(docs.where("id % 3 = 2"), docs.where("id % 3 < 2"), 0.8).collect()}
+        assert len(want) > 10 and len(got.keys() & want.keys()) / len(want) >= 0.9 and not got.keys() - want.keys()
+        assert all(got[k] == want[k] for k in got)
+        plan = index.near(docs.where("id % 3 = 2"))._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+    finally:
+        index.drop()
+
+
+def test_signatures_estimate_jaccard():
+    r = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        same, n = r.integers(-(2**63), 2**63 - 1, 4000), int(4000 * (1 - share) / (2 * share))
+        a, b = (np.concatenate([same, r.integers(-(2**63), 2**63 - 1, n)]) for _ in range(2))
+        got = (lsh_index.signature(a) == lsh_index.signature(b)).mean()
+        assert abs(got - len(same) / (len(same) + 2 * n)) < 0.15, (share, got)
+    assert (lsh_index.signature(np.zeros(0, np.int64)) == np.iinfo(np.uint64).max).all()
