@@ -11,9 +11,9 @@ from opalspan.functions import detect as d
 from opalspan.functions import spans as sp
 from opalspan.functions import text as tx
 from opalspan.functions.policy import Policy, entities, policy, redacted
-from opalspan.operators import generate, merge, model_output, prep, rules, scoring, transcripts, vault
+from opalspan.operators import generate, merge, model_output, ordered, prep, rules, scoring, transcripts, vault
 from opalspan.plans import redaction
-from opalspan.sources.shared import scratch
+from opalspan.sources.shared import kept, scratch
 
 KEY = bytes(range(32))
 SEED = 13
@@ -53,12 +53,11 @@ def shifted_prediction(df: DataFrame) -> DataFrame:
 
 
 def counts(df: DataFrame, by: str = "lang") -> DataFrame:
-    """(set, pos, the six counts) of each document: sets are languages, places are ranks of ids."""
-    from pyspark.sql import Window
-
+    """(set, pos, the six counts) of each document: sets are languages, places are ranks of ids. Counts are written before
+    they are ranked, so that texts are searched once, and ranks are running counts, so that no task ranks a language."""
     s = scoring.scored(df)
-    pos = F.row_number().over(Window.partitionBy(by).orderBy("doc_id")) - 1
-    return s.select(F.col(by).alias("set"), pos.alias("pos"), "gold_chars", "leaked_chars", "pred_chars", "over_chars", (F.col("gold_chars") > 0).cast("int").alias("has_gold"), "leaks")
+    slim = kept(s.select(F.col(by).alias("set"), "doc_id", "gold_chars", "leaked_chars", "pred_chars", "over_chars", (F.col("gold_chars") > 0).cast("int").alias("has_gold"), "leaks"), "counts")
+    return ordered.before(slim, ["set"], ["doc_id"], name="pos").drop("doc_id")
 
 
 def q_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +172,8 @@ def q_near_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.stratified_order(found(spark, sf_dir), SEED, "source", "doc_id")
+    """What strata are made of is written first: the order is sampled, ranked and sorted, and texts are searched once."""
+    return prep.stratified_order(kept(found(spark, sf_dir).select("doc_id", "source", "spans"), "strata"), SEED, "source", "doc_id")
 
 
 def q_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
