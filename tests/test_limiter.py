@@ -90,3 +90,20 @@ def test_taken_until_k(spark):
         got, counts = ordered.taken(df, ["k"], F.col("good"), k, ["g"])
         assert {(x["g"], x["k"]) for x in got.collect()} == want
         assert {x["g"]: (x["accepted"], x["dropped"]) for x in counts.collect()} == {g: (accepted[g], dropped[g]) for g in "ab"}
+
+
+def test_admission_stream(spark, tmp_path):
+    """Batch by batch as request by request; the cap ends a day only where no window reaches over midnight."""
+    from opalspan.streaming.limiter import limiter_admission_stream
+
+    rows = [(i, who, at) for i, who, at in requests(7, n=300) if at is not None and not (START + timedelta(seconds=3540) < at < START + timedelta(seconds=3670))]
+    rows.sort(key=lambda r: (r[2], r[0]))
+    source, schema = str(tmp_path / "in"), "id long, who string, at timestamp"
+    for k in range(0, len(rows), 100):
+        spark.createDataFrame(random.Random(k).sample(rows[k : k + 100], len(rows[k : k + 100])), schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = limiter_admission_stream(stream, "who", "at", "id", 60, 2, 70, "1 hour").writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["tie"]: r["verdict"] for r in spark.table("admitted").collect()}
+    want = one_by_one(rows, 60, 2, 70)
+    assert got == want and set(want.values()) == {"admitted", "window", "daily"}
