@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import collections
+import math
 import random
 import zlib
 
@@ -143,6 +145,60 @@ def test_retrieval_prefers_alike():
     assert score[2] > score[1] == score[3] == 0
 
 
+def bm25(pieces):
+    """score(seed, other) of every pair, from the formula, term by term."""
+    n, mean = len(pieces), sum(map(len, pieces)) / len(pieces)
+    df = collections.Counter(t for p in pieces for t in set(p))
+    weight = lambda t, p: math.log((n - df[t] + 0.5) / (df[t] + 0.5)) * p.count(t) * 2.2 / (p.count(t) + 1.2 * (0.25 + 0.75 * len(p) / mean))
+    return [[sum(w for t in set(a) if t in b and (w := weight(t, b)) > 0) for b in pieces] for a in pieces]
+
+
+def test_retrieval_scores():
+    r = random.Random(31)
+    pieces = [[min(r.randrange(60), r.randrange(60)) for _ in range(r.randint(1, 40))] for _ in range(50)]
+    index, want = bm25_packing.Index([np.array(p) for p in pieces]), bm25(pieces)
+    for seed in range(50):
+        assert np.allclose(index.scores(seed), want[seed], rtol=1e-4, atol=1e-4)
+    assert sum(x > 0 for row in want for x in row) > 500
+
+
+def test_greedy_filling():
+    """Windows of one shard, piece by piece: the longest unused rest, then the best unused neighbours, the last one cut."""
+    r = random.Random(32)
+    docs = [np.array([min(r.randrange(90), r.randrange(90)) for _ in range(r.randint(1, 150))]) for _ in range(60)]
+    packer = bm25_packing.Packer(64, 1000)
+    for k, ids in enumerate(docs):
+        packer.add((k, len(ids)), ids)
+    packer.pack(True)
+    got = [(d[0], start, len(ids), seq, at) for d, start, ids, seq, at in packer.out]
+    want, pool, seq = [], [], 0
+    for k, ids in enumerate(docs):
+        full = len(ids) // 64 * 64
+        for start in range(0, full, 64):
+            want.append((k, start, 64, seq, 0))
+            seq += 1
+        if full < len(ids):
+            pool.append([k, full, ids[full:].tolist()])
+    score = bm25([p[2] for p in pool])
+    free = list(range(len(pool)))
+    for seed in sorted(range(len(pool)), key=lambda i: (-len(pool[i][2]), i)):
+        while seed in free:
+            free.remove(seed)
+            at = len(pool[seed][2])
+            want.append((pool[seed][0], pool[seed][1], at, seq, 0))
+            for k in sorted(free, key=lambda i: (-round(score[seed][i], 4), i)):
+                if at == 64:
+                    break
+                take = min(64 - at, len(pool[k][2]))
+                want.append((pool[k][0], pool[k][1], take, seq, at))
+                at += take
+                pool[k] = [pool[k][0], pool[k][1] + take, pool[k][2][take:]]
+                if not pool[k][2]:
+                    free.remove(k)
+            seq += 1
+    assert got == want and len({x[3] for x in got}) > 40
+
+
 def test_bpe(spark):
     ranks = bpe_duckdb.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
