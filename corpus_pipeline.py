@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The smallest doc_id of a group stays, equal rows once. Texts without words (null, empty) are one group; a text of
     fewer words than a shingle is one shingle. Rows with a null doc_id stay, as nothing can name them. Columns stay as
-    they are, whatever their names; no rows give no rows. Candidates come from MinHash bands (see the README).
+    they are, whatever their names; no rows give no rows. Candidates come from SimHash fingerprints by the pigeonring
+    first, then from MinHash bands for what lies further apart; the sets decide (see the README).
     """
     return simhash.one_of_each(docs, shingle_sets.near_duplicates(docs))
 
