@@ -193,6 +193,22 @@ with {_TURN_WORDS}, seen as (select conv_id, value, min((turn, -s)) as first fro
 n as (select cast(conv_id as varchar) as conversation, row_number() over (partition by conv_id order by first) as n from seen)
 select conversation, 'GIVENNAME' as label, n, '<GIVENNAME_' || n || '>' as token from n
 """
+#: Pieces between names and their tokens, in order, joined.
+_PSEUDONYMS = rf"""
+with {_TURN_WORDS}, names as (select conv_id, turn, text, value, s from said where regexp_full_match(value, '\p{{Lu}}\p{{Ll}}{{3,}}')),
+seen as (select conv_id, value, min((turn, -s)) as first from names group by all),
+known as (select conv_id, value, row_number() over (partition by conv_id order by first) as n from seen),
+cuts as (select names.*, n, coalesce(lag(s + len(value)) over (partition by conv_id, turn order by s), 0) as left_at from names join known using (conv_id, value)),
+parts as (select conv_id, turn, string_agg(substr(text, cast(left_at + 1 as bigint), cast(s - left_at as bigint)) || '<GIVENNAME_' || n || '>', '' order by s) as head, max(s + len(value)) as tail_at from cuts group by all)
+select cast(t.conv_id as varchar) as conversation, t.turn, coalesce(head, '') || substr(t.text, cast(coalesce(tail_at, 0) + 1 as bigint)) as redacted from turns t left join parts using (conv_id, turn)
+"""
+_HIGHLIGHTS = f"""
+with {_FOUND}, s as (select f.*, text, coalesce(lag(end_at) over (partition by f.doc_id order by start_at), 0) as left_at from found f join docs using (doc_id)),
+parts as (select doc_id, start_at as pos, 0 as k, substr(text, cast(left_at + 1 as bigint), cast(start_at - left_at as bigint)) as segment, null::varchar as label from s
+  union all select doc_id, start_at, 1, value, label from s
+  union all select d.doc_id, 1000000000, 0, substr(d.text, cast(coalesce(max(end_at), 0) + 1 as bigint)), null from docs d left join found f using (doc_id) group by d.doc_id, d.text)
+select doc_id, row_number() over (partition by doc_id order by pos, k) - 1 as place, segment, label from parts where len(segment) > 0
+"""
 _BIOES = rf"""
 with {_TURN_WORDS}, tags as (select *, s + len(value) as e from said where regexp_matches(value, '^\p{{Lu}}')),
 near as (select *, lag(e) over (partition by conv_id, turn order by s) as pe from tags),
@@ -268,6 +284,8 @@ ORACLE: dict[str, str] = {
     "span_validation_errors": f"with {_FOUND} select case when end_at + 1 > len(text) then 'end past text: ' else 'text differs: ' end || label as error, count(*) as n from found join docs using (doc_id) where doc_id % 2 = 0 group by 1",
     "redact_hash": _replace(_HASHED, "redacted"),
     "token_numbering": _TOKENS,
+    "pseudonymize_conversations": _PSEUDONYMS,
+    "highlights": _HIGHLIGHTS,
     "bioes_decode": _BIOES,
     "chunk_text": _CHUNKS,
     "missed_by_label": "select 'CITY' as label, count(*) as n from labels where toxic = 1 having count(*) > 0 union all select 'STREET', count(*) from labels where toxic = 1 having count(*) > 0",

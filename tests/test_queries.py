@@ -24,7 +24,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v if isinstance(v, bool | int | str) else str(v)
 
 
-@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix", "near_dup_exact_classes", "fill_offsets", "transcript_cards", "collect_responses", "chunk_text", "token_numbering", "restore_roundtrip", "vault_ttl_purge", "iban_seeded", "ipv6_seeded", "normalize_look_alikes", "spoken_digits", "split_name", "parse_llm_json", "missed_by_label", *SOURCES, *GATEWAY, *RELATIONS])
+@pytest.mark.parametrize("name", ["detect_validators", "span_union_recall_first", "span_union_relation", "redact_mask_support", "score_docs", "metrics_by_group", "bootstrap_ci", "known_misses", "stratified_order", "ngram_contamination_benchmark", "sweep_candidates", "rate_limit_sliding", "decision_matrix", "near_dup_exact_classes", "fill_offsets", "transcript_cards", "collect_responses", "chunk_text", "token_numbering", "restore_roundtrip", "vault_ttl_purge", "iban_seeded", "ipv6_seeded", "normalize_look_alikes", "spoken_digits", "split_name", "parse_llm_json", "missed_by_label", "pseudonymize_conversations", "highlights", *SOURCES, *GATEWAY, *RELATIONS])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
