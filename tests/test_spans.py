@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from opalspan.functions import detect as d
@@ -88,3 +89,15 @@ def test_masks(spark):
     assert df.select(sp.masked(t, s)).first()[0] == "Hi [GIVENNAME] [SURNAME], bye"
     assert df.select(sp.inline_masked(t, F.slice(s, 1, 1))).first()[0] == "Hi [GIVENNAME: Ann] Lee, bye"
     assert [tuple(x) for x in df.select(sp.highlights(t, F.slice(s, 1, 2))).first()[0]] == [("Hi ", None), ("Ann", "GIVENNAME"), (" ", None), ("Lee", "SURNAME"), (", bye", None)]
+
+
+def test_normalised_in_pieces(spark):
+    """A batch of long texts leaves the worker in pieces."""
+    texts = ["é" * (tx.PIECE // 2), "ab", "e​", None, "ﬁ" * tx.PIECE, "x" * tx.PIECE]
+    pieces = list(tx._normalised(iter([pd.Series(texts)])))
+    assert [len(p) for p in pieces] == [4, 1, 1] and all(o.itemsize == 4 for p in pieces for o in p["origin"])
+    want = [tx.normalise_text(t or "") for t in texts]
+    assert [(t, o.tolist()) for p in pieces for t, o in zip(p["text"], p["origin"])] == want
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    got = {r["id"]: (r["n"]["text"], r["n"]["origin"]) for r in df.select("id", tx.normalised(F.coalesce("text", F.lit(""))).alias("n")).collect()}
+    assert got == {i: (t or "", None) if (t or "").isascii() else want[i] for i, t in enumerate(texts)}
