@@ -153,19 +153,29 @@ def draw(*parts: Column) -> Column:
 
 
 def _replicates(counts: DataFrame, n: int, seed: int) -> DataFrame:
-    """counts(set, pos from 0, ...) resampled with replacement within each set, n times: (set, rep, pos, draws) with
-    draws how often the document comes. Indices are hashes, so a rerun draws the same."""
+    """counts(set, pos from 0, ...) resampled with replacement within each set, n times: (set, rep, pos), one row a draw.
+    Indices are hashes, so a rerun draws the same. Draws are not counted by document: nearly all are different, so a
+    task would hold them all for nothing."""
     sizes = counts.groupBy("set").agg(F.count(F.lit(1)).alias("size"))
-    rows = counts.select("set", F.col("pos").alias("slot")).join(sizes, "set").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    picked = rows.select("set", "rep", (draw(F.lit(seed), F.col("set"), F.col("rep"), F.col("slot")) % F.col("size")).alias("pos"))
-    return picked.groupBy("set", "rep", "pos").agg(F.count(F.lit(1)).alias("draws"))
+    # one row a set
+    rows = counts.select("set", F.col("pos").alias("slot")).join(F.broadcast(sizes), "set").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.select("set", "rep", (draw(F.lit(seed), F.col("set"), F.col("rep"), F.col("slot")) % F.col("size")).alias("pos"))
+
+
+def _drawn(counts: DataFrame, draws: DataFrame) -> DataFrame:
+    """draws with the counts of their documents. A task holds its share of the counts and reads its draws as a stream;
+    neither side is sorted."""
+    return counts.hint("shuffle_hash").join(draws, ["set", "pos"])
 
 
 _RATIOS = {"leak": ("leaked_chars", "gold_chars"), "over": ("over_chars", "pred_chars"), "doc": ("leaks", "has_gold")}
 
 
+_SUMMED = ("leaked_chars", "gold_chars", "over_chars", "pred_chars", "leaks", "has_gold")
+
+
 def _weighted(df: DataFrame, *keys: str) -> DataFrame:
-    sums = {c: F.sum(F.col(c) * F.col("draws")) for c in ("leaked_chars", "gold_chars", "over_chars", "pred_chars", "leaks", "has_gold")}
+    sums = {c: F.sum(F.col(c) * F.col("draws")) for c in _SUMMED}
     return df.groupBy(*keys).agg(*[ratio(sums[a], sums[b]).alias(k) for k, (a, b) in _RATIOS.items()])
 
 
@@ -173,7 +183,7 @@ def bootstrap(counts: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     """(set, metric, point, lo, hi): 95 % percentile intervals by resampling documents of counts(set, pos, the six
     counts)."""
     points = _weighted(counts.withColumn("draws", F.lit(1)), "set")
-    samples = _weighted(counts.join(_replicates(counts, n, seed), ["set", "pos"]), "set", "rep")
+    samples = _weighted(_drawn(counts, _replicates(counts, n, seed)).withColumn("draws", F.lit(1)), "set", "rep")
     ends = samples.groupBy("set").agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{k}_ci") for k in _RATIOS])
     both = points.join(ends, "set")
     rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.round(k, 6).alias("point"), F.round(F.col(f"{k}_ci")[0], 6).alias("lo"), F.round(F.col(f"{k}_ci")[1], 6).alias("hi")) for k in _RATIOS])
@@ -211,10 +221,14 @@ def poisson_bootstrap(scores: DataFrame, doc: str, group: str, n: int = 2000, se
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
-    """Differences a - b over the same resampled documents, averaged over sets: metric, point, lo, hi, a_better."""
-    reps = _replicates(a, n, seed)
-    one = lambda c, p: _weighted(c.join(reps, ["set", "pos"]), "set", "rep").select("set", "rep", *[F.col(k).alias(f"{p}_{k}") for k in _RATIOS])
-    diffs = one(a, "a").join(one(b, "b"), ["set", "rep"]).groupBy("rep").agg(*[F.avg(F.col(f"a_{k}") - F.col(f"b_{k}")).alias(k) for k in _RATIOS])
+    """Differences a - b over the same resampled documents, averaged over sets: metric, point, lo, hi, a_better. Both
+    systems' counts of a document stand in one row, so that its draws are dealt once; a set and replicate without
+    documents of b has no difference."""
+    named = lambda c, p: c.select("set", "pos", F.struct(*_SUMMED).alias(p))
+    both = _drawn(named(a, "a").join(named(b, "b"), ["set", "pos"], "left"), _replicates(a, n, seed))
+    sums = both.groupBy("set", "rep").agg(*[F.sum(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in _SUMMED], F.count("b").alias("_n")).where("_n > 0")
+    values = sums.select("rep", *[ratio(F.col(f"{p}_{x}"), F.col(f"{p}_{y}")).alias(f"{p}_{k}") for p in "ab" for k, (x, y) in _RATIOS.items()])
+    diffs = values.groupBy("rep").agg(*[F.avg(F.col(f"a_{k}") - F.col(f"b_{k}")).alias(k) for k in _RATIOS])
     whole = lambda c: _weighted(c.withColumn("draws", F.lit(1)), "set")
     point = whole(a).alias("x").join(whole(b).alias("y"), "set").agg(*[F.avg(F.col(f"x.{k}") - F.col(f"y.{k}")).alias(f"{k}_point") for k in _RATIOS])
     ends = diffs.agg(*[F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{k}_ci") for k in _RATIOS], *[F.avg((F.col(k) < 0).cast("double")).alias(f"{k}_share") for k in _RATIOS])

@@ -210,3 +210,25 @@ def test_in_region(spark):
     test, train = pool.where("id in ('1', '3')"), pool.where("id = '5'").withColumn("text", F.concat("text", F.lit(" more")))
     got = [x["id"] for x in prep.in_region(pool, test, train, ["IN"], 10, 7).collect()]
     assert len(got) == 10 and not {"1", "3", "5"} & set(got) and all(int(x) % 2 for x in got)
+
+
+def test_draws_are_streamed(spark):
+    """Draws are a row each, neither counted nor sorted, and a pair of systems shares them."""
+    import hashlib
+
+    rows = [(s, i, 5 + i % 3, i % 4, 6, i % 2, 1, int(i % 4 > 0)) for s, m in (("de", 7), ("en", 4)) for i in range(m)]
+    schema = "set string, pos long, gold_chars int, leaked_chars int, pred_chars int, over_chars int, has_gold int, leaks int"
+    a = spark.createDataFrame(rows, schema)
+    b = a.where("set = 'de' and pos <> 2").withColumn("leaked_chars", F.lit(1))
+    draws = scoring._replicates(a, 3, 5)
+    assert draws.count() == 3 * len(rows)
+    assert "ShuffledHashJoin" in scoring._drawn(a, draws)._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for rep in range(3):
+        picked = [int(hashlib.md5(f"5|de|{rep}|{i}".encode()).hexdigest()[:15], 16) % 7 for i in range(7)]
+        leak = lambda get, keep: sum(get(rows[i]) for i in picked if keep(i)) / sum(rows[i][2] for i in picked if keep(i))  # noqa: E731, B023
+        want.append(leak(lambda r: r[3], lambda i: True) - leak(lambda r: 1, lambda i: i != 2))
+    got = {r["metric"]: r for r in scoring.paired_bootstrap(a, b, 3, 5).collect()}["leak"]
+    assert got["a_better"] == round(sum(x < 0 for x in want) / 3, 6)
+    low, mid, high = sorted(want)
+    assert abs(got["lo"] - (low + 0.05 * (mid - low))) < 1e-5 and abs(got["hi"] - (mid + 0.95 * (high - mid))) < 1e-5
