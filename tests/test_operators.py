@@ -232,3 +232,25 @@ def test_draws_are_streamed(spark):
     assert got["a_better"] == round(sum(x < 0 for x in want) / 3, 6)
     low, mid, high = sorted(want)
     assert abs(got["lo"] - (low + 0.05 * (mid - low))) < 1e-5 and abs(got["hi"] - (mid + 0.95 * (high - mid))) < 1e-5
+
+
+def test_class_pairs_by_rare_hashes(spark):
+    """A passage that every set holds joins none of them; pairs are those of brute force."""
+    import random
+
+    r = random.Random(3)
+    common = [r.getrandbits(63) - 2**62 for _ in range(30)]
+    sets = {}
+    for k in range(60):
+        own = [r.getrandbits(63) - 2**62 for _ in range(60)]
+        sets[2 * k] = common + own
+        if k % 3 == 0:
+            sets[2 * k + 1] = common + own[: 60 - k % 12] + [r.getrandbits(63) - 2**62 for _ in range(k % 7)]
+    a = spark.createDataFrame([(c, sorted(h)) for c, h in sets.items()], "c long, h array<long>")
+    b = a.toDF("d", "g")
+    want = {(c, d) for c in sets for d in sets if len(set(sets[c]) & set(sets[d])) >= 0.8 * len(set(sets[c]) | set(sets[d]))}
+    assert {(x["c"], x["d"]) for x in prep.class_pairs(a, b, 0.8).collect()} == want
+    within = {(x["c"], x["d"]) for x in prep.class_pairs(a, b, 0.8, True).collect()}
+    assert within == {(c, d) for c, d in want if c < d} and within
+    seen = spark.sparkContext.broadcast(prep._counters(a))
+    assert not {x["p"] for x in prep._prefixes(a, seen, 0.8).collect()} & set(common)
