@@ -133,10 +133,9 @@ def occurrences(text: Column, value: Column, any_case: bool = False) -> Column:
     """Starts of whole-word occurrences of a literal value."""
     flag = "(?iU)" if any_case else "(?U)"
     pattern = F.concat(F.lit(flag + r"(?<!\w)\Q"), value, F.lit(r"\E(?!\w)"))
-    pieces = F.split(text, pattern, -1)
     begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
     step = lambda a, p: F.struct((a["pos"] + F.length(p) + F.length(value)).alias("pos"), F.concat(a["out"], F.array(a["pos"] + F.length(p))).alias("out"))
-    return F.aggregate(F.slice(pieces, 1, F.greatest(F.lit(0), F.size(pieces) - 1)), begin, step, lambda a: a["out"])
+    return let(F.split(text, pattern, -1), lambda pieces: F.aggregate(F.slice(pieces, 1, F.greatest(F.lit(0), F.size(pieces) - 1)), begin, step, lambda a: a["out"]))
 
 
 def filled(text: Column, given: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from opalspan.functions.spans import IGNORE, SPANS, by_start, cut, let, matches, overlaps, span
 from opalspan.operators.rules import labelled
 
-#: How an agent gives a name, how a user name is given, and words that are none.
-INTRODUCTION = r"(?<=(?:this is|my name is|name's|I'm|I am)\s{1,9})[A-Z][a-z]+\b(?=\s*(?:from|here|,|\.|!|and|with|at|$))"
-USER_NAME = r"(?i)(?<=user\s?name\s{0,9}(?:is|:|=)\s{0,9})[A-Za-z0-9_.]*[A-Za-z0-9]"
+#: How an agent gives a name, how a user name is given, and words that are none. The character at a match or
+#: before it is tried first: it rules out most places, which the long look-behinds would try at every length.
+INTRODUCTION = r"(?=[A-Z])(?<=(?:this is|my name is|name's|I'm|I am)\s{1,9})[A-Z][a-z]+\b(?=\s*(?:from|here|,|\.|!|and|with|at|$))"
+USER_NAME = r"(?i)(?<=[\s:=s])(?<=user\s?name\s{0,9}(?:is|:|=)\s{0,9})[A-Za-z0-9_.]*[A-Za-z0-9]"
 NO_USER_NAMES = "first not the correct wrong incorrect still now also just customer agent and or please email is it was".split()
 #: Card entries by the type that a conversation's placeholders have, and the label of their values.
 TYPES = {"name": "GIVENNAME", "email": "EMAIL", "phone": "TELEPHONENUM", "street_address": "STREET", "city": "CITY", "zip_code": "ZIPCODE"}
@@ -63,8 +64,12 @@ def _digits_anyhow(text: Column, phone: Column) -> Column:
 def turn_spans(text: Column, card: Column, agent: Column) -> Column:
     """Spans of one turn: the card's values, longest first; telephones in any layout; the number before a street that
     has none; the name by which an agent is introduced; a user name that is given, as IGNORE. Of two that overlap the
-    earlier in this order stays."""
-    text = F.coalesce(text, F.lit(""))
+    earlier in this order stays. The turn is bound once: lambdas would make its text and card again for each element."""
+    turn = F.struct(F.coalesce(text, F.lit("")).alias("text"), card.alias("card"), agent.alias("agent"))
+    return let(turn, lambda t: _turn_spans(t["text"], t["card"], t["agent"]))
+
+
+def _turn_spans(text: Column, card: Column, agent: Column) -> Column:
     free = lambda taken, more: F.concat(taken, F.filter(more, lambda m: ~F.exists(taken, lambda s: overlaps(s, m))))
     own = F.flatten(F.transform(labelled(text, card_values(card)), lambda s: _parts(text, s)))
 

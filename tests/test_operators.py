@@ -254,3 +254,19 @@ def test_class_pairs_by_rare_hashes(spark):
     assert within == {(c, d) for c, d in want if c < d} and within
     seen = spark.sparkContext.broadcast(prep._counters(a))
     assert not {x["p"] for x in prep._prefixes(a, seen, 0.8).collect()} & set(common)
+
+
+def test_cards_by_customer(spark, tmp_path):
+    """A row for each customer, numbers met twice too, dealt to tasks; the turn is made once, not again in every lambda."""
+    import duckdb
+
+    from opalspan.plans.oracle import ORACLE
+    from opalspan.plans.queries import QUERIES
+
+    spark.createDataFrame([(7,), (7,), (12345,), (9_999_999,)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    df = QUERIES["transcript_cards"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(db.execute(ORACLE["transcript_cards"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("lpad(") < 20
