@@ -107,3 +107,24 @@ def test_admission_stream(spark, tmp_path):
     got = {r["tie"]: r["verdict"] for r in spark.table("admitted").collect()}
     want = one_by_one(rows, 60, 2, 70)
     assert got == want and set(want.values()) == {"admitted", "window", "daily"}
+
+
+def test_denied_requests_are_skipped(monkeypatch):
+    """Of a visitor's 100,000 requests only those that a window lets through, and the first that it denies, are looked at
+    one by one; the outcome is that of looking at all."""
+    import numpy as np
+
+    from opalspan.operators import limiter
+
+    calls, admit = [], limiter.admit
+    monkeypatch.setattr(limiter, "admit", lambda *a: calls.append(1) or admit(*a))
+    r = np.random.default_rng(3)
+    for times, window, limit in ((100_000, 9_000, 2), (3_000, 2, 3), (3_000, 0, 1), (40, 5, 50)):
+        at = np.sort(r.integers(0, times, 100_000 if times == 100_000 else 2_000))
+        before = [-1]
+        hits = limiter.deque(before)
+        want = [i for i, t in enumerate(at.tolist()) if admit(hits, t, window, limit)]
+        calls.clear()
+        places, left = limiter.admitted(at, before, window, limit)
+        assert places.tolist() == want and [h for h in left if times - h <= window] == [h for h in hits if times - h <= window]
+        assert len(calls) <= 2 * len(want) + 1
