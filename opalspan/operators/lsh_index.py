@@ -29,8 +29,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     x = hashes.astype(np.int64).view(np.uint64)
     x = x ^ (x >> np.uint64(31))
     out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
-    for k in range(0, len(x), 4096):
-        out = np.minimum(out, (x[k : k + 4096, None] * _FACTORS + _SHIFTS).min(axis=0))
+    # a block that stays in a core's cache, a row a permutation, so that the least is taken along it
+    block = np.empty((PERMUTATIONS, min(len(x), 256)), dtype=np.uint64)
+    for k in range(0, len(x), 256):
+        part = x[k : k + 256]
+        now = block[:, : len(part)]
+        np.multiply(part, _FACTORS[:, None], out=now)
+        now += _SHIFTS[:, None]
+        np.minimum(out, now.min(axis=1), out=out)
     return out
 
 
@@ -52,7 +58,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bands(sets: DataFrame) -> DataFrame:
     """sets(c, h) -> (band, c), BANDS rows a set."""
-    return sets.select("c", "h").mapInArrow(_banded, "band long, c string")
+    return sets.select("c", "h").mapInArrow(_banded, f"band long, c {sets.schema['c'].dataType.simpleString()}")
 
 
 class Index:
@@ -89,6 +95,8 @@ class Index:
         """(key, other, jaccard): documents of docs(key, text) and the first document of each class of the index whose set
         has at least the threshold in common with theirs. Candidates share a band; their sets decide."""
         members, sets = _classes(docs, key, WORDS)
+        # written once: they are read for the bands and for the pairs
+        sets = _settled(sets)
         mine = sets.withColumn("n", F.size("h"))
         found = bands(sets).join(self._table("bands").withColumnRenamed("c", "d"), "band").select("c", "d").distinct()
         known = self._table("sets").select(F.col("c").alias("d"), F.col("h").alias("g"), F.col("n").alias("m"))
