@@ -270,3 +270,25 @@ def test_cards_by_customer(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(db.execute(ORACLE["transcript_cards"]).fetchall())
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and plan.count("lpad(") < 20
+
+
+def test_sets_are_made_once(spark, tmp_path):
+    """Near-duplicates by bands: what is joined holds ids and bands, no vectors; texts are cut into shingles once for the
+    bands and the pairs."""
+    from opalspan.operators import lsh_index, prep
+
+    rows = [(k, " ".join(f"w{k % 4}x{i}" for i in range(40 + k))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pairs = prep.near_duplicates_lsh(docs, docs, 0.8)
+    sets = {k: {t[i : i + 5] for t in [tuple(w.split())] for i in range(len(t) - 4)} for k, w in rows}
+    want = sorted((a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert want and sorted((r["id"], r["other"]) for r in pairs.collect()) == want
+    assert "features" not in plan(pairs) and "xxhash64" not in plan(pairs)
+    index = lsh_index.Index(spark, "made_once", str(tmp_path / "index"))
+    try:
+        index.add(docs.where("id % 2 = 0"))
+        # the names of the members, and that they are not null
+        assert plan(index.near(docs.where("id % 2 = 1"))).count("xxhash64") <= 2
+    finally:
+        index.drop()
