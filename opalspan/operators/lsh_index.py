@@ -53,12 +53,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(rows):
             key = (key ^ signs[:, :, r]) * mix
             key ^= key >> np.uint64(29)
-        yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], names=["band", "c"])
+        row = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+        yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), *(b.column(k).take(row) for k in range(b.num_columns) if k != 1)], names=["band", *(x for x in b.schema.names if x != "h")])
 
 
-def bands(sets: DataFrame) -> DataFrame:
-    """sets(c, h) -> (band, c), BANDS rows a set."""
-    return sets.select("c", "h").mapInArrow(_banded, f"band long, c {sets.schema['c'].dataType.simpleString()}")
+def bands(sets: DataFrame, *more: str) -> DataFrame:
+    """sets(c, h) -> (band, c), BANDS rows a set, and more columns of theirs."""
+    kinds = [f"{x} {sets.schema[x].dataType.simpleString()}" for x in ("c", *more)]
+    return sets.select("c", "h", *more).mapInArrow(_banded, ", ".join(["band long", *kinds]))
 
 
 class Index:

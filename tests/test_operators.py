@@ -292,3 +292,45 @@ def test_sets_are_made_once(spark, tmp_path):
         assert plan(index.near(docs.where("id % 2 = 1"))).count("xxhash64") <= 2
     finally:
         index.drop()
+
+
+def _versions(seed: int, texts: int, words: int, versions: int) -> dict[int, str]:
+    import random
+
+    r = random.Random(seed)
+    out = {}
+    for _ in range(texts):
+        w = [f"w{r.randrange(10**6)}" for _ in range(words)]
+        for _ in range(versions):
+            out[len(out)] = " ".join(w)
+            w[r.randrange(words)] = f"v{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("most", [(4096, 4 << 20), (5, 4 << 20), (4096, 300)])
+def test_lsh_groups_dealt_to_blocks(spark, most):
+    """Each pair once, within one table and between two with the same ids, whether a group is compared whole or by blocks."""
+    texts = _versions(3, 3, 90, 12)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (99, None)], "id long, text string")
+    got = sorted((r["id"], r["other"], round(r["jaccard"], 9)) for r in prep.near_duplicates_lsh(docs, docs, 0.8, at_once=most[0], hashes_at_once=most[1]).collect())
+    assert got == sorted((a, b, round(share(a, b), 9)) for a in sets for b in sets if b < a and share(a, b) >= 0.8) and len(got) > 40
+    own, pool = docs.where("id % 3 > 0"), docs.where("id % 3 < 2").select(F.col("id").cast("int").alias("id"), "text")
+    pairs = prep.near_duplicates_lsh(own, pool, 0.8, at_once=most[0], hashes_at_once=most[1])
+    got = sorted((r["id"], r["other"], round(r["jaccard"], 9)) for r in pairs.collect())
+    assert got == sorted((a, b, round(share(a, b), 9)) for a in sets if a % 3 > 0 for b in sets if b % 3 < 2 and share(a, b) >= 0.8)
+    assert [x.dataType.simpleString() for x in pairs.schema] == ["bigint", "int", "double"]
+
+
+def test_lsh_writes_less_than_it_reads(spark, tmp_path, monkeypatch):
+    """What is written for the pairs is a small part of the texts: the sets of all would be more than the texts."""
+    from pathlib import Path
+
+    texts = _versions(5, 150, 400, 2)
+    spark.createDataFrame(texts.items(), "id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr("opalspan.sources.shared.scratch", lambda spark, name: str(tmp_path / "written" / f"{name}-{len(list(tmp_path.glob('written/*')))}"))
+    assert prep.near_duplicates_lsh(docs, docs, 0.8).count() == 150
+    size = lambda at: sum(p.stat().st_size for p in Path(tmp_path, at).rglob("*.parquet"))
+    assert 0 < size("written") < size("docs") / 4
